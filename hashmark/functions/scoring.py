@@ -155,9 +155,9 @@ def edge_columns(df: DataFrame, pred: str = "pred", line: str = "home_line", hom
         "bet_side": F.when(edge < 0, F.lit("home")).when(edge.isNotNull(), F.lit("away")),
     }
     if home and away:
-        pick = F.when(edge < 0, F.col(home)).otherwise(F.col(away))
-        number = F.when(edge < 0, F.col(line)).otherwise(F.negative(F.col(line)))
-        out["recommendation"] = F.when(edge.isNotNull(), F.concat(F.lit("Bet "), pick, F.format_string(" %+.1f", number)))
+        out["recommendation"] = F.when(edge < 0, F.concat(F.lit("Bet "), F.col(home))).when(
+            edge.isNotNull(), F.concat(F.lit("Bet "), F.col(away))
+        )
     return df.withColumns(out)
 
 
