@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashmark.operators.scale import same
+from hashmark.operators.scale import join_back
 
 
 def to_team_games(
@@ -82,8 +82,7 @@ def game_ratings_to_team(
 
 def key_difference(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of ``a`` that ``b`` does not have (NULL equals NULL)."""
-    left, right = a.select(*keys).distinct(), b.select(*keys)
-    return left.join(right, same(left, right, keys), "left_anti")
+    return join_back(a.select(*keys).distinct(), b.select(*keys), list(keys), "left_anti")
 
 
 def matchups_from_games(games: DataFrame, line: str = "home_line") -> DataFrame:

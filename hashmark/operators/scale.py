@@ -9,8 +9,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
@@ -28,12 +29,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if seen <= max_rows else df
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe equality on all the columns."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+def join_back(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join per-key values back to rows; NULL keys match.  The keys of ``small`` are renamed first, so
+    a frame derived from ``df`` can be joined to it."""
+    renamed = small.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    condition = reduce(lambda acc, k: acc & F.col(k).eqNullSafe(F.col(f"__k_{k}")), keys[1:],
+                       F.col(keys[0]).eqNullSafe(F.col(f"__k_{keys[0]}")))
+    joined = df.join(renamed, condition, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__k_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -72,10 +75,7 @@ def split_histories(
         *coarse,
         F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.lit(chunk_rows)).cast("long").alias(CHUNK),
     ).filter(F.col(CHUNK) > 0)
-    tagged = (
-        df.join(cuts, same(df, cuts, keys + coarse), "left")
-        .select(*[df[c] for c in df.columns], F.coalesce(cuts[CHUNK], F.lit(0).cast("long")).alias(CHUNK))
-    )
+    tagged = join_back(df, cuts, keys + coarse).withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long")))
 
     newest_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     tails = tagged.withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= carry).drop("__r")
@@ -117,8 +117,7 @@ def running_total(
         Window.partitionBy(*keys, *coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        df.join(offsets, same(df, offsets, keys + coarse), "left")
-        .select(*[df[c] for c in df.columns], offsets["__before"])
+        join_back(df, offsets, keys + coarse)
         .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
         .drop("__before")
     )
@@ -142,15 +141,15 @@ def global_position(
     )
     inside = Window.partitionBy(*coarse).orderBy(*order)
     return (
-        df.join(offsets, same(df, offsets, coarse), "left")
-        .select(*[df[c] for c in df.columns], offsets["__before"], offsets[total])
+        join_back(df, offsets, coarse)
         .withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
         .drop("__before")
     )
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percentages: dict[str, float], accuracy: int = 20_000
+    df: DataFrame, keys: Sequence[str], value: str, percentages: dict[str, float], accuracy: int = 20_000,
+    max_keys: int = 10_000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, as columns named by ``percentages``.
 
@@ -173,6 +172,10 @@ def exact_percentiles(
         F.count("*").alias("__n"), F.percentile_approx("__v", bounds, accuracy).alias("__b"),
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
     )
+    # one row per key; a report has few keys, and then the brackets travel to the data, not the reverse
+    brackets = sketch.limit(max_keys + 1).collect()
+    if len(brackets) <= max_keys:
+        sketch = F.broadcast(data.sparkSession.createDataFrame(brackets, sketch.schema))
     wanted = sketch.select(
         *group,
         F.inline(
@@ -191,8 +194,8 @@ def exact_percentiles(
         ),
     )
     # values below a band collapse to one row per key, name and task before they move
-    joined = data.join(wanted, same(data, wanted, group)).filter(F.col("__v") <= F.col("__to")).select(
-        *[data[g] for g in group], "__name", "__rank",
+    joined = join_back(data, wanted, group, "inner").filter(F.col("__v") <= F.col("__to")).select(
+        *group, "__name", "__rank",
         F.when(F.col("__v") >= F.col("__from"), F.col("__v")).alias("__v"),
     )
     counted = joined.groupBy(*group, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
