@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DETAIL_COLUMNS = (
     "game_id", "season", "week", "away_team", "home_team", "home_line", "pred", "edge", "abs_edge",
@@ -13,55 +12,46 @@ DETAIL_COLUMNS = (
 )
 
 
-def _write(df: DataFrame, path: str, partitions: Sequence[str], sort: Sequence[str], compression: str = "zstd") -> None:
-    clustered = df.repartition(*[F.col(c) for c in partitions]) if partitions else df
+def _write(df: DataFrame, path: str, partitions: Sequence[str], spread: Sequence[str] = (), sort: Sequence[str] = ()) -> None:
+    """Rebalance, sort inside files, replace the touched partitions.
+
+    The rebalance hint lets adaptive execution split a hot partition over several tasks and merge small
+    ones, so neither one giant file nor thousands of tiny ones are written.
+    """
+    rows = df.hint("rebalance", *partitions, *spread)
+    if sort:
+        rows = rows.sortWithinPartitions(*partitions, *sort)
     (
-        clustered.sortWithinPartitions(*partitions, *sort)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .partitionBy(*partitions).parquet(path)
     )
 
 
 def write_team_week(df: DataFrame, path: str) -> None:
-    """Team-week rows by season, sorted by week and team: small after aggregation."""
-    _write(df, path, ["season"], ["week", "team"])
+    """Team-week rows by season, sorted by week and team."""
+    _write(df, path, ["season"], sort=["week", "team"])
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Predictions by model, season and week."""
-    _write(df, path, ["model", "season", "week"], ["game_id"])
+    _write(df, path, ["model", "season", "week"], sort=["game_id"])
 
 
 def write_backtest(df: DataFrame, path: str) -> None:
     """Backtest summaries by model."""
-    _write(df, path, ["model"], ["season"])
+    _write(df, path, ["model"], sort=["season"])
 
 
 def write_comparison(df: DataFrame, path: str) -> None:
-    """The model comparison: a handful of rows in one file."""
+    """The model comparison: one row per model."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def write_detailed(df: DataFrame, path: str, columns: Sequence[str] = DETAIL_COLUMNS) -> None:
-    """Detailed scored games in the report's column order, by season.
-
-    Rows are spread by week too, so that a large season is not written by one task.
-    """
-    rows = df.select(*[c for c in columns if c in df.columns])
-    (
-        rows.repartition(F.col("season"), F.col("week"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        .partitionBy("season").parquet(path)
-    )
-
+    """Detailed scored games in the report's column order, by season."""
+    _write(df.select(*[c for c in columns if c in df.columns]), path, ["season"], spread=["week"])
 
-def repack_plays(df: DataFrame, path: str, files_key: Sequence[str] = ("season", "week")) -> None:
-    """Plays as compressed Parquet by season.
 
-    Rebalancing lets adaptive execution split a hot season into several files and merge small ones.
-    """
-    (
-        df.hint("rebalance", *files_key)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        .partitionBy("season").parquet(path)
-    )
+def repack_plays(df: DataFrame, path: str) -> None:
+    """Plays as compressed Parquet by season."""
+    _write(df, path, ["season"], spread=["week"])
