@@ -26,24 +26,30 @@ def stream_upsert_periods(
     target_path: str,
     checkpoint: str,
     aggregate: Callable[[DataFrame], DataFrame] = team_period_stats,
+    restated: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append new plays to the play table and rebuild the statistics of the seasons they touch.
 
     Each batch writes its plays under its own batch folder (overwritten on replay), then recomputes the
-    touched seasons' periods from the table, pruned by partition, and replaces those target partitions.
+    touched seasons from the table, pruned by partition, and replaces those target partitions.  Late
+    plays of a period add to it; with ``restated`` the newest batch that brings a period replaces it.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged = f"{plays_path}/ingest={batch_id}"
         batch.write.mode("overwrite").partitionBy("season").parquet(staged)
-        table = spark.read.option("basePath", plays_path).parquet(plays_path)
         # a season is the target's partition, so whole seasons are replaced; there are few of them
         seasons = [r[0] for r in spark.read.parquet(staged).select("season").distinct().limit(10_000).collect()]
-        if seasons:
-            touched = table.filter(F.col("season").isin(seasons)).drop("ingest")
-            write_team_week(aggregate(touched), target_path)
+        if not seasons:
+            return
+        table = spark.read.option("basePath", plays_path).parquet(plays_path)
+        touched = table.filter(F.col("season").isin(seasons) & (F.col("ingest") <= batch_id))
+        if restated:
+            newest = touched.groupBy(*PERIOD).agg(F.max("ingest").alias("ingest"))
+            touched = join_back(touched, newest, [*PERIOD, "ingest"], "inner")
+        write_team_week(aggregate(touched.drop("ingest")), target_path)
 
     query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
