@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from hashmark.functions.missing import require_complete
 from hashmark.functions.scoring import linear_score, season_split
 from hashmark.operators.joins import registry_frame, score_models
-from hashmark.operators.reports import evaluate, r_squared
-from hashmark.operators.scale import global_position, join_back
+from hashmark.operators.reports import evaluate
+from hashmark.operators.scale import global_position
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
@@ -106,8 +106,7 @@ def fit_ols(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], target: st
     union = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
     rows = require_complete(df, [*union, target])
     scored = score_models(rows.select(*union, target), fit_ols_sets(df, feature_sets, target))
-    quality = evaluate(scored, target, "pred", keys=("model",))
-    return join_back(quality, r_squared(scored, target, "pred", keys=("model",)), ["model"])
+    return evaluate(scored, target, "pred", keys=("model",), with_r2=True)
 
 
 def fit_offset_weight(
@@ -204,8 +203,7 @@ def holdout_evaluate(
 ) -> DataFrame:
     """MAE, RMSE and R2 on either side of the cutoff season."""
     split = df.withColumn("data_split", season_split(cutoff, season))
-    quality = evaluate(split, target, pred, keys=("data_split",))
-    return join_back(quality, r_squared(split, target, pred, keys=("data_split",)), ["data_split"])
+    return evaluate(split, target, pred, keys=("data_split",), with_r2=True)
 
 
 def residual_std(df: DataFrame, value: str = "edge", split: str = "data_split") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hashmark.functions.missing import missing_any
 from hashmark.operators.joins import at_thresholds
-from hashmark.operators.scale import exact_percentiles, join_back
+from hashmark.operators.scale import exact_percentiles
 
 # Fixed values of the reports.
 EDGE_THRESHOLDS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
@@ -66,9 +66,9 @@ def season_report(scored: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def evaluate(
-    df: DataFrame, actual: str, pred: str, line: str | None = None, keys: Sequence[str] = ()
+    df: DataFrame, actual: str, pred: str, line: str | None = None, keys: Sequence[str] = (), with_r2: bool = False
 ) -> DataFrame:
-    """MAE, RMSE and count; with a line also mean and largest edge and the share of equal signs.
+    """MAE, RMSE and count, optionally R2; with a line also mean and largest edge and the share of equal signs.
 
     ``sign_accuracy`` compares the sign of outcome and prediction, not with the line; see
     ``roi_by_edge_bin`` for cover rates.
@@ -83,16 +83,20 @@ def evaluate(
             F.max(edge).alias("max_edge"),
             F.avg(((y > 0) == (p > 0)).cast("int")).alias("sign_accuracy"),
         ]
+    if with_r2:
+        out.append(_r2(y, p).alias("r2"))
     return rows.groupBy(*keys).agg(*out)
 
 
+def _r2(y: Column, p: Column) -> Column:
+    return F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), F.count("*") * F.var_pop(y))
+
+
 def r_squared(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """1 - SSE / SST; NULL for a constant outcome."""
     y, p = F.col(actual), F.col(pred)
     rows = df.filter(y.isNotNull() & p.isNotNull())
-    return rows.groupBy(*keys).agg(
-        (F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), F.count("*") * F.var_pop(y))).alias("r2")
-    )
+    return rows.groupBy(*keys).agg(_r2(y, p).alias("r2"))
 
 
 def _right_open(size: Column, lows: Sequence[float]) -> Column:
@@ -209,52 +213,34 @@ def ev_by_threshold(df: DataFrame, thresholds: Sequence[float] = EV_THRESHOLDS)
 def kelly_by_threshold(df: DataFrame, thresholds: Sequence[float] = EV_THRESHOLDS, value: str = "kelly_quarter") -> DataFrame:
     """Mean, exact median and largest Kelly share per threshold."""
     k = F.col(value)
-    rows = _threshold_rows(df, thresholds, {
-        "bets": lambda hit: F.count_if(hit),
-        "mean_kelly": lambda hit: F.avg(F.when(hit, k)),
-        "max_kelly": lambda hit: F.max(F.when(hit, k)),
-    }).filter(F.col("bets") > 0)
-    medians = exact_percentiles(
-        at_thresholds(df.select("abs_edge", value), thresholds), ["threshold"], value, {"median_kelly": 0.5}
+    return exact_percentiles(
+        at_thresholds(df.select("abs_edge", value), thresholds), ["threshold"], value, {"median_kelly": 0.5},
+        {"bets": F.count("*"), "mean_kelly": F.avg(k), "max_kelly": F.max(k)},
     )
-    return join_back(rows, medians, ["threshold"]).select("threshold", "bets", "mean_kelly", "median_kelly", "max_kelly")
 
 
 def backtest_summary(df: DataFrame, thresholds: Sequence[float] = EDGE_THRESHOLDS, split: str = "data_split") -> DataFrame:
     """Overall, per split and per threshold figures in one long table.
 
-    ``scope`` is overall, split or threshold and ``label`` names the part.
+    ``scope`` is overall, split or threshold and ``label`` names the part.  Each row is counted in every
+    part it belongs to by one literal generator.
     """
     e, size, ev = F.col("edge"), F.col("abs_edge"), F.col("ev_dollars")
-    parts = df.groupingSets([[split], []], split).agg(
-        F.grouping(split).alias("__all"),
-        F.count("*").alias("n"),
-        F.avg(size).alias("mean_abs_edge"),
-        _rmse(e).alias("rmse"),
-        F.sum(ev).alias("total_ev"),
-        F.avg(ev).alias("mean_ev"),
-    )
-    medians = exact_percentiles(
-        df.select(F.explode(F.array(F.col(split), F.lit("overall"))).alias("label"), "abs_edge"),
-        ["label"], "abs_edge", {"median_abs_edge": 0.5},
-    )
-    labelled = parts.select(
-        F.when(F.col("__all") == 1, F.lit("overall")).otherwise(F.lit("split")).alias("scope"),
-        F.when(F.col("__all") == 1, F.lit("overall")).otherwise(F.col(split)).alias("label"),
-        "n", "mean_abs_edge", "rmse", "total_ev", "mean_ev",
+
+    def part(scope: str, label: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), label.alias("label"))
+
+    always = F.array(part("overall", F.lit("overall")), part("split", F.col(split)))
+    reached = [F.when(size >= float(t), part("threshold", F.lit(f"{float(t):.1f}+"))) for t in thresholds]
+    parts = df.select(
+        "edge", "abs_edge", "ev_dollars", F.inline(F.concat(always, F.array_compact(F.array(*reached))))
     )
-    top = join_back(labelled, medians, ["label"])
-    cut = _threshold_rows(df, thresholds, {
-        "n": lambda hit: F.count_if(hit),
-        "mean_abs_edge": lambda hit: F.avg(F.when(hit, size)),
-        "rmse": lambda hit: _rmse(F.when(hit, e)),
-        "total_ev": lambda hit: F.sum(F.when(hit, ev)),
-        "mean_ev": lambda hit: F.avg(F.when(hit, ev)),
-    }).select(
-        F.lit("threshold").alias("scope"), F.format_string("%.1f+", F.col("threshold")).alias("label"),
-        "n", "mean_abs_edge", "rmse", "total_ev", "mean_ev", F.lit(None).cast("double").alias("median_abs_edge"),
+    return exact_percentiles(
+        parts, ["scope", "label"], "abs_edge", {"median_abs_edge": 0.5},
+        {
+            "n": F.count("*"), "mean_abs_edge": F.avg(size), "rmse": _rmse(e), "total_ev": F.sum(ev), "mean_ev": F.avg(ev),
+        },
     )
-    return top.unionByName(cut)
 
 
 def summary_json(summary: DataFrame) -> DataFrame:
@@ -281,25 +267,24 @@ def predictor_scorecard(
     right = (F.signum(F.negative(F.col("line"))) == F.signum(F.col("margin").cast("double"))).cast("int")
     edge = F.when(~is_market, F.abs(F.col("line") - F.col("market")))
     beats = F.when(~is_market, (F.abs(err) < market_error).cast("int"))
-    stats = long.groupBy("predictor").agg(
-        F.count("*").alias("n_games"),
-        F.avg(F.abs(err)).alias("mae"),
-        _rmse(err).alias("rmse"),
-        F.avg(err).alias("mean_error"),
-        F.stddev_samp(err).alias("std_error"),
-        F.avg(right).alias("ats_accuracy"),
-        F.sum(right).alias("ats_correct"),
-        *[
-            F.avg(F.when((F.col("size") >= lo) & (F.col("size") < hi), F.abs(err))).alias(f"mae_spread_{lo}_{hi}")
+    figures = {
+        "n_games": F.count("*"),
+        "mae": F.avg(F.abs(err)),
+        "rmse": _rmse(err),
+        "mean_error": F.avg(err),
+        "std_error": F.stddev_samp(err),
+        "ats_accuracy": F.avg(right),
+        "ats_correct": F.sum(right),
+        **{
+            f"mae_spread_{lo}_{hi}": F.avg(F.when((F.col("size") >= lo) & (F.col("size") < hi), F.abs(err)))
             for lo, hi in buckets
-        ],
-        F.avg(edge).alias("mean_edge"),
-        F.max(edge).alias("max_edge"),
-        F.avg(beats).alias("beat_market_pct"),
-        F.sum(beats).alias("beat_market_games"),
-    )
-    medians = exact_percentiles(long, ["predictor"], "error", {"median_error": 0.5})
-    return join_back(stats, medians, ["predictor"])
+        },
+        "mean_edge": F.avg(edge),
+        "max_edge": F.max(edge),
+        "beat_market_pct": F.avg(beats),
+        "beat_market_games": F.sum(beats),
+    }
+    return exact_percentiles(long, ["predictor"], "error", {"median_error": 0.5}, figures)
 
 
 def correlation_ranking(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -315,12 +300,10 @@ def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     )
     v = F.col("value")
-    stats = long.groupBy("column").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"),
-    )
-    quartiles = exact_percentiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return join_back(stats, quartiles, ["column"])
+    figures = {
+        "n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "range": F.max(v) - F.min(v),
+    }
+    return exact_percentiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, figures)
 
 
 def missing_feature_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -336,12 +319,10 @@ def line_availability(df: DataFrame, line: str = "home_line", keys: Sequence[str
 def week_prediction_summary(df: DataFrame, keys: Sequence[str] = ("season", "week")) -> DataFrame:
     """Games, mean, exact median, sample deviation and largest absolute edge of a scored period."""
     size = F.col("abs_edge")
-    stats = df.groupBy(*keys).agg(
-        F.count("*").alias("games"), F.avg(size).alias("mean_abs_edge"), F.stddev_samp("edge").alias("std_edge"),
-        F.max(size).alias("max_abs_edge"),
-    )
-    medians = exact_percentiles(df, list(keys), "abs_edge", {"median_abs_edge": 0.5})
-    return join_back(stats, medians, list(keys))
+    figures = {
+        "games": F.count("*"), "mean_abs_edge": F.avg(size), "std_edge": F.stddev_samp("edge"), "max_abs_edge": F.max(size),
+    }
+    return exact_percentiles(df, list(keys), "abs_edge", {"median_abs_edge": 0.5}, figures)
 
 
 def top_edges(df: DataFrame, k: int = 10, by: Sequence[str] = (), tie_break: Sequence[str] = ("game_id",), edge: str = "edge") -> DataFrame:

@@ -8,10 +8,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
@@ -148,69 +148,65 @@ def global_position(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percentages: dict[str, float], accuracy: int = 20_000,
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    percentages: Mapping[str, float],
+    extra: Mapping[str, Column] | None = None,
+    accuracy: int = 20_000,
     max_keys: int = 10_000,
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, as columns named by ``percentages``.
-
-    A mergeable sketch brackets each wanted rank to a band of a few parts in ``accuracy``; a second
-    pass counts the rows below the band and the distinct values inside it, and the exact value is
-    read off their cumulative counts.  A group is never gathered; equal values are counted, not listed.
-    Keys with no value are absent.
+    """Exact linear-interpolated percentiles per key, as columns named by ``percentages``, next to any
+    further aggregates in ``extra``.
+
+    Two passes.  The first computes ``extra`` and a mergeable sketch that brackets each wanted rank to a
+    band of a few parts in ``accuracy``.  The second counts the rows below the band and the distinct
+    values inside it; the exact value is read off their cumulative counts.  A group is never gathered:
+    equal values are counted, not listed.  A report has few keys; up to ``max_keys`` brackets travel to
+    the data as a broadcast, beyond that the brackets are joined by key.
     """
-    keys = list(keys)
+    keys, extra = list(keys), dict(extra or {})
     group = keys or ["__all"]
-    data = df.filter(F.col(value).isNotNull()).select(
-        *[F.col(k) for k in keys], *([] if keys else [F.lit(1).alias("__all")]), F.col(value).cast("double").alias("__v")
-    )
+    rows = df if keys else df.withColumn("__all", F.lit(1))
+    v = F.col(value).cast("double")
     margin = 3.0 / accuracy
-    names = list(percentages)
-    bounds: list[float] = []
-    for p in percentages.values():
-        bounds += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = data.groupBy(*group).agg(
-        F.count("*").alias("__n"), F.percentile_approx("__v", bounds, accuracy).alias("__b"),
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-    )
-    # one row per key; a report has few keys, and then the brackets travel to the data, not the reverse
-    brackets = sketch.limit(max_keys + 1).collect()
-    if len(brackets) <= max_keys:
-        sketch = F.broadcast(data.sparkSession.createDataFrame(brackets, sketch.schema))
-    wanted = sketch.select(
-        *group,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("__name"),
-                        (F.lit(percentages[n]) * (F.col("__n") - 1)).alias("__rank"),
-                        # the outermost bands are open to the extremes, so rank 0 and n-1 are inside
-                        (F.col("__lo") if bounds[2 * i] == 0.0 else F.get("__b", F.lit(2 * i))).alias("__from"),
-                        (F.col("__hi") if bounds[2 * i + 1] == 1.0 else F.get("__b", F.lit(2 * i + 1))).alias("__to"),
-                    )
-                    for i, n in enumerate(names)
-                ]
-            )
-        ),
+    bounds = [b for p in percentages.values() for b in (max(0.0, p - margin), min(1.0, p + margin))]
+    first_pass = rows.groupBy(*group).agg(
+        *[c.alias(n) for n, c in extra.items()],
+        F.count(v).alias("__n"), F.percentile_approx(v, bounds, accuracy).alias("__b"),
+        F.min(v).alias("__lo"), F.max(v).alias("__hi"),
     )
+    local = first_pass.limit(max_keys + 1).collect()
+    small = len(local) <= max_keys
+    if small:
+        first_pass = df.sparkSession.createDataFrame(local, first_pass.schema)
+
+    bands = F.array(*[
+        F.struct(
+            F.lit(n).alias("__name"),
+            (F.lit(p) * (F.col("__n") - 1)).alias("__rank"),
+            # the outermost bands are open to the extremes, so rank 0 and n-1 are inside
+            (F.col("__lo") if bounds[2 * i] == 0.0 else F.get("__b", F.lit(2 * i))).alias("__from"),
+            (F.col("__hi") if bounds[2 * i + 1] == 1.0 else F.get("__b", F.lit(2 * i + 1))).alias("__to"),
+        )
+        for i, (n, p) in enumerate(percentages.items())
+    ])
+    wanted = first_pass.filter(F.col("__n") > 0).select(*group, F.inline(bands))
+    narrow = rows.select(*group, v.alias("__v"))
     # values below a band collapse to one row per key, name and task before they move
-    joined = join_back(data, wanted, group, "inner").filter(F.col("__v") <= F.col("__to")).select(
-        *group, "__name", "__rank",
-        F.when(F.col("__v") >= F.col("__from"), F.col("__v")).alias("__v"),
-    )
-    counted = joined.groupBy(*group, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
+    banded = join_back(narrow, F.broadcast(wanted) if small else wanted, group, "inner").filter(
+        F.col("__v") <= F.col("__to")
+    ).select(*group, "__name", "__rank", F.when(F.col("__v") >= F.col("__from"), F.col("__v")).alias("__v"))
+    counted = banded.groupBy(*group, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
     so_far = (
         Window.partitionBy(*group, "__name").orderBy(F.col("__v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = counted.withColumn("__cum", F.sum("__c").over(so_far))
-    low, high = F.floor("__rank"), F.ceil("__rank")
     points = ranked.groupBy(*group, "__name", "__rank").agg(
-        F.min(F.when(F.col("__cum") > low, F.col("__v"))).alias("__a"),
-        F.min(F.when(F.col("__cum") > high, F.col("__v"))).alias("__z"),
+        F.min(F.when(F.col("__cum") > F.floor("__rank"), F.col("__v"))).alias("__a"),
+        F.min(F.when(F.col("__cum") > F.ceil("__rank"), F.col("__v"))).alias("__z"),
     )
     value_at = F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__rank") - F.floor("__rank"))
-    out = points.groupBy(*group).agg(
-        *[F.max(F.when(F.col("__name") == n, value_at)).alias(n) for n in names]
-    )
-    return out if keys else out.drop("__all")
+    exact = points.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, value_at)).alias(n) for n in percentages])
+    return join_back(first_pass.select(*group, *extra), exact, group).select(*keys, *extra, *percentages)

@@ -43,14 +43,14 @@ def _outcomes(df: DataFrame) -> DataFrame:
     })
 
 
-def base_dataset(rated: DataFrame, start: int | None = None, end: int | None = None, key: str = "game_id") -> DataFrame:
-    """The 13-column frame: rating difference against the closing spread.  ``key`` holds the game key."""
+def base_dataset(rated: DataFrame, start: int | None = None, end: int | None = None, key: str | None = "game_id") -> DataFrame:
+    """The 13-column frame: rating difference against the closing spread.  ``key`` names the game key, if it must be parsed."""
     games = select_rated_games(rated, start, end, key=key)
     diffs = side_differences(games, {"rating_diff": ("rating_home", "rating_away")})
     return _outcomes(diffs.withColumn("closing_spread", F.col("home_line"))).select(*BASE_COLUMNS)
 
 
-def structural_dataset(rated: DataFrame, start: int | None = None, end: int | None = None, key: str = "game_id") -> DataFrame:
+def structural_dataset(rated: DataFrame, start: int | None = None, end: int | None = None, key: str | None = "game_id") -> DataFrame:
     """The 18-column frame: rating, rest, division, surface, time zone and passer differences."""
     games = rest_from_modifiers(select_rated_games(rated, start, end, key=key))
     diffs = side_differences(games, {"rating_diff": ("rating_home", "rating_away")})
@@ -66,7 +66,7 @@ def structural_dataset(rated: DataFrame, start: int | None = None, end: int | No
 
 
 def form_dataset(
-    rated: DataFrame, team_week: DataFrame, window: int = 4, start: int | None = None, end: int | None = None, key: str = "game_id"
+    rated: DataFrame, team_week: DataFrame, window: int = 4, start: int | None = None, end: int | None = None, key: str | None = "game_id"
 ) -> DataFrame:
     """The structural frame with the four form differences; early games keep NULL form."""
     return join_form_both_sides(structural_dataset(rated, start, end, key), team_form(team_week, window))

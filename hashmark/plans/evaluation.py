@@ -78,7 +78,8 @@ def weekly_slate(
     if model not in known:
         raise KeyError(f"unknown model {model}")
     weights = {n: w for n, w in (weights or known[model]).items() if n in ratings.columns}
-    sides = join_both_sides(matchups, ratings.select("team", *weights))
+    slate = matchups.select("season", "week", "away_team", "home_team", line)
+    sides = join_both_sides(slate, ratings.select("team", *weights))
     scored = sides.withColumn("raw_line", weighted_rating_score(rating_terms(weights), hfa))
     final = apply_adjustments(scored.withColumn("model_line", F.bround("raw_line", 1)), adjustments)
     edge = F.bround(F.col("final_line") - F.col(line), 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hashmark.functions.keys import parse_game_key
+from hashmark.functions.keys import GAME_KEY, parse_game_key
 from hashmark.functions.missing import nan_to_null, require_complete
 from hashmark.operators.joins import normalize_entity
 
@@ -103,11 +103,17 @@ def filter_period(
 
 def select_rated_games(
     df: DataFrame, start: int | None = None, end: int | None = None,
-    required: Sequence[str] = ("home_line", "rating_home", "rating_away"), key: str = "game_id",
+    required: Sequence[str] = ("home_line", "rating_home", "rating_away"), key: str | None = "game_id",
 ) -> DataFrame:
-    """Parse the key, keep the season range and the games that have a line and both ratings."""
-    parsed = parse_game_key(df, key)
-    return require_complete(select_games(parsed, start, end, None), [*required, "season", "week"])
+    """Parse the key, keep the season range and the games that have a line and both ratings.
+
+    Games whose key does not parse are dropped.  The presence filters come first, on stored columns, so
+    that the reader can apply them.  ``key=None`` takes season, week and teams from columns of their own.
+    """
+    present = require_complete(df, required)
+    if key is None:
+        return select_games(present, start, end, None)
+    return select_games(parse_game_key(present.filter(F.col(key).rlike(GAME_KEY)), key), start, end, None)
 
 
 def scan_rated_games(spark: SparkSession, path: str, **selection) -> DataFrame:
