@@ -399,9 +399,9 @@ def _(spark, sf_dir):
     return reshape.game_ratings_to_team(games(spark, sf_dir))
 
 
-@query("key_difference", sql("SELECT home_team, season FROM G EXCEPT SELECT posteam, season FROM P WHERE play_type = 'pass' AND epa > 2", "G", "P"))
+@query("key_difference", sql("SELECT home_team, season FROM G EXCEPT SELECT posteam, season FROM P WHERE season < 1999 AND epa > 2", "G", "P"))
 def _(spark, sf_dir):
-    b = plays(spark, sf_dir).filter("play_type = 'pass' AND epa > 2").select(F.col("posteam").alias("home_team"), "season")
+    b = plays(spark, sf_dir).filter("season < 1999 AND epa > 2").select(F.col("posteam").alias("home_team"), "season")
     return reshape.key_difference(games(spark, sf_dir), b, ["home_team", "season"])
 
 

