@@ -1,9 +1,8 @@
 """Plays to entity-period statistics.
 
-The same play counts for the side that has the ball and for the side that defends, with the same
-numbers.  So plays are reduced once per (season, week, posteam, defteam) -- a pair meets once or twice
-a period -- and only those sums are turned into an offence and a defence row and added up per team.
-Plays themselves are neither duplicated nor shuffled unreduced.
+The same play counts for the side that has the ball and for the side that defends.  A play becomes an
+offence and a defence row inside the scan stage, and additive parts are combined there: what is shuffled
+is one row per (season, week, team, side) and task, however the plays are spread over teams.
 """
 
 from __future__ import annotations
@@ -20,6 +19,10 @@ RED_ZONE_YARDS = 20
 BIG_PLAY_YARDS = 20
 
 PERIOD = ["season", "week"]
+INPUTS = (
+    "play_type", "epa", "success", "down", "third_down_converted", "yardline_100", "touchdown", "yards_gained",
+    "interception", "fumble_lost",
+)
 
 
 def _true(condition: Column) -> Column:
@@ -146,28 +149,27 @@ def both_sides_only(offense: DataFrame, defense: DataFrame, keys: Sequence[str]
 def team_period_stats(plays: DataFrame, profile: str = "full") -> DataFrame:
     """Offence and defence statistics for every (season, week, team) that has both."""
     metrics = PROFILES[profile]
-    pairs = (
+    roles = F.array(
+        F.struct(F.col("posteam").alias("team"), F.lit(True).alias("__own")),
+        F.struct(F.col("defteam").alias("team"), F.lit(False).alias("__own")),
+    )
+    sides = (
         scrimmage(plays)
         .filter(F.col("season").isNotNull() & F.col("week").isNotNull())
-        .groupBy(*PERIOD, "posteam", "defteam")
+        .select(*PERIOD, *INPUTS, F.inline(roles))
+        .filter(F.col("team").isNotNull())
+        .groupBy(*PERIOD, "team", "__own")
         .agg(*[c.alias(n) for n, c in _sums().items()])
     )
-    sides = pairs.select(
-        *PERIOD,
-        F.inline(
-            F.array(
-                F.struct(F.col("posteam").alias("team"), F.lit(True).alias("__own")),
-                F.struct(F.col("defteam").alias("team"), F.lit(False).alias("__own")),
-            )
-        ),
-        *PARTS,
-    ).filter(F.col("team").isNotNull())
-    summed = sides.groupBy(*PERIOD, "team").agg(
-        *[F.sum(F.when(F.col("__own"), F.col(p))).alias(f"o_{p}") for p in PARTS],
-        *[F.sum(F.when(~F.col("__own"), F.col(p))).alias(f"d_{p}") for p in PARTS],
-    ).filter((F.col("o_n") > 0) & (F.col("d_n") > 0))
+    # one row per side: a maximum picks it and keeps the aggregate a hash aggregate
+    own = F.col("__own")
+    paired = sides.groupBy(*PERIOD, "team").agg(
+        F.count("*").alias("__sides"),
+        *[F.max(F.when(own, F.col(p))).alias(f"o_{p}") for p in PARTS],
+        *[F.max(F.when(~own, F.col(p))).alias(f"d_{p}") for p in PARTS],
+    ).filter(F.col("__sides") == 2)
     own, faced = _metrics(lambda p: F.col(f"o_{p}")), _metrics(lambda p: F.col(f"d_{p}"))
-    return summed.select(
+    return paired.select(
         *PERIOD,
         "team",
         *[own[m].alias(f"off_{m}") for m in metrics],

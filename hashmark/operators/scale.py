@@ -193,9 +193,10 @@ def exact_percentiles(
     ])
     wanted = first_pass.filter(F.col("__n") > 0).select(*group, F.inline(bands))
     narrow = rows.select(*group, v.alias("__v"))
-    # values below a band collapse to one row per key, name and task before they move
+    # values below a band collapse to one row per key, name and task before they move; the coalesce keeps
+    # Spark from inferring a null filter that would evaluate an expensive value a second time
     banded = join_back(narrow, F.broadcast(wanted) if small else wanted, group, "inner").filter(
-        F.col("__v") <= F.col("__to")
+        F.coalesce(F.col("__v") <= F.col("__to"), F.lit(False))
     ).select(*group, "__name", "__rank", F.when(F.col("__v") >= F.col("__from"), F.col("__v")).alias("__v"))
     counted = banded.groupBy(*group, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
     so_far = (
