@@ -81,9 +81,10 @@ def split_histories(
     tails = tagged.withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= carry).drop("__r")
     ahead = Window.partitionBy(*keys).orderBy(CHUNK, *order).rowsBetween(1, carry)
     carried = (
-        tails.withColumn("__to", F.explode(F.array_remove(F.collect_set(CHUNK).over(ahead), F.col(CHUNK))))
+        tails.withColumn("__ahead", F.collect_set(CHUNK).over(ahead))
+        .withColumn("__to", F.explode(F.array_remove("__ahead", F.col(CHUNK))))
         .withColumn(CHUNK, F.col("__to"))
-        .drop("__to")
+        .drop("__to", "__ahead")
         .withColumn(CARRIED, F.lit(True))
     )
     return tagged.withColumn(CARRIED, F.lit(False)).unionByName(carried)
@@ -193,20 +194,38 @@ def exact_percentiles(
     ])
     wanted = first_pass.filter(F.col("__n") > 0).select(*group, F.inline(bands))
     narrow = rows.select(*group, v.alias("__v"))
-    # values below a band collapse to one row per key, name and task before they move; the coalesce keeps
-    # Spark from inferring a null filter that would evaluate an expensive value a second time
-    banded = join_back(narrow, F.broadcast(wanted) if small else wanted, group, "inner").filter(
-        F.coalesce(F.col("__v") <= F.col("__to"), F.lit(False))
-    ).select(*group, "__name", "__rank", F.when(F.col("__v") >= F.col("__from"), F.col("__v")).alias("__v"))
-    counted = banded.groupBy(*group, "__name", "__rank", "__v").agg(F.count("*").alias("__c"))
+    # rows below and above a band collapse to one row each per key, name and task before they move; only
+    # their nearest value to the band can be an order statistic next to it
+    x, below, inside, above = F.col("__v"), F.lit(-1), F.lit(0), F.lit(1)
+    zone = F.when(x < F.col("__from"), below).when(x > F.col("__to"), above).when(x.isNotNull(), inside)
+    zoned = join_back(narrow, F.broadcast(wanted) if small else wanted, group, "inner").select(
+        *group, "__name", "__rank", zone.alias("__zone"), F.when(zone == inside, x).alias("__in"), "__v"
+    )
+    counted = zoned.groupBy(*group, "__name", "__rank", "__zone", "__in").agg(
+        F.count("__v").alias("__c"), F.max("__v").alias("__max"), F.min("__v").alias("__min")
+    )
     so_far = (
-        Window.partitionBy(*group, "__name").orderBy(F.col("__v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*group, "__name").orderBy("__zone", "__in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counted.withColumn("__cum", F.sum("__c").over(so_far))
+    ranked = counted.filter(F.col("__c") > 0).withColumn("__cum", F.sum("__c").over(so_far)).withColumn(
+        "__value", F.when(F.col("__zone") < 0, F.col("__max")).otherwise(F.col("__min"))
+    )
+
+    def at(position: Column) -> Column:
+        return F.min(F.when(F.col("__cum") > position, F.struct("__zone", F.col("__in"), "__value", "__cum", "__c")))
+
     points = ranked.groupBy(*group, "__name", "__rank").agg(
-        F.min(F.when(F.col("__cum") > F.floor("__rank"), F.col("__v"))).alias("__a"),
-        F.min(F.when(F.col("__cum") > F.ceil("__rank"), F.col("__v"))).alias("__z"),
+        at(F.floor("__rank")).alias("__low"), at(F.ceil("__rank")).alias("__high")
+    )
+    low, high = F.col("__low"), F.col("__high")
+    # below the band only its last row is known, above the band only its first
+    known = ((low["__zone"] >= 0) | (F.floor("__rank") == low["__cum"] - 1)) & (
+        (high["__zone"] <= 0) | (F.ceil("__rank") == high["__cum"] - high["__c"])
+    )
+    points = points.select(
+        *group, "__name", "__rank",
+        F.when(known, low["__value"]).otherwise(F.raise_error(F.lit("percentile outside its band")).cast("double")).alias("__a"),
+        high["__value"].alias("__z"),
     )
     value_at = F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__rank") - F.floor("__rank"))
     exact = points.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, value_at)).alias(n) for n in percentages])
