@@ -127,9 +127,15 @@ def _write_csv(df, folder: str, name: str, preamble: list[str] | None = None) ->
     head.coalesce(1).union(body).coalesce(1).write.text(f"{folder}/{name}")
 
 
-def snapshot_folder(spark, sf_dir) -> str:
+def snapshot_folder(spark, sf_dir, *categories: str) -> str:
     """Files of two providers and three weeks: category-first, legacy, with a preamble, with extra columns."""
     folder = scratch_path(spark, "snapshots")
+    for category in categories:
+        WRITERS[category](spark, sf_dir, folder)
+    return folder
+
+
+def _write_power_ratings(spark, sf_dir, folder: str) -> None:
     s, c = _per_team(supplier_ratings(spark, sf_dir)), _per_team(customer_ratings(spark, sf_dir))
     first = s.select(F.col("team").alias("Team"), F.lit(2025).alias("Season"), F.col("a").alias("rating"), F.col("b").alias("QB Adj"), F.col("n").alias("Value"))
     _write_csv(first, folder, "power_ratings_alpha_2025_week_1.csv")
@@ -137,21 +143,40 @@ def snapshot_folder(spark, sf_dir) -> str:
     _write_csv(first.withColumn("rating", F.col("rating") + 1), folder, "alpha_power_ratings_2025_week_2.csv")
     second = c.select(F.col("team").alias("Team"), F.lit("East").alias("Div."), F.col("a").alias("Off."), F.col("b").alias("Def."), F.col("n").alias("Ovr."))
     _write_csv(second, folder, "power_ratings_beta_2025_week_1.csv", ["X.1", "X.2", "~~~Ratings~~~", "X.3", "X.4"])
+
+
+def _write_epa_tiers(spark, sf_dir, folder: str) -> None:
+    s = _per_team(supplier_ratings(spark, sf_dir))
     tiers = s.select(F.col("team").alias("Team"), F.lit(2025).alias("Season"), F.col("a").alias("EPA/Play"), F.col("b").alias("EPA/Play Against"))
     _write_csv(tiers, folder, "epa_tiers_alpha_2025_week_1.csv")
+
+
+def _write_strength(spark, sf_dir, folder: str) -> None:
+    s = _per_team(supplier_ratings(spark, sf_dir))
     strength = s.select(F.col("team").alias("Team"), F.col("a").alias("Original Rating"), F.col("b").alias("Avg. Opp. Rating"), F.col("n").alias("Rank"))
     _write_csv(strength, folder, "strength_of_schedule_alpha_2025_week_1.csv")
+
+
+def _write_passers(spark, sf_dir, folder: str) -> None:
     passers = customer_ratings(spark, sf_dir).select(
         F.concat(F.lit("Player "), F.col("source_id")).alias("Player"), F.concat(F.lower("team"), F.lit(", zzz")).alias("Tms"),
         (F.col("source_id") % 500).alias("Plays"), F.col("rating").alias("EPA"),
     )
     passers.write.option("header", True).csv(f"{folder}/qb_epa_beta_2025_week_1.csv")
+
+
+def _write_projections(spark, sf_dir, folder: str) -> None:
     pairs = games(spark, sf_dir).filter((F.col("season") == 1999) & (F.col("week") == 4)).select(
         F.col("gameday").alias("Date"), F.concat_ws(" at ", "away_team", "home_team").alias("Matchup"),
         F.concat(F.lit("T -"), F.col("game_id") % 15).alias("Favorite"), (F.col("game_id") % 100).alias("Win Prob."),
     )
     pairs.write.option("header", True).csv(f"{folder}/beta_weekly_proj_ppg_2025_week_1.csv")
-    return folder
+
+
+WRITERS = {
+    "power_ratings": _write_power_ratings, "epa_tiers": _write_epa_tiers, "strength_of_schedule": _write_strength,
+    "qb_epa": _write_passers, "weekly_projections_ppg": _write_projections,
+}
 
 
 @query(
@@ -162,7 +187,7 @@ def snapshot_folder(spark, sf_dir) -> str:
     "rating qb_adj value off_rating def_rating overall",
 )
 def _(spark, sf_dir):
-    found = snapshots.power_ratings(spark, snapshot_folder(spark, sf_dir))
+    found = snapshots.power_ratings(spark, snapshot_folder(spark, sf_dir, "power_ratings"))
     return found.drop("wow", "ytd")
 
 
@@ -173,7 +198,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """The preamble and its byte-order mark are gone, the data rows are whole."""
-    cells = snapshots.raw_cells(spark, snapshot_folder(spark, sf_dir), "power_ratings").filter(F.col("provider") == "beta")
+    files = snapshots.resolve_files(spark, snapshot_folder(spark, sf_dir, "power_ratings"), "power_ratings", "beta")
+    cells = snapshots.raw_cells(spark, "power_ratings", files)
     _, rows = snapshots.drop_preamble(cells, ["team"], ["off."])
     cell = snapshots.cell
     return rows.select(
@@ -183,17 +209,17 @@ def _(spark, sf_dir):
 
 @query("epa_tiers", f"SELECT team, a AS epa_off, b AS epa_def, a - b AS epa_margin FROM {_R}", "epa_off epa_def epa_margin")
 def _(spark, sf_dir):
-    return snapshots.epa_tiers(spark, snapshot_folder(spark, sf_dir)).select("team", "epa_off", "epa_def", "epa_margin")
+    return snapshots.epa_tiers(spark, snapshot_folder(spark, sf_dir, "epa_tiers")).select("team", "epa_off", "epa_def", "epa_margin")
 
 
 @query("strength_of_schedule", f"SELECT team, a AS original_rating, b AS opponent_rating, CAST(n AS DOUBLE) AS sos_rank FROM {_R}", "original_rating opponent_rating")
 def _(spark, sf_dir):
-    return snapshots.strength_of_schedule(spark, snapshot_folder(spark, sf_dir)).select("team", "original_rating", "opponent_rating", "sos_rank")
+    return snapshots.strength_of_schedule(spark, snapshot_folder(spark, sf_dir, "strength_of_schedule")).select("team", "original_rating", "opponent_rating", "sos_rank")
 
 
 @query("qb_epa", "SELECT 'Player ' || CAST(c_custkey AS VARCHAR) AS player, lower('T' || CAST(c_custkey % 32 AS VARCHAR)) AS team, CAST(c_custkey % 500 AS DOUBLE) AS plays, c_acctbal AS epa FROM customer")
 def _(spark, sf_dir):
-    return snapshots.qb_epa(spark, snapshot_folder(spark, sf_dir)).select("player", "team", "plays", "epa")
+    return snapshots.qb_epa(spark, snapshot_folder(spark, sf_dir, "qb_epa")).select("player", "team", "plays", "epa")
 
 
 @query(
@@ -201,7 +227,7 @@ def _(spark, sf_dir):
     sql("SELECT strftime(gameday, '%Y-%m-%d') AS date, away_team || ' at ' || home_team AS matchup, 'T -' || CAST(game_id % 15 AS VARCHAR) AS favorite_line, CAST(game_id % 100 AS DOUBLE) AS win_prob, true AS legacy FROM G WHERE season = 1999 AND week = 4", "G"),
 )
 def _(spark, sf_dir):
-    found = snapshots.weekly_projections(spark, snapshot_folder(spark, sf_dir))
+    found = snapshots.weekly_projections(spark, snapshot_folder(spark, sf_dir, "weekly_projections_ppg"))
     return found.select("date", "matchup", "favorite_line", "win_prob", "legacy")
 
 
@@ -213,7 +239,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Base ratings, EPA tiers, a second provider, the busiest passer, and a source that is not there."""
-    folder = snapshot_folder(spark, sf_dir)
+    folder = snapshot_folder(spark, sf_dir, "power_ratings", "epa_tiers", "qb_epa")
     aliases = team_ratings(spark, sf_dir).select(F.col("team").alias("alias"), F.col("team").alias("code"))
     merged, _ = snapshots.load_sources(
         spark, folder, 2025, 1,

@@ -120,7 +120,8 @@ def merge_ratings(
         renamed = guard_unique(other, [key]).withColumnsRenamed(
             {c: f"{c}_{name}" for c in other.columns if c != key and c in taken}
         )
-        out = out.join(bounded_broadcast(renamed), key, "left")
+        # team tables are small by their file sizes, which is what Spark's own broadcast choice goes by
+        out = out.join(renamed, key, "left")
     return out, skipped
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared checkpoint folder: read again instead of recomputed, also
+    after an executor is lost."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh table location under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/hashmark/{label}-{uuid.uuid4().hex}"

@@ -7,16 +7,19 @@ sit side by side; nothing is inferred and no file is opened by the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashmark.functions.keys import first_listed
 from hashmark.operators.joins import best_per_key, merge_ratings, normalize_entity
-from hashmark.operators.scale import bounded_broadcast, join_back
+from hashmark.operators.scale import BROADCAST_ROWS, join_back
+from hashmark.session import checkpointed
 
 MAX_COLUMNS = 64
 PERIOD_KEYS = ("category", "provider", "season", "week")
@@ -70,37 +73,62 @@ def _folded(col: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(col, "^﻿", "")))
 
 
-def _file_parts(category: str) -> dict[str, Column]:
-    """Provider, season, week and preference (0 is the category-first name) from the file's path."""
-    path = F.regexp_replace(F.col("__path"), "%20", " ")
+def _forms(category: str) -> list[str]:
+    """Path patterns of a category in order of preference; groups are provider, season and week."""
     short = category.replace("_projections_", "_proj_")
-    forms = [
-        (rf"/{category}_{CATEGORY_FIRST}", 1, 2, 3),
-        (rf"/([A-Za-z0-9]+)_{category}{PROVIDER_FIRST_TAIL}", 1, 2, 3),
-        (rf"/([A-Za-z0-9]+)_{category}_off_def{PROVIDER_FIRST_TAIL}", 1, 2, 3),
-        (rf"/([A-Za-z0-9]+)_{short}{PROVIDER_FIRST_TAIL}", 1, 2, 3),
+    return [
+        rf"/{category}_{CATEGORY_FIRST}",
+        rf"/([A-Za-z0-9]+)_{category}{PROVIDER_FIRST_TAIL}",
+        rf"/([A-Za-z0-9]+)_{category}_off_def{PROVIDER_FIRST_TAIL}",
+        rf"/([A-Za-z0-9]+)_{short}{PROVIDER_FIRST_TAIL}",
     ]
 
-    def pick(group: int) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(path, f[0], f[group]), F.lit("")) for f in forms])
 
-    preference = F.coalesce(*[F.when(F.regexp_like(path, F.lit(f[0])), F.lit(i)) for i, f in enumerate(forms)])
+def resolve_files(
+    spark: SparkSession, folder: str, category: str, provider: str | None = None, season: int | None = None, week: int | None = None
+) -> dict[str, tuple[str, int, int, bool]]:
+    """Files to read, with their (provider, season, week, legacy), from Spark's listing of the folder.
+
+    For each provider and period the best naming form present is used and the others are left out, so
+    superseded files and other weeks are never opened.
+    """
+    short = category.replace("_projections_", "_proj_")
+    pattern = f"{folder.rstrip('/')}/{{*{category}_*,*{short}_*}}"
+    try:
+        listed = spark.read.option("recursiveFileLookup", True).text(pattern).inputFiles()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return {}
+    found: dict[tuple[str, int, int], dict[int, list[str]]] = {}
+    for path in listed:
+        for preference, form in enumerate(_forms(category)):
+            match = re.search(form, path)
+            if match:
+                period = (match[1], int(match[2]), int(match[3]))
+                found.setdefault(period, {}).setdefault(preference, []).append(path)
+                break
+    wanted = (provider, season, week)
     return {
-        "category": F.lit(category), "provider": pick(1), "season": pick(2).cast("int"), "week": pick(3).cast("int"),
-        "layout_priority": preference,
+        path: (*period, min(forms) > 0)
+        for period, forms in found.items()
+        if all(w is None or w == p for w, p in zip(wanted, period))
+        for path in forms[min(forms)]
     }
 
 
-def raw_cells(spark: SparkSession, folder: str, category: str) -> DataFrame:
-    """All CSV rows of a category as ``(__path, cells, category, provider, season, week, layout_priority)``."""
+def raw_cells(spark: SparkSession, category: str, files: Mapping[str, tuple[str, int, int, bool]]) -> DataFrame:
+    """The CSV rows of the resolved files as ``(__path, cells, category, provider, season, week, legacy)``."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
-    short = category.replace("_projections_", "_proj_")
-    pattern = f"{folder.rstrip('/')}/{{*{category}_*,*{short}_*}}"
-    read = spark.read.schema(schema).option("header", False).option("recursiveFileLookup", True).csv(pattern)
-    return (
-        read.select(F.col("_metadata.file_path").alias("__path"), F.array(*schema.names).alias("cells"))
-        .withColumns(_file_parts(category))
-        .filter(F.col("season").isNotNull())
+    read = spark.read.schema(schema).option("header", False).csv(list(files))
+    path = F.col("__path")
+
+    def pick(group: int) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(path, form, group), F.lit("")) for form in _forms(category)])
+
+    return read.select(F.col("_metadata.file_path").alias("__path"), F.array(*schema.names).alias("cells")).select(
+        "__path", "cells", F.lit(category).alias("category"), pick(1).alias("provider"), pick(2).cast("int").alias("season"),
+        pick(3).cast("int").alias("week"), (~F.regexp_like(path, F.lit(_forms(category)[0]))).alias("legacy"),
     )
 
 
@@ -116,12 +144,16 @@ def drop_preamble(cells: DataFrame, key_headers: Sequence[str], probes: Sequence
         cells.filter(is_header).groupBy("__path")
         .agg(F.min(F.transform("cells", lambda c: F.coalesce(_folded(c), F.lit("")))).alias("header"))
     )
-    # one header per file: a bounded table next to the rows it describes
-    rows = join_back(cells.filter(~F.coalesce(is_header, F.lit(False))), bounded_broadcast(headers), ["__path"], "inner")
-    known = [cell(name) for name in probes]
-    numeric = F.coalesce(*[k.try_cast("double") for k in known]).isNotNull()
-    has_probe = F.arrays_overlap("header", F.array(*[F.lit(p) for p in probes]))
-    return headers, rows.filter(numeric | ~has_probe)
+    rows = join_back(cells.filter(~F.coalesce(is_header, F.lit(False))), _per_file(headers, cells), ["__path"], "inner")
+    names = F.array(*[F.lit(p) for p in probes])
+    probed = F.transform(names, lambda n: F.get("cells", (F.array_position("header", n) - 1).cast("int")))
+    numeric = F.exists(probed, lambda c: c.try_cast("double").isNotNull())
+    return headers, rows.filter(F.coalesce(numeric, F.lit(False)) | ~F.arrays_overlap("header", names))
+
+
+def _per_file(small: DataFrame, cells: DataFrame) -> DataFrame:
+    """Broadcast a table that has at most one row per file, if the scan's file list bounds it."""
+    return F.broadcast(small) if len(cells.inputFiles()) <= BROADCAST_ROWS else small
 
 
 def cell(*names: str) -> Column:
@@ -130,27 +162,34 @@ def cell(*names: str) -> Column:
     return F.get("cells", (F.coalesce(*at) - 1).cast("int"))
 
 
-def scan_provider_snapshots(spark: SparkSession, folder: str, category: str, aliases: DataFrame | None = None) -> DataFrame:
+def scan_provider_snapshots(
+    spark: SparkSession, folder: str, category: str, aliases: DataFrame | None = None,
+    provider: str | None = None, season: int | None = None, week: int | None = None,
+) -> DataFrame | None:
     """One row per (provider, season, week, team or line of the file) with the category's columns.
 
     Where a category-first and an older file both exist for a period, the category-first one is used
     and ``legacy`` is false.  Teams are normalised when aliases are given (unknown ones are dropped).
+    ``None`` if there is no file.
     """
+    files = resolve_files(spark, folder, category, provider, season, week)
+    if not files:
+        return None
     layout = LAYOUTS[category]
     probes = [h for names in layout.numbers.values() for h in names]
-    _, rows = drop_preamble(raw_cells(spark, folder, category), (*layout.key_headers, *_text_headers(layout)), probes)
-    best = rows.groupBy(*PERIOD_KEYS).agg(F.min("layout_priority").alias("__best"))
-    chosen = join_back(rows, bounded_broadcast(best), list(PERIOD_KEYS), "inner").filter(F.col("layout_priority") == F.col("__best"))
-    out = chosen.select(
+    cells = raw_cells(spark, category, files)
+    _, rows = drop_preamble(cells, (*layout.key_headers, *_text_headers(layout)), probes)
+    out = rows.select(
         *PERIOD_KEYS,
-        (F.col("layout_priority") > 0).alias("legacy"),
+        "legacy",
         first_listed(cell(*layout.key_headers)).alias("team"),
         *[F.trim(cell(*names)).alias(c) for c, names in (layout.texts or {}).items()],
         *[cell(*names).try_cast("double").alias(c) for c, names in layout.numbers.items()],
     )
     if category == "epa_tiers":
         out = out.withColumn("epa_margin", F.col("epa_off") - F.col("epa_def"))
-    return normalize_entity(out, "team", aliases, "team", "drop") if aliases is not None and layout.category != "weekly_projections_ppg" else out
+    by_team = aliases is not None and category != WEEKLY_PROJECTIONS.category
+    return normalize_entity(out, "team", aliases, "team", "drop") if by_team else out
 
 
 def _text_headers(layout: Layout) -> tuple[str, ...]:
@@ -186,23 +225,14 @@ def load_sources(
     without teams is skipped and reported.  Passers are reduced to the busiest one per team first.
     """
     frames: list[tuple[str, DataFrame | None]] = []
-    scans: dict[str, DataFrame] = {}
     for category, provider in sources:
-        if category not in scans:
-            try:
-                scans[category] = scan_provider_snapshots(spark, folder, category, aliases)
-            except Exception as error:  # a category without any file has no path to read
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-                scans[category] = None
-        frame = scans[category]
+        frame = scan_provider_snapshots(spark, folder, category, aliases, provider, season, week)
         if frame is not None:
-            frame = frame.filter(
-                (F.col("provider") == provider) & (F.col("season") == season) & (F.col("week") == week)
-                & F.col("team").isNotNull()
-            ).drop(*PERIOD_KEYS, "legacy")
-            frame = None if frame.isEmpty() else frame
-            if frame is not None and category == "qb_epa":
+            # one provider's week: parsed once, then merged from the checkpoint
+            frame = checkpointed(frame.filter(F.col("team").isNotNull()).drop(*PERIOD_KEYS, "legacy"))
+            if frame.isEmpty():
+                frame = None
+            elif category == "qb_epa":
                 frame = best_per_key(frame, ["team"], "plays", ["player"])
         frames.append((f"{category}_{provider}", frame))
     (base_name, base), *others = frames
