@@ -24,15 +24,18 @@ def join_cardinality(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def guard_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rows, but the job fails if a key occurs twice: a join can never multiply facts silently."""
-    values = [c for c in dim.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in values]) if values else F.struct(F.lit(1).alias("__one"))
-    folded = dim.groupBy(*keys).agg(F.count("*").alias("__c"), F.first(packed).alias("__row"))
-    checked = F.when(F.col("__c") == 1, F.col("__row")).otherwise(
-        F.raise_error(F.format_string("join key is not unique: %s rows", F.col("__c"))).cast(folded.schema["__row"].dataType)
+    """The same rows, but the job fails if a key occurs twice: a join can never multiply facts silently.
+
+    With one row per key a maximum is the row's own value, so numeric dimensions stay in a hash
+    aggregate; the check is a filter and cannot be pruned away.
+    """
+    values = [f for f in dim.schema.fields if f.name not in keys]
+    folded = dim.groupBy(*keys).agg(
+        F.count("*").alias("__c"),
+        *[(F.first if isinstance(f.dataType, T.MapType) else F.max)(F.col(f.name)).alias(f.name) for f in values],
     )
-    out = folded.withColumn("__row", checked)
-    return out.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in values])
+    complaint = F.raise_error(F.format_string("join key is not unique: %s rows", F.col("__c"))).cast("boolean")
+    return folded.filter(F.when(F.col("__c") == 1, F.lit(True)).otherwise(complaint)).select(dim.columns)
 
 
 def best_per_key(dim: DataFrame, keys: Sequence[str], weight: str, tie_break: Sequence[str]) -> DataFrame:
