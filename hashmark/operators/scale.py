@@ -18,6 +18,7 @@ CHUNK = "__chunk"
 CARRIED = "__carried"
 CHUNK_ROWS = 4_000_000
 BROADCAST_ROWS = 200_000
+BAND_SLICES = 512
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -112,14 +113,14 @@ def running_total(
     offsets = (
         df.groupBy(*keys, *coarse)
         .agg(F.sum(value).alias("__s"))
-        .select(*keys, *coarse, F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__before"))
+        .select(*keys, *coarse, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     )
     inside = (
         Window.partitionBy(*keys, *coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         join_back(df, offsets, keys + coarse)
-        .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+        .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("__before")
     )
 
@@ -156,6 +157,7 @@ def exact_percentiles(
     extra: Mapping[str, Column] | None = None,
     accuracy: int = 20_000,
     max_keys: int = 10_000,
+    band_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, as columns named by ``percentages``, next to any
     further aggregates in ``extra``.
@@ -163,7 +165,8 @@ def exact_percentiles(
     Two passes.  The first computes ``extra`` and a mergeable sketch that brackets each wanted rank to a
     band of a few parts in ``accuracy``.  The second counts the rows below the band and the distinct
     values inside it; the exact value is read off their cumulative counts.  A group is never gathered:
-    equal values are counted, not listed.  A report has few keys; up to ``max_keys`` brackets travel to
+    equal values are counted, not listed, and a band that may hold more than ``band_rows`` distinct values
+    is summed up in slices.  A report has few keys; up to ``max_keys`` brackets travel to
     the data as a broadcast, beyond that the brackets are joined by key.
     """
     keys, extra = list(keys), dict(extra or {})
@@ -179,6 +182,7 @@ def exact_percentiles(
     )
     local = first_pass.limit(max_keys + 1).collect()
     small = len(local) <= max_keys
+    sliced = not small or max((r["__n"] for r in local), default=0) * 2 * margin > band_rows
     if small:
         first_pass = df.sparkSession.createDataFrame(local, first_pass.schema)
 
@@ -198,18 +202,24 @@ def exact_percentiles(
     # their nearest value to the band can be an order statistic next to it
     x, below, inside, above = F.col("__v"), F.lit(-1), F.lit(0), F.lit(1)
     zone = F.when(x < F.col("__from"), below).when(x > F.col("__to"), above).when(x.isNotNull(), inside)
+    share = F.try_divide(x - F.col("__from"), F.col("__to") - F.col("__from"))
+    piece = F.coalesce(F.floor(share * BAND_SLICES), F.lit(0)).cast("int") if sliced else F.lit(0)
     zoned = join_back(narrow, F.broadcast(wanted) if small else wanted, group, "inner").select(
-        *group, "__name", "__rank", zone.alias("__zone"), F.when(zone == inside, x).alias("__in"), "__v"
+        *group, "__name", "__rank", zone.alias("__zone"), F.when(zone == inside, piece).alias("__slice"),
+        F.when(zone == inside, x).alias("__in"), "__v",
     )
-    counted = zoned.groupBy(*group, "__name", "__rank", "__zone", "__in").agg(
+    counted = zoned.groupBy(*group, "__name", "__rank", "__zone", "__slice", "__in").agg(
         F.count("__v").alias("__c"), F.max("__v").alias("__max"), F.min("__v").alias("__min")
-    )
-    so_far = (
-        Window.partitionBy(*group, "__name").orderBy("__zone", "__in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counted.filter(F.col("__c") > 0).withColumn("__cum", F.sum("__c").over(so_far)).withColumn(
-        "__value", F.when(F.col("__zone") < 0, F.col("__max")).otherwise(F.col("__min"))
-    )
+    ).filter(F.col("__c") > 0)
+    if sliced:
+        ranked = running_total(counted, [*group, "__name"], ["__zone", "__slice"], ["__in"], "__c", "__cum")
+    else:
+        so_far = (
+            Window.partitionBy(*group, "__name").orderBy("__zone", "__in")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        ranked = counted.withColumn("__cum", F.sum("__c").over(so_far))
+    ranked = ranked.withColumn("__value", F.when(F.col("__zone") < 0, F.col("__max")).otherwise(F.col("__min")))
 
     def at(position: Column) -> Column:
         return F.min(F.when(F.col("__cum") > position, F.struct("__zone", F.col("__in"), "__value", "__cum", "__c")))

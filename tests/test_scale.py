@@ -77,10 +77,10 @@ def test_running_total_and_position(spark, skewed):
     assert placed.first()["total"] == 600
 
 
-@pytest.mark.parametrize("accuracy, max_keys", [(20_000, 10_000), (20, 10_000), (50, 1)])
-def test_percentiles_are_exact(spark, skewed, accuracy, max_keys):
+@pytest.mark.parametrize("accuracy, max_keys, band_rows", [(20_000, 10_000, 10**6), (20, 10_000, 10**6), (20, 10_000, 1), (50, 1, 10**6)])
+def test_percentiles_are_exact(spark, skewed, accuracy, max_keys, band_rows):
     wanted = {"p0": 0.0, "q1": 0.25, "med": 0.5, "p99": 0.99, "top": 1.0}
-    got = scale.exact_percentiles(skewed, ["team"], "x", wanted, {"n": F.count("*")}, accuracy=accuracy, max_keys=max_keys)
+    got = scale.exact_percentiles(skewed, ["team"], "x", wanted, {"n": F.count("*")}, accuracy=accuracy, max_keys=max_keys, band_rows=band_rows)
     found = {r.team: r for r in got.collect()}
     data = skewed.toPandas()
     assert set(found) == set(data.team)
