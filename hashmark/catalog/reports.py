@@ -114,7 +114,7 @@ def _(spark, sf_dir):
     sql(
         f"""SELECT game_key AS game_id, season, week, away_team, home_team, 'v1.0' AS model, round_even(raw, 1) + 0.0 AS model_line, home_line AS market_line,
         sh AS subjective_home, sa AS subjective_away, rh AS subjective_reason_home, ra AS subjective_reason_away,
-        round_even(round_even(raw, 1) + (sh - sa), 1) + 0.0 AS bk_line,
+        round_even(round_even(raw, 1) + (sh - sa), 1) + 0.0 AS final_line,
         round_even(CASE WHEN sh = 0 AND sa = 0 THEN raw ELSE round_even(raw, 1) + (sh - sa) END - home_line, 1) + 0.0 AS edge FROM (
           SELECT game_key, season, week, away_team, home_team, home_line, -2.5037::double - coalesce((h.rating - a.rating) * 0.02::double, 0) AS raw,
             coalesce(x.adjustment, 0) AS sh, coalesce(y.adjustment, 0) AS sa, coalesce(x.reason, '') AS rh, coalesce(y.reason, '') AS ra
@@ -122,7 +122,7 @@ def _(spark, sf_dir):
           LEFT JOIN {_ADJ} x ON x.team = home_team LEFT JOIN {_ADJ} y ON y.team = away_team)""",
         "K", "R",
     ),
-    "subjective_home subjective_away model_line bk_line edge",
+    "subjective_home subjective_away model_line final_line edge",
 )
 def _(spark, sf_dir):
     # the home advantage keeps lines off exact halves of a tenth, which the two engines may round apart

@@ -237,7 +237,7 @@ def apply_adjustments(
     Accepts either line column and either naming of the sides.  A positive adjustment raises the line,
     as in the rule it follows.  Missing adjustments count 0 with an empty reason.
     """
-    line = line or next((c for c in ("model_line", "bk_line", "pred") if c in df.columns), None)
+    line = line or next((c for c in ("model_line", "final_line", "pred") if c in df.columns), None)
     if home is None or away is None:
         home, away = ("team_home", "team_away") if "team_home" in df.columns else ("home_team", "away_team")
     if line is None or not {home, away} <= set(df.columns):

@@ -89,6 +89,6 @@ def weekly_slate(
         format_game_key().alias("game_id"), "season", "week", "away_team", "home_team", F.lit(model).alias("model"),
         "model_line", F.col(line).alias("market_line"),
         "subjective_home", "subjective_away", "subjective_reason_home", "subjective_reason_away",
-        F.bround("final_line", 1).alias("bk_line"),
+        F.bround("final_line", 1).alias("final_line"),
         F.when(untouched, F.bround(F.col("raw_line") - F.col(line), 1)).otherwise(edge).alias("edge"),
     )

@@ -146,8 +146,8 @@ def test_slate_keeps_one_schema_and_rejects_unknown_models(spark):
     some = spark.createDataFrame([("BUF", 1.5, "healthy")], none.schema)
     a, b = (evaluation.weekly_slate(matchups, ratings, x).first() for x in (none, some))
     assert a.asDict().keys() == b.asDict().keys()
-    assert (a.game_id, a.model_line, a.bk_line, a.edge) == ("2024_01_KC_BUF", -3.5, -3.5, -1.0)
-    assert (b.bk_line, b.edge, b.subjective_reason_home) == (-2.0, 0.5, "healthy")
+    assert (a.game_id, a.model_line, a.final_line, a.edge) == ("2024_01_KC_BUF", -3.5, -3.5, -1.0)
+    assert (b.final_line, b.edge, b.subjective_reason_home) == (-2.0, 0.5, "healthy")
     with pytest.raises(KeyError):
         evaluation.weekly_slate(matchups, ratings, none, model="v1.3")
 
@@ -216,7 +216,7 @@ def test_contracts(spark, contract):
 
 
 def test_quality_of_a_clean_frame(spark):
-    df = spark.createDataFrame([("g1", "A", "B", 1.0)], "game_id string, home_team string, away_team string, bk_line double")
+    df = spark.createDataFrame([("g1", "A", "B", 1.0)], "game_id string, home_team string, away_team string, final_line double")
     assert quality.run_quality_suite(df).agg(F.sum("n")).first()[0] == 0
 
 
