@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+import hashmark
 from hashmark.session import scratch_path
 
 #: ``[\x20\x09-\x0D]``: what separates words.
@@ -29,3 +36,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def word_array(text: Column) -> Column:
     """Words of a text, in order; none for NULL and blank texts."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, as they may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "hashmark_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(hashmark.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "hashmark.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context.hashmark_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
