@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from hashmark.llm.bpe import op4_bpe
+from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe": op4_bpe,
     "op7_packing": op7_packing,
