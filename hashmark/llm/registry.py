@@ -6,11 +6,13 @@ from hashmark.llm.bpe import op4_bpe
 from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
+from hashmark.llm.suffix import op6_suffix_dedup
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe": op4_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
 }
 ORACLES: dict[str, str] = {}
