@@ -7,6 +7,7 @@ from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
 from hashmark.llm.suffix import op6_suffix_dedup
+from hashmark.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
