@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashmark.llm.bpe import op4_bpe
+from hashmark.llm.fingerprint import op10_fingerprints
 from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
