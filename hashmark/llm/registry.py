@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hashmark.llm.bpe import op4_bpe
 from hashmark.llm.fingerprint import op10_fingerprints
+from hashmark.llm.lmscore import op9_lm_scoring
 from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
