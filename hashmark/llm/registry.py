@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from hashmark.llm.bpe import op4_bpe
 from hashmark.llm.fingerprint import op10_fingerprints
+from hashmark.llm.langid import op3_language_id
+from hashmark.llm.lines import op5_line_dedup
 from hashmark.llm.lmscore import op9_lm_scoring
 from hashmark.llm.minhash import op1_minhash
 from hashmark.llm.packing import op7_packing
@@ -14,7 +16,9 @@ from hashmark.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
