@@ -7,7 +7,8 @@ of 2 m bytes being made of two of m bytes, until buckets stand for strings of 20
   one suffix in 70 is sampled, and equal windows sample the same offset;
 * a bucket with one suffix in it is never looked at again;
 * a run of windows around one sampled suffix is refined as a whole first (by the 200-byte buckets of its first and last
-  window); only runs that differ from all others of their q-gram bucket are refined window by window.
+  window); only runs that differ from all others of their q-gram bucket are refined window by window, in a task that
+  holds the surroundings of one bucket, or of a part of a large one.
 
 All of this is counted by grouped aggregates and joins, so a passage that a third of all documents share is one group key
 that is combined map-side.  Identifiers are 64-bit; a window is named by two of them.
@@ -32,6 +33,8 @@ GRAM = 64
 LENGTH = 200
 #: Windows looked at together in a very long text.
 PIECE_WINDOWS = 1 << 20
+#: Runs of one q-gram bucket that a task refines together, about; larger buckets are split and their parts matched by name.
+PART_ROWS = 4096
 
 
 def _pair(first: np.ndarray, later: np.ndarray, factor: int) -> np.ndarray:
@@ -129,33 +132,90 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
     return arrow_map(docs.select("id", "tag", "text"), run, "gram long, context long, id long, tag int, first long, span int")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """``gram``, ``name``, ``id``, ``tag``, ``at``, ``single`` of every window of the runs listed with each text."""
+def _surroundings(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes of the runs listed with each text: ``gram``, ``part``, ``parts``, ``id``, ``tag``, ``first``, ``single``, ``raw``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             listed = lists.flatten()
-            field = {n: listed.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "first", "span", "single")}
-            edges = np.cumsum([0, *(len(x) for x in lists)])
-            grams, names, rows, places, singles = [], [], [], [], []
+            firsts, spans = (listed.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("first", "span"))
+            edges = np.cumsum([0, *(len(x) for x in lists)]).tolist()
+            raw, rows = [], []
             for k, text in enumerate(_texts(batch, 2)):
                 for j in range(edges[k], edges[k + 1]):
-                    lo, n = int(field["first"][j]), int(field["span"][j]) + 1
-                    name = buckets(text[lo : lo + n + length - 1], length)[1]
-                    grams.append(np.full(n, field["gram"][j]))
-                    names.append(name.view(np.int64))
-                    rows.append(np.full(n, k))
-                    places.append(np.arange(lo, lo + n))
-                    singles.append(np.full(n, field["single"][j]))
-            at = _longs(rows)
-            single = pa.array(np.concatenate(singles) if singles else np.zeros(0, bool))
+                    raw.append(text[firsts[j] : firsts[j] + spans[j] + length].tobytes())
+                    rows.append(k)
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [_longs(grams), _longs(names), batch.column(0).take(at), batch.column(1).take(at), _longs(places), single],
-                names=["gram", "name", "id", "tag", "at", "single"],
+                [listed.field("gram"), listed.field("part"), listed.field("parts"), batch.column(0).take(at), batch.column(1).take(at),
+                 listed.field("first"), listed.field("single"), pa.array(raw, pa.binary())],
+                names=["gram", "part", "parts", "id", "tag", "first", "single", "raw"],
             )
 
-    return arrow_map(texts.select("id", "tag", "text", "runs"), run, "gram long, name long, id long, tag int, at long, single boolean")
+    schema = "gram long, part int, parts int, id long, tag int, first long, single boolean, raw binary"
+    return arrow_map(texts.select("id", "tag", "text", "runs"), run, schema)
+
+
+def _refine(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """Sort the windows of whole (gram, part) groups by their buckets.
+
+    Out come the windows of single runs that repeat in their group (``name`` is NULL), as runs, and, where a q-gram bucket
+    was split into parts, one window for each other bucket, named, to be matched with those of the other parts.
+    """
+    raw = rows.column("raw").combine_chunks()
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    counts = np.diff(offsets) - length + 1
+    owner = np.repeat(np.arange(len(counts)), counts)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    name = buckets(data, length)[1][offsets[:-1][owner] + step]
+    gram, part = rows.column("gram").to_numpy(), rows.column("part").to_numpy()
+    group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+    order = np.lexsort((name, group[owner]))
+    same = np.zeros(len(order) + 1, dtype=bool)
+    same[1:-1] = (name[order][1:] == name[order][:-1]) & (group[owner[order]][1:] == group[owner[order]][:-1])
+    found = np.zeros(len(order), dtype=bool)
+    found[order] = same[1:] | same[:-1]
+    single = rows.column("single").to_numpy()
+    hit = found & single[owner]
+    begin = hit.copy()
+    begin[1:] &= ~(hit[:-1] & (owner[1:] == owner[:-1]))
+    final = hit.copy()
+    final[:-1] &= ~(hit[1:] & (owner[1:] == owner[:-1]))
+    at, end = np.flatnonzero(begin), np.flatnonzero(final)
+    first_of_name = np.zeros(len(order), dtype=bool)
+    first_of_name[order] = ~same[:-1]
+    named = np.flatnonzero(first_of_name & (rows.column("parts").to_numpy() > 1)[owner])
+    pick = np.concatenate([at, named])
+    first = rows.column("first").to_numpy()[owner[pick]] + step[pick]
+    shown = np.concatenate([np.zeros(len(at), bool), np.ones(len(named), bool)])
+    taken = pa.array(owner[pick])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram[owner[pick]]), pa.array(name[pick].view(np.int64), mask=~shown), *(rows.column(c).combine_chunks().take(taken) for c in ("id", "tag")),
+         pa.array(first), pa.array(np.concatenate([end - at, np.zeros(len(named), np.int64)]), pa.int32()),
+         pa.array(np.concatenate([np.ones(len(at), bool), (single[owner] & ~found)[named]]))],
+        names=["gram", "name", "id", "tag", "first", "span", "single"],
+    )
+
+
+def _refined(surroundings: DataFrame, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            gram, part = held.column("gram").to_numpy(), held.column("part").to_numpy()
+            last = int(np.count_nonzero((gram != gram[-1]) | (part != part[-1]))) if len(gram) else 0
+            if last:  # the rows are in the order of their groups; the last group may go on
+                yield _refine(held.slice(0, last), length)
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield _refine(held, length)
+
+    dealt = surroundings.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    return arrow_map(dealt, run, "gram long, name long, id long, tag int, first long, span int, single boolean")
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
@@ -201,13 +261,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         runs.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "first", "span")).alias("one")), "contexts"
     )
     open_grams = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("u")).filter("m > 1 AND u > 0")
-    asked = contexts.join(open_grams.select("gram"), "gram").select(
-        "one.id", "one.tag", F.struct("gram", "one.first", "one.span", (F.col("n") == 1).alias("single")).alias("run")
+    parts = F.ceil(F.col("m") / F.lit(PART_ROWS)).cast("int")
+    asked = contexts.join(open_grams, "gram").select(
+        "one.id", "one.tag",
+        F.struct(
+            "gram", F.pmod(F.xxhash64("context"), parts).cast("int").alias("part"), parts.alias("parts"), "one.first", "one.span",
+            (F.col("n") == 1).alias("single"),
+        ).alias("run"),
     )
     listed = asked.groupBy("id", "tag").agg(F.collect_list("run").alias("runs"))
-    windows = written(_windows(texts.join(listed, ["id", "tag"]), length), "windows")
-    repeated = windows.groupBy("gram", "name").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "name")
-    single = windows.filter("single").join(repeated, ["gram", "name"]).select("id", "tag", F.col("at").alias("first"), F.lit(0).alias("span"))
+    refined = written(_refined(_surroundings(texts.join(listed, ["id", "tag"]), length), length), "refined")
+    named = refined.filter("name IS NOT NULL")
+    across = named.groupBy("gram", "name").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "name")
+    single = refined.filter("name IS NULL").select("id", "tag", "first", "span").unionByName(
+        named.filter("single").join(across, ["gram", "name"]).select("id", "tag", "first", "span")
+    )
     whole = runs.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("id", "tag", "first", "span")
     spans = whole.unionByName(single).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "span")).alias("spans"))
     spans = written(spans, "spans")
