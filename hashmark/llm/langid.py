@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashmark.llm.tables import arrow_map, documents, written
+from hashmark.llm.tables import BLANKS, arrow_map, documents, written
 from hashmark.llm.textbytes import LOWER, SPACE, chunks, flat, mix
 
 SLOT_BITS = 16
@@ -82,7 +82,7 @@ def evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
     return pages.select(
         "page_id", F.nullif(host, F.lit("")).alias("host"), F.nullif(declared, F.lit("")).alias("declared"),
-        F.regexp_replace(bare, r"<[^>]*>|&[#\w]+;", " ").alias("text"),
+        F.btrim(F.regexp_replace(bare, r"<[^>]*>|&[#\w]+;", " "), F.lit(BLANKS)).alias("text"),
     ).withColumn("suffix", F.nullif(suffix, F.lit("")))
 
 

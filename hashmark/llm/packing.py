@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,20 +118,23 @@ def _pack(rows: DataFrame, n_groups: int, round_number: int, capacity: int) -> D
     own = [c for c in rows.columns if c not in ("sequence_id", "offset", "released")]
     dealt = rows.select(*own).withColumn("group", F.pmod(F.xxhash64(F.lit(round_number), *own), F.lit(n_groups)).cast("int"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", *(c for c in own if c != "length")], ascending=False, kind="stable")
-        lengths = group["length"].to_numpy()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), *((c, "descending") for c in own if c != "length")])
+        lengths = group.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         gap = len(room) > lower_bound(lengths, capacity)
         free = room > 0 if gap else (np.arange(len(room)) == int(np.argmax(room))) & (room > 0)
-        number = (round_number << 56) + (int(group["group"].iloc[0]) << 24)
-        return group.drop(columns="group").assign(sequence_id=number + bins, offset=offsets, released=free[bins])
+        number = (round_number << 56) + (group.column("group")[0].as_py() << 24)
+        return (
+            group.drop_columns(["group"]).append_column("sequence_id", pa.array(number + bins))
+            .append_column("offset", pa.array(offsets)).append_column("released", pa.array(free[bins]))
+        )
 
     schema = T.StructType([
         *(rows.schema[c] for c in own), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
         T.StructField("released", T.BooleanType()),
     ])
-    return dealt.groupBy("group").applyInPandas(run, schema)
+    return dealt.groupBy("group").applyInArrow(run, schema)
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:

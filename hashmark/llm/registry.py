@@ -1,4 +1,8 @@
-"""The queries of this package, and the SQL counterparts of those that SQL can express."""
+"""The queries of this package.
+
+None has a SQL counterpart: tokenizers, learned rules and models, fixed-hash signatures and packings are not SQL, and joins of
+all lines or all byte windows of whole tables are too slow in it.  ``tests/llm`` checks them against brute force.
+"""
 
 from __future__ import annotations
 

@@ -14,7 +14,7 @@ All of this is counted by grouped aggregates and joins, so a passage that a thir
 that is combined map-side.  Identifiers are 64-bit; a window is named by two of them.
 
 Texts shorter than the string, empty and NULL texts lose nothing.  Rows that repeat are copies and lose what they share;
-rows with one id but different texts are told apart.  Columns besides the id and the text are not read.
+rows with one id or none but different texts are told apart.  Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from hashmark.llm.textbytes import BYTE_VALUES, flat, mix
 
 GRAM = 64
 LENGTH = 200
+#: Stands for a missing id inside.
+NO_ID = -(1 << 63)
 #: Windows looked at together in a very long text.
 PIECE_WINDOWS = 1 << 20
 #: Runs of one q-gram bucket that a task refines together, about; larger buckets are split and their parts matched by name.
@@ -238,23 +240,31 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                 counts.append((len(text), int(gone.sum()), begins))
             columns = np.array(counts, dtype=np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()), *(pa.array(c) for c in columns)],
-                names=["id", "kept", "n_bytes", "n_removed", "n_spans"],
+                [batch.column(0), pa.array(kept, pa.binary()), *(pa.array(c) for c in columns), batch.column(3)],
+                names=["id", "kept", "n_bytes", "n_removed", "n_spans", "others"],
             )
 
-    return arrow_map(texts.select("id", "text", "spans"), run, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    others = texts.schema["others"].dataType.simpleString()
+    schema = f"id long, kept binary, n_bytes long, n_removed long, n_spans long, others {others}"
+    return arrow_map(texts.select("id", "text", "spans", "others"), run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()
+) -> DataFrame:
     """``id_col``, ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans`` of every row.
 
     A byte goes if a string of ``length`` bytes covers it that starts anywhere else as well; strings are those of the input
-    and end with their text.
+    and end with their text.  The columns ``others`` come along in one struct, ``others``.
     """
     if length < GRAM:
         raise ValueError(f"strings are at least {GRAM} bytes long")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    beside = F.struct(*others) if others else F.lit(None).cast("string")
+    whole_rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("tag"), text.alias("text"), beside.alias("others")
+    )
+    texts = whole_rows.drop("others")
     shared = written(_grams(texts, length).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared-grams")
     runs = written(_runs(texts, length).join(shared, "gram"), "shared-runs")
     contexts = written(
@@ -279,7 +289,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     whole = runs.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"]).select("id", "tag", "first", "span")
     spans = whole.unionByName(single).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "span")).alias("spans"))
     spans = written(spans, "spans")
-    return _cut(texts.join(spans, ["id", "tag"], "left"), length).withColumnRenamed("id", id_col)
+    cut = _cut(whole_rows.join(spans, ["id", "tag"], "left"), length)
+    named = [F.nullif("id", F.lit(NO_ID)).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans"]
+    return cut.select(*named, *(["others"] if others else []))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
