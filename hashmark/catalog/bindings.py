@@ -14,7 +14,7 @@ TEAMS = 32
 
 PLAYS = """
 SELECT CAST(year(l_shipdate) AS INTEGER) AS season, CAST(month(l_shipdate) AS INTEGER) AS week,
-  concat('T', CAST(l_suppkey % 32 AS STRING)) AS posteam, concat('T', CAST(l_partkey % 32 AS STRING)) AS defteam,
+  concat('T', CAST(l_suppkey % 32 AS STRING)) AS posteam, concat('T', CAST((l_partkey + CASE WHEN l_suppkey % 32 = l_partkey % 32 THEN 1 ELSE 0 END) % 32 AS STRING)) AS defteam,
   l_orderkey AS game_id,
   CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'R' THEN 'run' ELSE 'no_play' END AS play_type,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE (l_extendedprice - 30000) / 30000 END AS epa,
@@ -26,13 +26,13 @@ SELECT CAST(year(l_shipdate) AS INTEGER) AS season, CAST(month(l_shipdate) AS IN
   l_quantity - 10 AS yards_gained,
   CASE WHEN l_tax = 0.08 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS interception,
   CASE WHEN l_discount = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS fumble_lost
-FROM {lineitem} WHERE l_suppkey % 32 <> l_partkey % 32
+FROM {lineitem}
 """
 
 GAMES = """
 SELECT o_orderkey AS game_id, CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week,
   CAST(o_orderdate AS DATE) AS gameday,
-  concat('T', CAST(o_custkey % 32 AS STRING)) AS home_team, concat('T', CAST(o_orderkey % 32 AS STRING)) AS away_team,
+  concat('T', CAST(o_custkey % 32 AS STRING)) AS home_team, concat('T', CAST((o_orderkey + CASE WHEN o_custkey % 32 = o_orderkey % 32 THEN 1 ELSE 0 END) % 32 AS STRING)) AS away_team,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) % 45 END AS home_score,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE (o_custkey * 7 + o_orderkey * 3) % 45 END AS away_score,
   CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE (o_orderkey % 29 - 14) / CAST(2 AS DOUBLE) END AS home_line,
@@ -44,7 +44,7 @@ SELECT o_orderkey AS game_id, CAST(year(o_orderdate) AS INTEGER) AS season, CAST
   CAST(nullif(o_orderkey % 17, 0) AS INTEGER) AS home_rest, CAST(nullif(o_custkey % 19, 0) AS INTEGER) AS away_rest,
   CAST(o_orderkey % 4 = 0 AS INTEGER) AS div_game, CAST(40 + o_orderkey % 15 AS DOUBLE) AS total_line,
   CASE o_orderstatus WHEN 'F' THEN 'REG' WHEN 'O' THEN 'SB' ELSE 'PRE' END AS game_type
-FROM {orders} WHERE o_custkey % 32 <> o_orderkey % 32
+FROM {orders}
 """
 
 # Several rows per team on purpose.

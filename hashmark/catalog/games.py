@@ -134,7 +134,7 @@ def _(spark, sf_dir):
     named = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     dirty = named.select("c_custkey", F.expr(_DIRTY).alias("spelling"))
     aliases = nation.select(F.col("n_name").alias("alias"), F.col("n_nationkey").cast("string").alias("code"))
-    return joins.normalize_entity(dirty, "spelling", aliases, "code")
+    return joins.normalize_entity(dirty, "spelling", aliases, "code", "keep")
 
 
 @query(

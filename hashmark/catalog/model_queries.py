@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashmark.catalog.bindings import sql, team_week
-from hashmark.catalog.games import keyed
+from hashmark.catalog.games import _FORM_DIFFS, _FORM_JOIN, keyed
 from hashmark.catalog.registry import query
 from hashmark.catalog.reports import CUTOFF, dataset, scored, sized
 from hashmark.operators import families, models
@@ -152,8 +152,20 @@ def _(spark, sf_dir):
     return models.residual_std(sized(spark, sf_dir))
 
 
-@query("fit_form_model", None)
+_FORM_TERMS = datasets.STRUCTURAL_FEATURES + datasets.FORM_FEATURES
+
+
+@query(
+    "fit_form_model",
+    sql(
+        f"""SELECT unnest(['intercept', {", ".join(f"'{t}'" for t in _FORM_TERMS)}]) AS term, unnest([avg({Y}), {", ".join(f"covar_pop({t}, {Y})" for t in _FORM_TERMS)}]) AS value
+        FROM (SELECT g.*, {_FORM_DIFFS} FROM DS g {_FORM_JOIN}) WHERE season < {CUTOFF} AND {" AND ".join(f"{t} IS NOT NULL" for t in (*_FORM_TERMS, Y))}""",
+        "DS", "FORM",
+    ),
+    "value",
+)
 def _(spark, sf_dir):
-    """Plays to form to ridge on ten features; the solve has no SQL form, its sums are checked above."""
+    """Plays to form to ridge on ten features; the fitted weights are put into the normal equations of the data."""
     rows = datasets.form_dataset(keyed(spark, sf_dir), team_week(spark, sf_dir), key="game_key")
-    return datasets.fit_form_model(rows, CUTOFF)
+    weights = {r["term"]: r["weight"] for r in datasets.fit_form_model(rows, CUTOFF).collect()}
+    return models.normal_equations(rows.filter(F.col("season") < CUTOFF), _FORM_TERMS, Y, weights, 1.0)

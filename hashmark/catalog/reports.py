@@ -255,13 +255,13 @@ def _(spark, sf_dir):
     sql(
         """SELECT CAST(i AS INTEGER) AS bin, label, (SELECT count(*) FROM SB WHERE edge > lo AND edge <= hi) AS n FROM (
         SELECT unnest(range(8)) AS i, unnest(['<-10', '-10..-5', '-5..-2', '-2..0', '0..2', '2..5', '5..10', '>10']) AS label,
-          unnest([-100, -10, -5, -2, 0, 2, 5, 10]) AS lo, unnest([-10, -5, -2, 0, 2, 5, 10, 100]) AS hi)""",
+          unnest(['-infinity'::double, -10, -5, -2, 0, 2, 5, 10]) AS lo, unnest([-10, -5, -2, 0, 2, 5, 10, 'infinity'::double]) AS hi)""",
         "SB",
     ),
 )
 def _(spark, sf_dir):
     return reports.edge_histogram(
-        sized(spark, sf_dir), [-100, -10, -5, -2, 0, 2, 5, 10, 100], ["<-10", "-10..-5", "-5..-2", "-2..0", "0..2", "2..5", "5..10", ">10"]
+        sized(spark, sf_dir), [float("-inf"), -10, -5, -2, 0, 2, 5, 10, float("inf")], ["<-10", "-10..-5", "-5..-2", "-2..0", "0..2", "2..5", "5..10", ">10"]
     )
 
 
@@ -319,7 +319,7 @@ _BUCKETS = ", ".join(f"avg(abs(error)) FILTER (size >= {a} AND size < {b}) AS ma
         avg(beat) FILTER (predictor <> 'closing_spread') AS beat_market_pct, CAST(sum(beat) FILTER (predictor <> 'closing_spread') AS BIGINT) AS beat_market_games,
         median(error) AS median_error FROM (
           SELECT *, CAST(abs(error) < abs(-market - margin) AS INTEGER) AS beat, CAST(sign(-line) = sign(margin) AS INTEGER) AS ok FROM (
-            SELECT *, abs(market) AS size, -line - margin AS error FROM (
+            SELECT *, abs(line) AS size, -line - margin AS error FROM (
               SELECT model AS predictor, pred AS line, closing_spread AS market, actual_margin AS margin FROM SC WHERE actual_margin IS NOT NULL
               UNION ALL SELECT 'closing_spread', closing_spread, closing_spread, actual_margin FROM DS WHERE actual_margin IS NOT NULL)))
         GROUP BY predictor""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hashmark.catalog.bindings import customer_ratings, games, plays, sql, supplier_ratings, table, team_week
-from hashmark.catalog.games import team_ratings
+from hashmark.catalog.games import keyed, team_ratings
 from hashmark.catalog.registry import query
 from hashmark.catalog.reports import dataset, sized
 from hashmark.operators import quality
@@ -84,6 +84,19 @@ def _(spark, sf_dir):
     return tables.read_table(spark, path).select("model", "season", "n_games", "mae_vs_market")
 
 
+@query(
+    "scan_rated_games",
+    sql("SELECT game_id, game_key, season, week, away_team, home_team, rating_home, rating_away, home_line FROM K WHERE season BETWEEN 1996 AND 2000 AND home_line IS NOT NULL", "K"),
+)
+def _(spark, sf_dir):
+    """The same from a table: the presence terms are pushed into its scan."""
+    path = scratch_path(spark, "rated")
+    keyed(spark, sf_dir).drop("season", "week", "away_team", "home_team").write.parquet(path)
+    return tables.scan_rated_games(spark, path, start=1996, end=2000).select(
+        "game_id", "game_key", "season", "week", "away_team", "home_team", "rating_home", "rating_away", "home_line"
+    )
+
+
 @query("write_comparison", sql("SELECT model, count(*) AS total_games FROM SC GROUP BY model", "SC"))
 def _(spark, sf_dir):
     path = scratch_path(spark, "comparison")
@@ -166,7 +179,7 @@ def _write_passers(spark, sf_dir, folder: str) -> None:
 
 
 def _write_projections(spark, sf_dir, folder: str) -> None:
-    pairs = games(spark, sf_dir).filter((F.col("season") == 1999) & (F.col("week") == 4)).select(
+    pairs = games(spark, sf_dir).select(
         F.col("gameday").alias("Date"), F.concat_ws(" at ", "away_team", "home_team").alias("Matchup"),
         F.concat(F.lit("T -"), F.col("game_id") % 15).alias("Favorite"), (F.col("game_id") % 100).alias("Win Prob."),
     )
@@ -200,7 +213,7 @@ def _(spark, sf_dir):
     """The preamble and its byte-order mark are gone, the data rows are whole."""
     files = snapshots.resolve_files(spark, snapshot_folder(spark, sf_dir, "power_ratings"), "power_ratings", "beta")
     cells = snapshots.raw_cells(spark, "power_ratings", files)
-    _, rows = snapshots.drop_preamble(cells, ["team"], ["off."])
+    _, rows = snapshots.drop_preamble(cells, ["team"])
     cell = snapshots.cell
     return rows.select(
         cell("team").alias("team"), cell("off.").cast("double").alias("off_rating"), cell("def.").cast("double").alias("def_rating"), cell("ovr.").cast("double").alias("overall")
@@ -224,7 +237,7 @@ def _(spark, sf_dir):
 
 @query(
     "weekly_projections",
-    sql("SELECT strftime(gameday, '%Y-%m-%d') AS date, away_team || ' at ' || home_team AS matchup, 'T -' || CAST(game_id % 15 AS VARCHAR) AS favorite_line, CAST(game_id % 100 AS DOUBLE) AS win_prob, true AS legacy FROM G WHERE season = 1999 AND week = 4", "G"),
+    sql("SELECT strftime(gameday, '%Y-%m-%d') AS date, away_team || ' at ' || home_team AS matchup, 'T -' || CAST(game_id % 15 AS VARCHAR) AS favorite_line, CAST(game_id % 100 AS DOUBLE) AS win_prob, true AS legacy FROM G", "G"),
 )
 def _(spark, sf_dir):
     found = snapshots.weekly_projections(spark, snapshot_folder(spark, sf_dir, "weekly_projections_ppg"))

@@ -29,13 +29,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def require_complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def require_complete(df: DataFrame, columns: Sequence[str], nan: bool = False) -> DataFrame:
     """Keep rows in which every listed column is present.
 
     Plain IS NOT NULL terms, which (unlike ``dropna``) reach the Parquet reader; scans have already
-    turned NaN into NULL.
+    turned NaN into NULL.  For stored columns that may still hold it, ``nan`` drops NaN as well.
     """
-    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
+    terms = [F.col(c).isNotNull() for c in columns]
+    if nan:
+        terms += [~F.isnan(c) for c in columns if isinstance(df.schema[c].dataType, FLOATING)]
+    return df.filter(reduce(lambda a, b: a & b, terms))
 
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

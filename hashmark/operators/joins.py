@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashmark.functions.scoring import side_differences
-from hashmark.operators.scale import BROADCAST_ROWS, bounded_broadcast, join_back
+from hashmark.operators.scale import join_back
 from hashmark.operators.windows import FORM_SOURCES
 
 
@@ -26,11 +26,12 @@ def join_cardinality(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
 def guard_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same rows, but the job fails if a key occurs twice: a join can never multiply facts silently.
 
+    Rows with a NULL key can match nothing and are left out, however often they occur.
     With one row per key a maximum is the row's own value, so numeric dimensions stay in a hash
     aggregate; the check is a filter and cannot be pruned away.
     """
     values = [f for f in dim.schema.fields if f.name not in keys]
-    folded = dim.groupBy(*keys).agg(
+    folded = dim.dropna(subset=list(keys)).groupBy(*keys).agg(
         F.count("*").alias("__c"),
         *[(F.first if isinstance(f.dataType, T.MapType) else F.max)(F.col(f.name)).alias(f.name) for f in values],
     )
@@ -52,19 +53,16 @@ def join_both_sides(
     home: str = "home_team",
     away: str = "away_team",
     on: Sequence[str] = (),
-    max_broadcast_rows: int | None = BROADCAST_ROWS,
     guard: bool = True,
 ) -> DataFrame:
     """Left join ratings to both sides; every rating column gets ``_home`` and ``_away`` copies.
 
-    ``on`` lists further keys that both frames share, such as the season.  Ratings are guarded to be
-    unique (``guard=False`` for a table whose key is unique by construction).  They are broadcast only when counted small (``None`` skips the count and leaves the
-    strategy to adaptive execution); otherwise the sort-merge join splits hot teams by itself.
+    ``on`` lists further keys that both frames share, such as the season.  Ratings are guarded to be unique
+    (``guard=False`` for a table whose key is unique by construction).  Whether they are broadcast is left to
+    adaptive execution, which knows their bytes; its sort-merge join splits hot teams by itself.
     """
     guarded = guard_unique(ratings, [key, *on]) if guard else ratings
     values = [c for c in guarded.columns if c not in (key, *on)]
-    if max_broadcast_rows is not None:
-        guarded = bounded_broadcast(guarded, max_broadcast_rows)
     out = games
     for column, suffix in ((home, "home"), (away, "away")):
         side = guarded.withColumnsRenamed({key: "__team", **{v: f"{v}_{suffix}" for v in values}})
@@ -90,12 +88,11 @@ def matchup_features(
 
 
 def join_form_both_sides(
-    games: DataFrame, form: DataFrame, columns: Sequence[str] = tuple(FORM_SOURCES), max_broadcast_rows: int | None = None
+    games: DataFrame, form: DataFrame, columns: Sequence[str] = tuple(FORM_SOURCES)
 ) -> DataFrame:
     """Join form to both sides on (team, season, week) and keep only the differences."""
     joined = join_both_sides(
-        games, form.select("team", "season", "week", *columns), on=("season", "week"),
-        max_broadcast_rows=max_broadcast_rows, guard=False,
+        games, form.select("team", "season", "week", *columns), on=("season", "week"), guard=False,
     )
     diffs = side_differences(joined, {f"{c}_diff": (f"{c}_home", f"{c}_away") for c in columns})
     return diffs.drop(*[f"{c}_{s}" for c in columns for s in ("home", "away")])
@@ -199,12 +196,12 @@ def read_registry(registry: DataFrame, max_rows: int = 10_000) -> dict[str, dict
 
 
 def normalize_entity(
-    df: DataFrame, column: str, aliases: DataFrame, name: str = "team", on_unknown: str = "keep"
+    df: DataFrame, column: str, aliases: DataFrame, name: str = "team", on_unknown: str = "fail"
 ) -> DataFrame:
     """Replace spellings by codes: exact match first, then ignoring case, always trimmed.
 
-    ``aliases`` has ``(alias, code)``.  Unknown spellings stay as NULL (``keep``), lose the row
-    (``drop``) or stop the job (``fail``).
+    ``aliases`` has ``(alias, code)``.  Unknown spellings stop the job (``fail``), stay as NULL (``keep``) or
+    lose the row (``drop``); ``unknown_entities`` counts them.
     """
     if on_unknown not in ("keep", "drop", "fail"):
         raise ValueError(f"on_unknown: {on_unknown}")
@@ -213,7 +210,7 @@ def normalize_entity(
         F.min_by("code", "alias").alias("__code"),
     )
     spelled = df.withColumn("__spelling", F.trim(F.col(column)))
-    joined = spelled.join(bounded_broadcast(small), F.lower("__spelling") == F.col("__folded"), "left")
+    joined = spelled.join(small, F.lower("__spelling") == F.col("__folded"), "left")
     code = F.coalesce(F.element_at("__exact", F.col("__spelling")), F.col("__code"))
     if on_unknown == "fail":
         known = F.col(column).isNull() | code.isNotNull()

@@ -94,6 +94,22 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float
     return registry_frame(df.sparkSession, {model: ridge_weights(df, features, target, alpha)})
 
 
+def normal_equations(df: DataFrame, features: Sequence[str], target: str, weights: Mapping[str, float], alpha: float) -> DataFrame:
+    """What the data say the fitted weights solve: per term ``cov(x, prediction) + alpha * weight / n``.
+
+    For a ridge fit of these rows this equals ``cov(x, target)``, and the intercept's mean prediction equals the
+    mean target; both can be had from the data without a solve.
+    """
+    rows = require_complete(df, [*features, target])
+    predicted = linear_score(weights["intercept"], {f: weights[f] for f in features})
+    x = {f: F.col(f).cast("double") for f in features}
+    terms = [F.struct(F.lit("intercept").alias("term"), F.avg(predicted).alias("value"))]
+    terms += [
+        F.struct(F.lit(f).alias("term"), (F.covar_pop(x[f], predicted) + float(alpha) * weights[f] / F.count("*")).alias("value")) for f in features
+    ]
+    return rows.agg(F.array(*terms).alias("terms")).select(F.inline("terms"))
+
+
 def fit_ols_sets(df: DataFrame, feature_sets: Mapping[str, Sequence[str]], target: str) -> dict[str, dict[str, float]]:
     """Least-squares fits of several (nested) feature sets from one pass over their union."""
     union = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))

@@ -254,14 +254,16 @@ def predictor_scorecard(
     """Error, accuracy and edge figures of several line columns against results and the market line.
 
     Lines are home-perspective, so the predicted margin is minus the line; error = predicted - actual.
-    The bucket of a game is the size of the market line, ``[low, high)``.
+    A game falls into the bucket, ``[low, high)``, of the size of the predictor's own line.
     """
     m, q = F.col(margin), F.col(market)
     names = [*predictors, market] if market not in predictors else list(predictors)
     long = df.filter(m.isNotNull()).select(
-        F.abs(q).alias("size"), m.alias("margin"), q.alias("market"),
+        m.alias("margin"), q.alias("market"),
         F.inline(F.array(*[F.struct(F.lit(n).alias("predictor"), F.col(n).cast("double").alias("line")) for n in names])),
-    ).filter(F.col("line").isNotNull()).withColumn("error", F.negative(F.col("line")) - F.col("margin"))
+    ).filter(F.col("line").isNotNull()).withColumns({
+        "error": F.negative(F.col("line")) - F.col("margin"), "size": F.abs("line"),
+    })
     err, is_market = F.col("error"), F.col("predictor") == market
     market_error = F.abs(F.negative(F.col("market")) - F.col("margin"))
     right = (F.signum(F.negative(F.col("line"))) == F.signum(F.col("margin").cast("double"))).cast("int")

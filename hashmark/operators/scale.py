@@ -3,7 +3,8 @@
 * ``split_histories`` lets a trailing window run when one key holds a large share of all rows.
 * ``running_total`` and ``global_position`` replace windows without (useful) partitions.
 * ``exact_percentiles`` gives exact order statistics without collecting a group.
-* ``bounded_broadcast`` broadcasts a side only after counting it.
+
+None of them starts a job while a plan is built but ``exact_percentiles``, which reads its brackets.
 """
 
 from __future__ import annotations
@@ -17,19 +18,9 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 CARRIED = "__carried"
 CHUNK_ROWS = 4_000_000
-BROADCAST_ROWS = 200_000
 BAND_SLICES = 512
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast if it has at most ``max_rows`` rows; otherwise leave the join to Spark.
-
-    The check reads no more than ``max_rows + 1`` rows.
-    """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
-
-
 def join_back(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key values back to rows; NULL keys match.  The keys of ``small`` are renamed first, so
     a frame derived from ``df`` can be joined to it."""
@@ -40,12 +31,6 @@ def join_back(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"__k_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest key (counted map-side first)."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
 def split_histories(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,21 +38,22 @@ def split_histories(
     carry: int,
     coarse: Sequence[str],
     chunk_rows: int = CHUNK_ROWS,
+    cut: Column | None = None,
 ) -> DataFrame:
-    """Cut long per-key histories into chunks so that trailing frames of up to ``carry`` rows stay exact.
+    """Cut per-key histories into chunks so that trailing frames of up to ``carry`` rows stay exact.
 
     Adds ``__chunk`` and ``__carried``.  A window partitioned by ``keys + __chunk`` and ordered by
     ``order`` sees, in front of each chunk, the last ``carry`` rows that precede it; those copies have
-    ``__carried = true`` and are filtered out after the window.  ``coarse`` is a prefix of ``order``
-    (for example season, week, day): chunks are cut between its values.
+    ``__carried = true`` and are filtered out after the window.
 
-    Keys are counted first.  While the largest stays within ``chunk_rows`` nothing is cut and the
-    caller pays one shuffle; beyond it the extra work is one small period count, one join on it and
-    the chunk tails, which Spark limits to ``carry`` rows per chunk before shuffling.
+    With ``cut``, a number that never falls along ``order`` (a season, a year), each of its values is a
+    chunk and nothing is counted.  Otherwise ``coarse``, a prefix of ``order`` (for example season, week,
+    day), is counted per key and chunks of about ``chunk_rows`` rows are cut between its values.  Either
+    way the chunk tails are limited to ``carry`` rows per chunk before they are shuffled.
     """
     keys, order, coarse = list(keys), list(order), list(coarse)
-    if largest_group(df, keys) <= chunk_rows:
-        return df.withColumns({CHUNK: F.lit(0).cast("long"), CARRIED: F.lit(False)})
+    if cut is not None:
+        return _with_carried(df.withColumn(CHUNK, F.coalesce(cut.cast("long"), F.lit(-1).cast("long"))), keys, order, carry)
 
     periods = df.groupBy(*keys, *coarse).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +63,11 @@ def split_histories(
         F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.lit(chunk_rows)).cast("long").alias(CHUNK),
     ).filter(F.col(CHUNK) > 0)
     tagged = join_back(df, cuts, keys + coarse).withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long")))
+    return _with_carried(tagged, keys, order, carry)
+
 
+def _with_carried(tagged: DataFrame, keys: list[str], order: list[str], carry: int) -> DataFrame:
+    """The rows, and copies of the last ``carry`` rows before each chunk."""
     newest_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     tails = tagged.withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= carry).drop("__r")
     ahead = Window.partitionBy(*keys).orderBy(CHUNK, *order).rowsBetween(1, carry)

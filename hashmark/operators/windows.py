@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hashmark.functions.missing import first_type_or
 from hashmark.operators.reshape import to_team_games
-from hashmark.operators.scale import CHUNK_ROWS, drop_carried, history_window, running_total, split_histories
+from hashmark.operators.scale import drop_carried, history_window, running_total, split_histories
 
 GAME_ORDER = ["season", "week", "gameday", "game_id"]
 GAME_COARSE = ["season", "week", "gameday"]
@@ -60,18 +60,20 @@ def rolling_multi(
     keys: Sequence[str] = ("team",),
     order: Sequence[str] = ("season", "week"),
     coarse: Sequence[str] | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Rolling means ``{name}_L{n}`` of several columns and widths over one partitioning.
 
-    ``margin=(name, a, b)`` adds ``{name}_L{n} = {a}_L{n} - {b}_L{n}``.
+    A table with one row per key and period needs no cutting; for others ``chunk_rows`` cuts histories
+    between values of ``coarse``.  ``margin=(name, a, b)`` adds ``{name}_L{n} = {a}_L{n} - {b}_L{n}``.
     """
-    split = split_histories(df, keys, order, max(windows), coarse or order, chunk_rows)
-    base = history_window(keys, order)
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    split = df if chunk_rows is None else split_histories(df, keys, order, max(windows), coarse or order, chunk_rows)
+    base = plain if chunk_rows is None else history_window(keys, order)
     out = split.withColumns({
         f"{name}_L{n}": F.avg(source).over(base.rowsBetween(-n, -1)) for n in windows for name, source in columns.items()
     })
-    out = drop_carried(out)
+    out = out if chunk_rows is None else drop_carried(out)
     if margin:
         name, a, b = margin
         out = out.withColumns({f"{name}_L{n}": F.col(f"{a}_L{n}") - F.col(f"{b}_L{n}") for n in windows})
@@ -79,11 +81,14 @@ def rolling_multi(
 
 
 def recent_form(
-    games: DataFrame, windows: Sequence[int] = (3, 5), line: str | None = "home_line", chunk_rows: int = CHUNK_ROWS
+    games: DataFrame, windows: Sequence[int] = (3, 5), line: str | None = "home_line", chunk_rows: int | None = None
 ) -> DataFrame:
-    """Per team-game: win rate, cover rate and mean difference of the past games, and wins in the last five."""
+    """Per team-game: win rate, cover rate and mean difference of the past games, and wins in the last five.
+
+    A team's history is cut at seasons, or where ``chunk_rows`` rows are counted.
+    """
     long = to_team_games(games, line=line)
-    split = split_histories(long, ["team"], GAME_ORDER, max(*windows, 5), GAME_COARSE, chunk_rows)
+    split = split_games(long, max(*windows, 5), chunk_rows)
     base = history_window(["team"], GAME_ORDER)
     out = {"last_5_wins": F.sum("win").over(base.rowsBetween(-5, -1))}
     for n in windows:
@@ -96,7 +101,14 @@ def recent_form(
     return drop_carried(split.withColumns(out))
 
 
-def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def split_games(long: DataFrame, carry: int, chunk_rows: int | None) -> DataFrame:
+    """Team-games with their histories cut at seasons, or where ``chunk_rows`` rows are counted."""
+    if chunk_rows is None:
+        return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, cut=F.col("season"))
+    return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, chunk_rows)
+
+
+def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int | None = None) -> DataFrame:
     """Days since the team's previous game, one row per (game, side)."""
     long = games.select(
         "game_id", "season", "week", F.col(date).alias("gameday"),
@@ -108,7 +120,10 @@ def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int = CHUNK_R
         ),
     )
     order = ["gameday", "game_id"]
-    split = split_histories(long, ["team"], order, 1, ["gameday"], chunk_rows)
+    if chunk_rows is None:
+        split = split_histories(long, ["team"], order, 1, ["gameday"], cut=F.year("gameday"))
+    else:
+        split = split_histories(long, ["team"], order, 1, ["gameday"], chunk_rows)
     previous = F.lag("gameday").over(history_window(["team"], order))
     return drop_carried(split.withColumn("rest_days", F.datediff(F.col("gameday"), previous)))
 
@@ -128,7 +143,7 @@ def attach_rest(games: DataFrame, rest: DataFrame, key: str = "game_id") -> Data
     )
 
 
-def rest_days(games: DataFrame, date: str = "gameday", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rest_days(games: DataFrame, date: str = "gameday", chunk_rows: int | None = None) -> DataFrame:
     """Games with home and away rest and the rest advantage; every team counts, hosting or not."""
     return attach_rest(games, team_rest(games, date, chunk_rows))
 

@@ -13,8 +13,8 @@ from hashmark.operators.joins import attach_weekly_stats, join_form_both_sides,
 from hashmark.operators.models import fit_ridge
 from hashmark.operators.periods import team_period_stats
 from hashmark.operators.reshape import to_team_games
-from hashmark.operators.scale import CHUNK_ROWS, drop_carried, history_window, split_histories
-from hashmark.operators.windows import GAME_COARSE, GAME_ORDER, team_form
+from hashmark.operators.scale import drop_carried, history_window
+from hashmark.operators.windows import GAME_ORDER, split_games, team_form
 from hashmark.sources.tables import select_rated_games
 
 # Fixed column lists of the two training frames; the last three columns repeat outcomes on purpose, as
@@ -93,7 +93,7 @@ def team_feature_frame(
     form_windows: Sequence[int] = (3, 5),
     columns: Mapping[str, str] | None = None,
     line: str | None = "home_line",
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Games with rest, rolling statistics, recent form and rating matchups for both sides.
 
@@ -105,7 +105,7 @@ def team_feature_frame(
     sources = list(columns.values())
     if stats is not None:
         long = attach_weekly_stats(long, stats.select("season", "week", "team", *sources))
-    split = split_histories(long, ["team"], GAME_ORDER, max(*windows, *form_windows, 5), GAME_COARSE, chunk_rows)
+    split = split_games(long, max(*windows, *form_windows, 5), chunk_rows)
     base = history_window(["team"], GAME_ORDER)
     features = {
         "rest_days": F.datediff(F.col("gameday"), F.lag("gameday").over(base)),

@@ -30,13 +30,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a folder of our own made and
-    recorded in the session, so that every later call in the session finds the same one.
+    Where ``spark.checkpoint.dir`` is unset and the master is local (tests, a laptop) a folder of our own is
+    made and recorded in the session, so that every later call in the session finds the same one.  On a
+    cluster the setting is required: executors do not see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.sparkContext.setCheckpointDir(named)
     return named

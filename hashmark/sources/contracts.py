@@ -24,7 +24,7 @@ POWER_RATINGS = Contract(
 EPA_TIERS = Contract(
     "epa_tiers", required=("team", "epa_off", "epa_def"), numeric=("epa_off", "epa_def"), optional=("epa_margin",)
 )
-STRENGTH_OF_SCHEDULE = Contract("strength_of_schedule", required=("team",), optional=("sos", "remaining_sos"))
+STRENGTH_OF_SCHEDULE = Contract("strength_of_schedule", required=("team",), optional=("opponent_rating", "sos_rank", "future_sos"))
 OVERALL_RATINGS = Contract(
     "overall_ratings", required=("team", "off_rating", "def_rating", "overall"), numeric=("off_rating", "def_rating", "overall")
 )
@@ -32,7 +32,7 @@ QB_EPA = Contract(
     "qb_epa", required=("team",), optional=("epa", "epa_per_play", "plays", "player")
 )
 WEEKLY_PROJECTIONS = Contract(
-    "weekly_projections", optional=("team_away", "team_home", "favorite", "win_prob", "home_line")
+    "weekly_projections", optional=("team", "date", "matchup", "favorite_line", "win_prob")
 )
 TEAM_WEEK = Contract(
     "team_week",

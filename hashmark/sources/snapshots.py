@@ -1,13 +1,14 @@
 """Provider snapshots: a folder of CSV files whose names carry category, provider, season and week.
 
-All files of a category are read by one scan.  Columns are found by header name inside each file, so
-files with different columns, duplicate header names, a byte-order mark or a line above the header can
-sit side by side; nothing is inferred and no file is opened by the driver.
+All files of a category are read by one scan, as lines.  Columns are found by header name inside each
+file, so files with any number of columns, duplicate header names, a byte-order mark or lines above the
+header can sit side by side; nothing is inferred and no file is opened by the driver.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,13 +19,12 @@ from pyspark.sql import types as T
 
 from hashmark.functions.keys import first_listed
 from hashmark.operators.joins import best_per_key, merge_ratings, normalize_entity
-from hashmark.operators.scale import BROADCAST_ROWS, join_back
+from hashmark.operators.scale import join_back
 from hashmark.session import checkpointed
 
-MAX_COLUMNS = 64
 PERIOD_KEYS = ("category", "provider", "season", "week")
 # Fixed formats: category first, or the three older provider-first forms.  ``.csv`` may also name a folder.
-CATEGORY_FIRST = r"([A-Za-z0-9]+)_(\d{4})_week_(\d+)\.csv"
+CATEGORY_FIRST = r"([^/]+)_(\d{4})_week_(\d+)\.csv"
 PROVIDER_FIRST_TAIL = r"_(\d{4})_week_(\d+)\.csv"
 
 
@@ -78,82 +78,104 @@ def _forms(category: str) -> list[str]:
     short = category.replace("_projections_", "_proj_")
     return [
         rf"/{category}_{CATEGORY_FIRST}",
-        rf"/([A-Za-z0-9]+)_{category}{PROVIDER_FIRST_TAIL}",
-        rf"/([A-Za-z0-9]+)_{category}_off_def{PROVIDER_FIRST_TAIL}",
-        rf"/([A-Za-z0-9]+)_{short}{PROVIDER_FIRST_TAIL}",
+        rf"/([^/]+)_{category}{PROVIDER_FIRST_TAIL}",
+        rf"/([^/]+)_{category}_off_def{PROVIDER_FIRST_TAIL}",
+        rf"/([^/]+)_{short}{PROVIDER_FIRST_TAIL}",
     ]
 
 
+def _listing(spark: SparkSession, pattern: str) -> list[str]:
+    try:
+        return list(spark.read.option("recursiveFileLookup", True).text(pattern).inputFiles())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return []
+
+
 def resolve_files(
     spark: SparkSession, folder: str, category: str, provider: str | None = None, season: int | None = None, week: int | None = None
 ) -> dict[str, tuple[str, int, int, bool]]:
     """Files to read, with their (provider, season, week, legacy), from Spark's listing of the folder.
 
-    For each provider and period the best naming form present is used and the others are left out, so
-    superseded files and other weeks are never opened.
+    Provider, season and week, where given, are part of the pattern that is listed.  For each provider and
+    period the best naming form present is used and the others are left out, so superseded files and other
+    weeks are never opened.  Files that name the category but fit no form are reported by a warning.
     """
     short = category.replace("_projections_", "_proj_")
-    pattern = f"{folder.rstrip('/')}/{{*{category}_*,*{short}_*}}"
-    try:
-        listed = spark.read.option("recursiveFileLookup", True).text(pattern).inputFiles()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return {}
+    period = f"*_{'*' if season is None else season}_week_{'*' if week is None else week}.csv*"
+    listed = _listing(spark, f"{folder.rstrip('/')}/{{*{category}{period},*{short}{period}}}")
     found: dict[tuple[str, int, int], dict[int, list[str]]] = {}
+    strange = []
     for path in listed:
         for preference, form in enumerate(_forms(category)):
             match = re.search(form, path)
             if match:
-                period = (match[1], int(match[2]), int(match[3]))
-                found.setdefault(period, {}).setdefault(preference, []).append(path)
+                own = (match[1], int(match[2]), int(match[3]))
+                found.setdefault(own, {}).setdefault(preference, []).append(path)
                 break
+        else:
+            strange.append(path)
+    if strange:
+        warnings.warn(f"{len(strange)} files fit no form of {category}: {strange[:5]}", stacklevel=2)
     wanted = (provider, season, week)
     return {
-        path: (*period, min(forms) > 0)
-        for period, forms in found.items()
-        if all(w is None or w == p for w, p in zip(wanted, period))
+        path: (*own, min(forms) > 0)
+        for own, forms in found.items()
+        if all(w is None or w == p for w, p in zip(wanted, own))
         for path in forms[min(forms)]
     }
 
 
+def unmatched_files(spark: SparkSession, folder: str) -> list[str]:
+    """CSV files of the folder that fit no form of any category."""
+    forms = [form for category in LAYOUTS for form in _forms(category)]
+    return sorted(p for p in _listing(spark, f"{folder.rstrip('/')}/*.csv*") if not any(re.search(f, p) for f in forms))
+
+
 def raw_cells(spark: SparkSession, category: str, files: Mapping[str, tuple[str, int, int, bool]]) -> DataFrame:
-    """The CSV rows of the resolved files as ``(__path, cells, category, provider, season, week, legacy)``."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
-    read = spark.read.schema(schema).option("header", False).csv(list(files))
+    """The lines of the resolved files as ``(__path, __at, cells, category, provider, season, week, legacy)``.
+
+    A line is cut at commas outside quotes, into as many cells as it has; empty cells are NULL.  ``__at``
+    orders the lines of a file.
+    """
+    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+    def plain(value: Column) -> Column:
+        bare = F.when(value.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_extract(value, r'^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"')))
+        return F.nullif(F.coalesce(bare, value), F.lit(""))
+
+    read = spark.read.text(list(files)).filter(F.trim("value") != "")
     path = F.col("__path")
 
     def pick(group: int) -> Column:
         return F.coalesce(*[F.nullif(F.regexp_extract(path, form, group), F.lit("")) for form in _forms(category)])
 
-    return read.select(F.col("_metadata.file_path").alias("__path"), F.array(*schema.names).alias("cells")).select(
-        "__path", "cells", F.lit(category).alias("category"), pick(1).alias("provider"), pick(2).cast("int").alias("season"),
+    return read.select(
+        F.col("_metadata.file_path").alias("__path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"),
+        F.transform(F.split("value", outside_quotes, -1), plain).alias("cells"),
+    ).select(
+        "__path", "__at", "cells", F.lit(category).alias("category"), pick(1).alias("provider"), pick(2).cast("int").alias("season"),
         pick(3).cast("int").alias("week"), (~F.regexp_like(path, F.lit(_forms(category)[0]))).alias("legacy"),
     )
 
 
-def drop_preamble(cells: DataFrame, key_headers: Sequence[str], probes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def drop_preamble(cells: DataFrame, key_headers: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Split raw rows into header rows and data rows, leaving out whatever stands above a header.
 
-    A header row contains one of ``key_headers`` as a cell; a data row has a number in one of the
-    columns its file calls ``probes``, or any text in the key column when the file has no such column.
+    The header is the first row of a file that has one of ``key_headers`` as a cell; every row below it that
+    has any cell and is no further header is a data row.
     """
     folded = F.transform("cells", _folded)
-    is_header = F.arrays_overlap(folded, F.array(*[F.lit(h) for h in key_headers]))
+    is_header = F.coalesce(F.arrays_overlap(folded, F.array(*[F.lit(h) for h in key_headers])), F.lit(False))
     headers = (
         cells.filter(is_header).groupBy("__path")
-        .agg(F.min(F.transform("cells", lambda c: F.coalesce(_folded(c), F.lit("")))).alias("header"))
+        .agg(F.min_by(F.transform("cells", lambda c: F.coalesce(_folded(c), F.lit(""))), "__at").alias("header"), F.min("__at").alias("__top"))
     )
-    rows = join_back(cells.filter(~F.coalesce(is_header, F.lit(False))), _per_file(headers, cells), ["__path"], "inner")
-    names = F.array(*[F.lit(p) for p in probes])
-    probed = F.transform(names, lambda n: F.get("cells", (F.array_position("header", n) - 1).cast("int")))
-    numeric = F.exists(probed, lambda c: c.try_cast("double").isNotNull())
-    return headers, rows.filter(F.coalesce(numeric, F.lit(False)) | ~F.arrays_overlap("header", names))
-
-
-def _per_file(small: DataFrame, cells: DataFrame) -> DataFrame:
-    """Broadcast a table that has at most one row per file, if the scan's file list bounds it."""
-    return F.broadcast(small) if len(cells.inputFiles()) <= BROADCAST_ROWS else small
+    below = (F.col("__at") > F.col("__top")) & F.exists("cells", lambda c: c.isNotNull())
+    rows = join_back(cells.filter(~is_header), headers, ["__path"], "inner").filter(below)
+    return headers.drop("__top"), rows.drop("__at", "__top")
 
 
 def cell(*names: str) -> Column:
@@ -176,9 +198,8 @@ def scan_provider_snapshots(
     if not files:
         return None
     layout = LAYOUTS[category]
-    probes = [h for names in layout.numbers.values() for h in names]
     cells = raw_cells(spark, category, files)
-    _, rows = drop_preamble(cells, (*layout.key_headers, *_text_headers(layout)), probes)
+    _, rows = drop_preamble(cells, (*layout.key_headers, *_text_headers(layout)))
     out = rows.select(
         *PERIOD_KEYS,
         "legacy",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from hashmark.functions.keys import GAME_KEY, parse_game_key
 from hashmark.functions.missing import nan_to_null, require_complete
 from hashmark.operators.joins import normalize_entity
+from hashmark.operators.periods import FULL_METRICS, SINGLE_SIDE_METRICS
 
 PLAY_REQUIRED = ("season", "week", "posteam", "defteam", "play_type", "epa", "success")
 PLAY_TYPES = {
@@ -39,8 +40,8 @@ def _require(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
-    """Parquet or CSV by suffix (a path without one is a Parquet folder); NaN becomes NULL.
+def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, nan: bool = False) -> DataFrame:
+    """Parquet or CSV by suffix (a path without one is a Parquet folder); NaN becomes NULL unless ``nan`` keeps it.
 
     CSV values are read as text and cast by ``types``, so no pass is spent on inferring a schema and
     text that is not a number becomes NULL.
@@ -48,12 +49,12 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     last = path.rstrip("/").rsplit("/", 1)[-1]
     suffix = last.rsplit(".", 1)[-1].lower() if "." in last else ""
     if suffix in ("parquet", ""):
-        return nan_to_null(spark.read.parquet(path))
+        return spark.read.parquet(path) if nan else nan_to_null(spark.read.parquet(path))
     if suffix != "csv":
         raise ValueError(f"neither parquet nor csv: {path}")
     df = spark.read.option("header", True).csv(path)
     typed = [F.col(f"`{c}`").try_cast((types or {}).get(c, "string")).alias(c) for c in df.columns]
-    return nan_to_null(df.select(*typed))
+    return df.select(*typed) if nan else nan_to_null(df.select(*typed))
 
 
 def scan_plays(spark: SparkSession, path: str, required: Sequence[str] = PLAY_REQUIRED) -> DataFrame:
@@ -110,17 +111,17 @@ def select_rated_games(
     Games whose key does not parse are dropped.  The presence filters come first, on stored columns, so
     that the reader can apply them.  ``key=None`` takes season, week and teams from columns of their own.
     """
-    present = require_complete(df, required)
+    present = nan_to_null(require_complete(df, required, nan=True))
     if key is None:
         return select_games(present, start, end, None)
     return select_games(parse_game_key(present.filter(F.col(key).rlike(GAME_KEY)), key), start, end, None)
 
 
 def scan_rated_games(spark: SparkSession, path: str, **selection) -> DataFrame:
-    """Rated-game history; see ``select_rated_games``."""
+    """Rated-game history; see ``select_rated_games``.  NaN is dealt with above the filters, which reach the reader."""
     types = {c: "double" for c in ("rating_home", "rating_away", "home_line", "home_bye_mod", "away_bye_mod", "div_game_mod",
                                    "dif_surface_mod", "home_time_advantage_mod", "home_qb_adj", "away_qb_adj", "home_score", "away_score")}
-    return select_rated_games(read_table(spark, path, types), **selection)
+    return select_rated_games(read_table(spark, path, types, nan=True), **selection)
 
 
 def canonical_team_week(df: DataFrame) -> DataFrame:
@@ -134,8 +135,9 @@ def scan_team_week(
 ) -> DataFrame:
     """Team-week statistics in canonical names and team codes, for a season range."""
     raw = read_table(spark, path, {"season": "int", "week": "int"})
+    numbers = {f"{side}{m}" for m in (*FULL_METRICS, *SINGLE_SIDE_METRICS) for side in ("off_", "def_", "")} | set(TEAM_WEEK_ALIASES)
     typed = raw.select(*[
-        F.col(c) if c == "team" or not isinstance(raw.schema[c].dataType, T.StringType) else F.col(c).try_cast("double").alias(c)
+        F.col(c).try_cast("double").alias(c) if c in numbers and isinstance(raw.schema[c].dataType, T.StringType) else F.col(c)
         for c in raw.columns
     ])
     out = select_games(_require(canonical_team_week(typed), ("season", "week", "team"), "team-week"), start, end, None)
@@ -146,7 +148,7 @@ def scan_reference(spark: SparkSession, path: str, types: Mapping[str, str] | No
     """A reference table (passers, coaches); a team column, if there is one, is turned into codes."""
     df = read_table(spark, path, types)
     team = next((c for c in df.columns if c.lower() == "team"), None)
-    return normalize_entity(df, team, aliases, "team") if team and aliases is not None else df
+    return normalize_entity(df, team, aliases, "team", "keep") if team and aliases is not None else df
 
 
 def split_adjustments(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,20 +32,20 @@ def stream_upsert_periods(
     """Append new plays to the play table and rebuild the statistics of the seasons they touch.
 
     Each batch writes its plays under its own batch folder (overwritten on replay), then recomputes the
-    touched seasons from the table, pruned by partition, and replaces those target partitions.  Late
-    plays of a period add to it; with ``restated`` the newest batch that brings a period replaces it.
+    touched seasons from the table and replaces those target partitions.  Late plays of a period add to it;
+    with ``restated`` the newest batch that brings a period replaces it.  A batch without rows does nothing.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
         staged = f"{plays_path}/ingest={batch_id}"
-        batch.write.mode("overwrite").partitionBy("season").parquet(staged)
-        # a season is the target's partition, so whole seasons are replaced; there are few of them
-        seasons = [r[0] for r in spark.read.parquet(staged).select("season").distinct().limit(10_000).collect()]
-        if not seasons:
-            return
+        batch.hint("rebalance", "season").write.mode("overwrite").partitionBy("season").parquet(staged)
+        # a season is the target's partition, so whole seasons are replaced
+        seasons = spark.read.parquet(staged).select("season").distinct()
         table = spark.read.option("basePath", plays_path).parquet(plays_path)
-        touched = table.filter(F.col("season").isin(seasons) & (F.col("ingest") <= batch_id))
+        touched = join_back(table.filter(F.col("ingest") <= batch_id), seasons, ["season"], "left_semi")
         if restated:
             newest = touched.groupBy(*PERIOD).agg(F.max("ingest").alias("ingest"))
             touched = join_back(touched, newest, [*PERIOD, "ingest"], "inner")

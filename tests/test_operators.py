@@ -80,8 +80,10 @@ def test_filters_and_columns_reach_the_reader(spark, sf_dir):
 
 def test_small_dimension_is_broadcast(spark, sf_dir):
     dim = spark.createDataFrame([("T1", 1.0), ("T2", 2.0)], "team string, rating double")
-    text = plan(joins.join_both_sides(games(spark, sf_dir), dim))
-    assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
+    joined = joins.join_both_sides(games(spark, sf_dir), dim)
+    joined.collect()  # adaptive execution has seen the dimension's bytes then
+    final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in final
 
 
 def test_last_n_is_limited_before_the_shuffle(spark, sf_dir):
@@ -92,7 +94,7 @@ def test_last_n_is_limited_before_the_shuffle(spark, sf_dir):
 def test_duplicate_ratings_stop_the_join(spark, sf_dir):
     dim = spark.createDataFrame([("T1", 1.0), ("T1", 2.0)], "team string, rating double")
     with pytest.raises(Exception, match="not unique"):
-        joins.join_both_sides(games(spark, sf_dir), dim, max_broadcast_rows=None).collect()
+        joins.join_both_sides(games(spark, sf_dir), dim).collect()
 
 
 def test_merge_and_audit(spark):
@@ -111,7 +113,7 @@ def test_team_spellings(spark):
     df = spark.createDataFrame([(s,) for s in spelled], "name string")
     aliases = franchise_aliases(spark)
     assert aliases.select("code").distinct().count() == 32
-    got = {r.name: r.team for r in joins.normalize_entity(df, "name", aliases).collect()}
+    got = {r.name: r.team for r in joins.normalize_entity(df, "name", aliases, on_unknown="keep").collect()}
     assert got == dict(zip(spelled, ["LAR", "LAR", "LAR", "KC", "BUF", "LV", "LAC", None, "SF", None]))
     assert joins.normalize_entity(df, "name", aliases, on_unknown="drop").count() == 8
     with pytest.raises(Exception, match="unknown name"):
@@ -230,3 +232,22 @@ def test_next_period_falls_back_to_the_last(spark, sf_dir):
     g = games(spark, sf_dir)
     last = g.agg(F.max(F.struct("season", "week"))).first()[0]
     assert tuple(reports.next_period(g, "2090-01-01").first()) == tuple(last)
+
+
+def test_rows_without_a_key_do_not_stop_a_join(spark, sf_dir):
+    dim = spark.createDataFrame([("T1", 5.0), (None, 1.0), (None, 2.0)], "team string, rating double")
+    joined = joins.join_both_sides(games(spark, sf_dir).drop("rating_home", "rating_away"), dim)
+    assert joined.count() == games(spark, sf_dir).count() and joined.filter("rating_home = 5").count() > 0
+
+
+def test_each_predictor_is_bucketed_by_its_own_line(spark):
+    df = spark.createDataFrame([(20.0, -2.0, 7.0), (20.0, -20.0, 7.0)], "market double, model double, actual_margin double")
+    card = {r.predictor: r for r in reports.predictor_scorecard(df, ["model"], "market").collect()}
+    assert card["model"].mae_spread_0_3 == 5.0 and card["model"].mae_spread_14_100 == 13.0
+    assert card["market"].mae_spread_0_3 is None and card["market"].mae_spread_14_100 == 27.0
+
+
+def test_outer_histogram_bins_are_open(spark):
+    df = spark.createDataFrame([(150.0,), (-150.0,), (1.0,)], "edge double")
+    rows = reports.edge_histogram(df, [float("-inf"), -10, 10, float("inf")], ["low", "mid", "high"]).collect()
+    assert [r.n for r in rows] == [1, 1, 1]

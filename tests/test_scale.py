@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hashmark.operators import scale
+from hashmark.operators.joins import attach_season_means, matchup_features
 from hashmark.operators.windows import recent_form, rest_days, rolling_multi
 from hashmark.plans.datasets import team_feature_frame
 
@@ -61,8 +62,25 @@ def games(spark, n=240):
 ])
 def test_game_windows_do_not_depend_on_chunks(spark, make):
     g = games(spark)
-    plain, split = make(g, 10**9), make(g.repartition(5), 6)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, split.select(plain.columns).collect()))
+    plain, split, seasons = make(g, 10**9), make(g.repartition(5), 6), make(g.repartition(3), None)
+    want = sorted(map(str, plain.collect()))
+    for other in (split, seasons):
+        assert want == sorted(map(str, other.select(plain.columns).collect()))
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, sf_dir):
+    from hashmark.catalog.bindings import games as bound_games, supplier_ratings, team_week
+
+    ratings = supplier_ratings(spark, sf_dir).groupBy("team").agg(F.max("rating").alias("epa_off"), F.min("rating").alias("epa_def"))
+    g, stats = bound_games(spark, sf_dir), team_week(spark, sf_dir)
+    spark.sparkContext.setJobGroup("plans only", "no jobs")
+    try:
+        recent_form(g), rest_days(g), team_feature_frame(g, stats, ratings), matchup_features(g, ratings)
+        rolling_multi(stats, {"epa": "off_epa_per_play"}), attach_season_means(g, stats.select("team", "season", F.col("off_epa_per_play").alias("epa_margin")))
+        started = spark.sparkContext.statusTracker().getJobIdsForGroup("plans only")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(started) == 0
 
 
 def test_running_total_and_position(spark, skewed):
@@ -103,13 +121,6 @@ def test_percentiles_of_an_empty_group(spark):
     assert rows == {"a": 1.5, "b": None}
 
 
-def test_broadcast_only_when_counted_small(spark, skewed):
-    dim = skewed.groupBy("team").agg(F.max("x").alias("top"))
-    small = skewed.join(scale.bounded_broadcast(dim, 100), "team")._jdf.queryExecution().optimizedPlan().toString()
-    large = skewed.join(scale.bounded_broadcast(dim, 2), "team")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in small and "broadcast" not in large
-
-
 def test_null_keys_join_back(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     sums = df.groupBy("k").agg(F.sum("v").alias("s"))

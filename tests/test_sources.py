@@ -134,3 +134,42 @@ def test_restated_period_replaces_the_old_one(spark, sf_dir, tmp_path):
 
 def test_scratch_paths_differ(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_files_of_any_width_and_provider(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(71))
+    (tmp_path / "power_ratings_my_prov_2025_week_1.csv").write_text(f"Team,{wide},nfelo\nLAR,{wide},1650\nBUF,,\n\nKC,{wide},1700\n")
+    (tmp_path / "power_ratings-2025.csv").write_text("Team,nfelo\nLAR,1\n")
+    (tmp_path / "quoted_power_ratings_2025_week_2.csv").write_text('title,"a, b"\nTeam,note,nfelo\nLAR,"x, ""y""",1.5\n')
+    got = {(r.provider, r.team): r.rating for r in snapshots.power_ratings(spark, str(tmp_path)).collect()}
+    assert got == {("my_prov", "LAR"): 1650.0, ("my_prov", "BUF"): None, ("my_prov", "KC"): 1700.0, ("quoted", "LAR"): 1.5}
+    assert [p.rsplit("/", 1)[-1] for p in snapshots.unmatched_files(spark, str(tmp_path))] == ["power_ratings-2025.csv"]
+
+
+def test_text_columns_of_team_weeks_stay_text(spark, tmp_path):
+    rows = [(2024, 1, "LAR", "REG", "0.25"), (2024, 1, "KC", "REG", "n/a")]
+    spark.createDataFrame(rows, "season int, week int, team string, season_type string, off_epa_per_play string").write.parquet(str(tmp_path / "tw"))
+    got = {r.team: (r.season_type, r.off_epa_per_play) for r in tables.scan_team_week(spark, str(tmp_path / "tw")).collect()}
+    assert got == {"LAR": ("REG", 0.25), "KC": ("REG", None)}
+
+
+def test_presence_terms_reach_the_reader(spark, tmp_path):
+    rows = [("2024_01_KC_LAR", 1.0, 2.0, 3.0), ("2024_01_DET_SF", float("nan"), 2.0, 3.0), ("2024_02_KC_SF", None, 2.0, 3.0)]
+    spark.createDataFrame(rows, "game_id string, home_line double, rating_home double, rating_away double").write.parquet(str(tmp_path / "rated"))
+    scan = tables.scan_rated_games(spark, str(tmp_path / "rated"))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert all(f"IsNotNull({c})" in pushed for c in ("home_line", "rating_home", "rating_away"))
+    assert [r.game_id for r in scan.collect()] == ["2024_01_KC_LAR"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
