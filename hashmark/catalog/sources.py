@@ -92,7 +92,7 @@ def _(spark, sf_dir):
     """The same from a table: the presence terms are pushed into its scan."""
     path = scratch_path(spark, "rated")
     keyed(spark, sf_dir).drop("season", "week", "away_team", "home_team").write.parquet(path)
-    return tables.scan_rated_games(spark, path, start=1996, end=2000).select(
+    return tables.scan_rated_games(spark, path, start=1996, end=2000, key="game_key").select(
         "game_id", "game_key", "season", "week", "away_team", "home_team", "rating_home", "rating_away", "home_line"
     )
 
