@@ -148,34 +148,41 @@ def run_quality_suite(
     away: str = "away_team",
     game: str = "game_id",
 ) -> DataFrame:
-    """All checks as finding rows ``(check, column, n, max_abs)``."""
+    """All checks as finding rows ``(check, column, n, max_abs)``.
 
-    def named(found: DataFrame, check: str, column: Column, n: str, max_abs: str | None = None) -> DataFrame:
-        top = F.col(max_abs) if max_abs else F.lit(None)
-        return found.select(
-            F.lit(check).alias("check"), column.alias("column"), F.col(n).cast("long").alias("n"), top.cast("double").alias("max_abs")
-        )
+    Each check reads its frame once; what it found is unfolded into rows by one generator.
+    """
+
+    def named(found: DataFrame, *findings: tuple[str, Column, str, str | None]) -> DataFrame:
+        rows = [
+            F.struct(
+                F.lit(check).alias("check"), column.alias("column"), F.col(n).cast("long").alias("n"),
+                (F.col(top) if top else F.lit(None)).cast("double").alias("max_abs"),
+            )
+            for check, column, n, top in findings
+        ]
+        return found.select(F.inline(F.array(*rows)))
 
-    ranges, pairs = range_check(df), pair_consistency(df, home, away)
+    column, pair = F.col("column"), F.lit(f"{home},{away}")
     parts = [
-        named(ranges, "extreme_value", F.col("column"), "extreme", "max_abs"),
-        named(ranges, "null_line", F.col("column"), "nulls"),
-        named(ranges, "infinite_line", F.col("column"), "infinities"),
-        named(pairs, "self_matchup", F.lit(f"{home},{away}"), "self_matchups"),
-        named(pairs, "missing_side", F.lit(home), "missing_home"),
-        named(pairs, "missing_side", F.lit(away), "missing_away"),
+        named(
+            range_check(df), ("extreme_value", column, "extreme", "max_abs"), ("null_line", column, "nulls", None),
+            ("infinite_line", column, "infinities", None),
+        ),
+        named(
+            pair_consistency(df, home, away), ("self_matchup", pair, "self_matchups", None),
+            ("missing_side", F.lit(home), "missing_home", None), ("missing_side", F.lit(away), "missing_away", None),
+        ),
     ]
     if game in df.columns:
-        parts.append(named(duplicate_count(df, [game]), "duplicate_key", F.col("keys"), "duplicates"))
+        parts.append(named(duplicate_count(df, [game]), ("duplicate_key", F.col("keys"), "duplicates", None)))
     if features is not None:
-        profile = null_inf_profile(features)
         parts += [
-            named(profile, "null_feature", F.col("column"), "nulls"),
-            named(profile, "infinite_feature", F.col("column"), "infinities"),
-            named(rest_anomalies(features), "rest_anomaly", F.col("column"), "anomalies", "max_abs"),
+            named(null_inf_profile(features), ("null_feature", column, "nulls", None), ("infinite_feature", column, "infinities", None)),
+            named(rest_anomalies(features), ("rest_anomaly", column, "anomalies", "max_abs")),
         ]
         if {home, away} <= set(features.columns):
-            parts.append(named(duplicate_count(features, [home, away]), "duplicate_pair", F.col("keys"), "duplicates"))
+            parts.append(named(duplicate_count(features, [home, away]), ("duplicate_pair", F.col("keys"), "duplicates", None)))
     return reduce(DataFrame.unionByName, parts)
 
 

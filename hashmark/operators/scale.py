@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 CARRIED = "__carried"
@@ -91,27 +92,53 @@ def drop_carried(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(CARRIED)).drop(CARRIED, CHUNK)
 
 
+PIECE = "__piece"
+PIECES = 64
+
+
+def with_pieces(df: DataFrame, keys: Sequence[str], order: str, pieces: int = PIECES) -> DataFrame:
+    """Add ``__piece``, which never falls along ``order`` within ``keys`` and cuts each key's rows into ranges.
+
+    The bounds are quantiles of the order column from one mergeable sketch per key; they only balance the
+    ranges.  A column that is not a number, date or time is not cut.
+    """
+    kind = df.schema[order].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df.withColumn(PIECE, F.lit(0))
+    x = F.col(order)
+    if isinstance(kind, T.DateType):
+        x = F.unix_date(x)
+    elif not isinstance(kind, T.NumericType):
+        x = x.cast("timestamp").cast("double")
+    shares = [k / pieces for k in range(1, pieces)]
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(x, shares, 1000).alias("__bounds"))
+    piece = F.when(x.isNull(), -1).otherwise(F.size(F.filter("__bounds", lambda b: b < x)))
+    return join_back(df, bounds, keys).withColumn(PIECE, piece).drop("__bounds")
+
+
 def running_total(
-    df: DataFrame, keys: Sequence[str], coarse: Sequence[str], order: Sequence[str], value: str, name: str
+    df: DataFrame, keys: Sequence[str], coarse: Sequence[str], order: Sequence[str], value: str, name: str, cut: bool = True
 ) -> DataFrame:
-    """Cumulative sum per key in ``coarse + order``: period sums first, then sums inside a period.
+    """Cumulative sum per key in ``coarse + order``: sums of ranges first, then sums inside a range.
 
-    No task ever holds more than one period of one key.
+    A period of a key is cut into ranges of the first ``order`` column (unless ``cut`` is false), so a
+    period with a large share of all rows is not one task's.
     """
     keys, coarse = list(keys), list(coarse)
-    before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_pieces(df, keys + coarse, order[0]) if cut else df.withColumn(PIECE, F.lit(0))
+    before = Window.partitionBy(*keys).orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, *coarse)
+        rows.groupBy(*keys, *coarse, PIECE)
         .agg(F.sum(value).alias("__s"))
-        .select(*keys, *coarse, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+        .select(*keys, *coarse, PIECE, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     )
     inside = (
-        Window.partitionBy(*keys, *coarse).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, *coarse, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        join_back(df, offsets, keys + coarse)
+        join_back(rows, offsets, [*keys, *coarse, PIECE])
         .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("__before")
+        .drop("__before", PIECE)
     )
 
 
@@ -120,22 +147,23 @@ def global_position(
 ) -> DataFrame:
     """Zero-based position of every row in ``coarse + order``, and the row count, without a global sort.
 
-    Only the per-period counts (one row per value of ``coarse``) meet in one task.
+    Only counts (one row per value of ``coarse`` and range of the first ``order`` column) meet in one task.
     """
     coarse = list(coarse)
-    counts = df.groupBy(*coarse).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(*coarse).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = with_pieces(df, coarse, order[0])
+    counts = rows.groupBy(*coarse, PIECE).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
-        *coarse,
+        *coarse, PIECE,
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.sum("__n").over(whole).alias(total),
     )
-    inside = Window.partitionBy(*coarse).orderBy(*order)
+    inside = Window.partitionBy(*coarse, PIECE).orderBy(*order)
     return (
-        join_back(df, offsets, coarse)
+        join_back(rows, offsets, [*coarse, PIECE])
         .withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
-        .drop("__before")
+        .drop("__before", PIECE)
     )
 
 
@@ -202,7 +230,7 @@ def exact_percentiles(
         F.count("__v").alias("__c"), F.max("__v").alias("__max"), F.min("__v").alias("__min")
     ).filter(F.col("__c") > 0)
     if sliced:
-        ranked = running_total(counted, [*group, "__name"], ["__zone", "__slice"], ["__in"], "__c", "__cum")
+        ranked = running_total(counted, [*group, "__name"], ["__zone", "__slice"], ["__in"], "__c", "__cum", cut=False)
     else:
         so_far = (
             Window.partitionBy(*group, "__name").orderBy("__zone", "__in")

@@ -95,6 +95,24 @@ def test_running_total_and_position(spark, skewed):
     assert placed.first()["total"] == 600
 
 
+def test_one_period_with_all_rows_is_cut(spark):
+    rng = random.Random(5)
+    rows = [("m", 2024, 1, k, rng.randrange(100)) for k in rng.sample(range(10_000), 500)] + [("m", 2023, 9, None, 3)]
+    df = spark.createDataFrame(rows, "model string, season int, week int, game_id int, x int")
+    pieces = scale.with_pieces(df, ["model", "season", "week"], "game_id", 16).groupBy(scale.PIECE).count().collect()
+    assert len(pieces) >= 16 and max(r["count"] for r in pieces) < 80
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[3] or -1))
+    totals = np.cumsum([r[4] for r in order]).tolist()
+    got = {r.game_id: r.t for r in scale.running_total(df, ["model"], ["season", "week"], ["game_id"], "x", "t").collect()}
+    assert got == {r[3]: t for r, t in zip(order, totals)}
+    places = {r.game_id: (r.position, r.total) for r in scale.global_position(df, ["season", "week"], ["game_id"]).collect()}
+    assert places == {r[3]: (k, 501) for k, r in enumerate(order)}
+    plan = scale.running_total(df, ["model"], ["season", "week"], ["game_id"], "x", "t")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert any(scale.PIECE in line for line in windows)
+
+
+
 @pytest.mark.parametrize("accuracy, max_keys, band_rows", [(20_000, 10_000, 10**6), (20, 10_000, 10**6), (20, 10_000, 1), (50, 1, 10**6)])
 def test_percentiles_are_exact(spark, skewed, accuracy, max_keys, band_rows):
     wanted = {"p0": 0.0, "q1": 0.25, "med": 0.5, "p99": 0.99, "top": 1.0}
