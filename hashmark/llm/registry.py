@@ -1,7 +1,6 @@
-"""The queries of this package.
+"""The queries of this package, and the SQL counterparts of those that SQL can express.
 
-None has a SQL counterpart: tokenizers, learned rules and models, fixed-hash signatures and packings are not SQL, and joins of
-all lines or all byte windows of whole tables are too slow in it.  ``tests/llm`` checks them against brute force.
+Tokenizers, learned rules and models, packings and fingerprints are not SQL; ``tests/llm`` checks them against brute force.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from hashmark.llm.langid import op3_language_id
 from hashmark.llm.lines import op5_line_dedup
 from hashmark.llm.lmscore import op9_lm_scoring
 from hashmark.llm.minhash import op1_minhash
+from hashmark.llm.oracles import ORACLES  # noqa: F401
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
 from hashmark.llm.suffix import op6_suffix_dedup
@@ -29,4 +29,3 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLES: dict[str, str] = {}

@@ -1,0 +1,56 @@
+"""Registered text queries next to their SQL, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import duckdb
+import pytest
+
+from hashmark.llm.registry import ORACLES, QUERIES
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    relation = con.sql(ORACLES[name])
+    columns = relation.columns
+    want = sorted(relation.fetchall())
+    frame = QUERIES[name](spark, sf_dir)
+    assert sorted(frame.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in frame.select(columns).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op8_toxicity", "op9_lm_scoring"])
+def test_one_row_for_each_document(spark, sf_dir, name):
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    assert sorted(r.doc_id for r in QUERIES[name](spark, sf_dir).select("doc_id").collect()) == ids
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    docs = pipeline.documents(spark, sf_dir)
+    frames = [docs]
+    for name, stage in pipeline.STAGES:
+        frames.append(pipeline.written(stage(spark, frames[-1], sf_dir), name.replace(" ", "-")))
+    assert all(f.columns == docs.columns for f in frames[:-1])
+    ids = [{r.doc_id for r in f.select("doc_id").distinct().collect()} for f in frames]
+    assert all(after <= before for before, after in zip(ids, ids[1:]))
+    kept = {r.doc_id for r in QUERIES["op2_quality_rules"](spark, sf_dir).filter("kept").collect()}
+    assert ids[1] == kept and ids[4] == ids[5]
+    lines = [r.text.split("\n") for r in frames[2].collect()]
+    full = [frozenset(line.split()) for text in lines for line in text if line.split()]
+    assert len(full) == len(set(full))
+    for r in frames[4].collect():
+        assert r.text and r.n_chars == len(r.text)
+    room = frames[5].groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in room) <= 2048
