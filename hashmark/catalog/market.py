@@ -10,7 +10,7 @@ from hashmark.operators import market
 
 _PRICE_FLOATS = (
     "implied_prob_home implied_prob_away devig_mult_home devig_mult_away devig_power_home devig_power_away vig break_even "
-    "home_win_prob fair_odds_home ev_dollars ev_pct kelly_full kelly_quarter"
+    "home_win_prob fair_odds_home ev_dollars ev_pct kelly_full kelly_quarter fair_odds_away ev_dollars_away ev_pct_away kelly_full_away kelly_quarter_away"
 )
 
 
@@ -24,8 +24,11 @@ def _implied(o: str) -> str:
         f"""SELECT event_id, ih AS implied_prob_home, ia AS implied_prob_away, ih / (ih + ia) AS devig_mult_home, ia / (ih + ia) AS devig_mult_away,
         pow(ih, 2) / (pow(ih, 2) + pow(ia, 2)) AS devig_power_home, pow(ia, 2) / (pow(ih, 2) + pow(ia, 2)) AS devig_power_away, ih + ia - 1 AS vig, ih AS break_even,
         p AS home_win_prob, CASE WHEN m >= 0.5 THEN -100 * m / (1 - m) ELSE 100 * (1 - m) / m END AS fair_odds_home,
-        p * b * 100 - (1 - p) * 100 AS ev_dollars, (p - m) / m AS ev_pct, greatest(0, (b * p - (1 - p)) / b) AS kelly_full, 0.25 * greatest(0, (b * p - (1 - p)) / b) AS kelly_quarter
-        FROM (SELECT *, ih / (ih + ia) AS m, CASE WHEN home_odds < 0 THEN 100 / -home_odds ELSE home_odds / 100 END AS b FROM (
+        p * b * 100 - (1 - p) * 100 AS ev_dollars, (p - m) / m AS ev_pct, greatest(0, (b * p - (1 - p)) / b) AS kelly_full, 0.25 * greatest(0, (b * p - (1 - p)) / b) AS kelly_quarter,
+        CASE WHEN 1 - m >= 0.5 THEN -100 * (1 - m) / m ELSE 100 * m / (1 - m) END AS fair_odds_away, (1 - p) * c * 100 - p * 100 AS ev_dollars_away,
+        ((1 - p) - (1 - m)) / (1 - m) AS ev_pct_away, greatest(0, (c * (1 - p) - p) / c) AS kelly_full_away, 0.25 * greatest(0, (c * (1 - p) - p) / c) AS kelly_quarter_away
+        FROM (SELECT *, ih / (ih + ia) AS m, CASE WHEN home_odds < 0 THEN 100 / -home_odds ELSE home_odds / 100 END AS b,
+          CASE WHEN away_odds < 0 THEN 100 / -away_odds ELSE away_odds / 100 END AS c FROM (
           SELECT *, {_implied('home_odds')} AS ih, {_implied('away_odds')} AS ia, {phi_sql('(-line / 13.0::double)')} AS p FROM Q))""",
         "Q",
     ),

@@ -23,7 +23,7 @@ def price_quotes(
 ) -> DataFrame:
     """Every pricing column of a two-way quote, as expressions on the row.
 
-    The model's home probability comes from ``model_line`` (default: the quoted line) and ``sigma``.
+    Unsuffixed value columns are the home side's.  The model's home probability comes from ``model_line`` (default: the quoted line) and ``sigma``.
     """
     h, a = F.col(home_odds), F.col(away_odds)
     priced = quotes.withColumns({
@@ -44,6 +44,11 @@ def price_quotes(
         "ev_pct": pricing.ev_pct(p, F.col("devig_mult_home")),
         "kelly_full": pricing.kelly_full(p, h),
         "kelly_quarter": pricing.kelly_fraction(p, h),
+        "fair_odds_away": pricing.fair_odds(F.col("devig_mult_away")),
+        "ev_dollars_away": pricing.ev_dollars(1.0 - p, a, stake),
+        "ev_pct_away": pricing.ev_pct(1.0 - p, F.col("devig_mult_away")),
+        "kelly_full_away": pricing.kelly_full(1.0 - p, a),
+        "kelly_quarter_away": pricing.kelly_fraction(1.0 - p, a),
     })
 
 
