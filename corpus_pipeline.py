@@ -30,7 +30,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned decision list reject."""
     kept = quality_rules(docs, labels(spark, sf_dir)).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, a similarity of 0.8."""
-    return docs.join(near_duplicates(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = near_duplicates(docs).filter("kept").select("doc_id")
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
