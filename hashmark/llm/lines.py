@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words.  Lines with equal sets are one class, which stands where it occurs first.  The words of a
-line are ordered by rarity (by how often words of the same hash slot occur in the corpus, then by hash), so that two lines
-with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
+line are ordered by rarity (by how often words of the same hash slot occur in the corpus, then longer words first, then by
+hash), so that two lines with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
 room for the words they need in common (positional filter), and be of like size (length filter); a 64-bit parity sketch of
 the words bounds their difference as well.  What passes is verified on the full sets.
 
@@ -24,6 +24,8 @@ from hashmark.llm.tables import BLANKS, documents, word_array, written
 PERCENT = 80
 #: Hash slots whose occurrences order the words: what is collected has this size.
 SLOTS = 1 << 16
+#: 64-bit words of the sketch that candidates are held against before their sets are fetched; a power of two.
+WORDS_OF_SKETCH = 4
 
 
 def _lines(text: Column) -> Column:
@@ -35,23 +37,45 @@ def _has_words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant array: for each hash slot the binary logarithm of the occurrences of its words."""
+    """A constant array: for each hash slot the binary logarithm of its occurrences, in units of twice the mean slot.
+
+    Frequent words stand out of their slot; all others are level 0, where longer words count as rarer.
+    """
     words = docs.select(F.explode(word_array(F.col(text_col))).alias("w"))
     counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).alias("slot")).count().collect())
-    levels = ",".join(str(counts.get(s, 0).bit_length()) for s in range(SLOTS))
+    usual = 2 * sum(counts.values()) // SLOTS + 1
+    levels = ",".join(str((counts.get(s, 0) // usual).bit_length()) for s in range(SLOTS))
     return F.split(F.lit(levels), ",").cast("array<int>")
 
 
 def codes(line: Column, levels: Column) -> Column:
-    """The distinct words of a line as sorted numbers: six bits of rarity, then 57 of the hash."""
+    """The distinct words of a line as sorted numbers: six bits of frequency, six of shortness, then 51 of the hash."""
 
     def code(word: Column) -> Column:
-        level = levels[F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")].cast("long")
-        return F.shiftleft(level, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 7))
+        level = levels[F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")]
+        short = 63 - F.least(F.char_length(word), F.lit(63))
+        return F.shiftleft((64 * level + short).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 13))
 
     return F.sort_array(F.transform(F.array_distinct(word_array(line)), code))
 
 
+def _bit(code: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _parity(found: Column | str) -> Column:
+    """64 bits, each the parity of the words that hash to it: two sets differ in as many words at least as in bits."""
+    return F.aggregate(found, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c)))
+
+
+def _wide_sketch(found: str) -> Column:
+    """``WORDS_OF_SKETCH`` parities, each of its share of the words; it tells longer lines apart."""
+    def part(k: int) -> Column:
+        return F.filter(found, lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(WORDS_OF_SKETCH - 1)) == k)
+
+    return F.array(*(_parity(part(k)) for k in range(WORDS_OF_SKETCH)))
+
+
 def line_classes(docs: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each distinct set: the ``doc`` and ``line`` of its first occurrence, ``n`` words, ``parity`` and ``prefix``."""
     lines = (
@@ -61,8 +85,7 @@ def line_classes(docs: DataFrame, levels: Column, percent: int, id_col: str, tex
         .select("doc", "line", codes(F.col("words"), levels).alias("codes"))
     )
     n = F.size("codes")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c)))
+    parity = _parity("codes")
     prefix = F.slice("codes", 1, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
     rows = lines.select(
         F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"),
@@ -90,14 +113,49 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int, i
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(listed, "doc")
     split = texts.select("doc", "wanted", _lines(F.col("text")).alias("lines"))
     picked = split.select("doc", F.explode(F.expr("transform(wanted, i -> struct(i AS line, lines[i] AS words))")).alias("p"))
-    sets = written(picked.select("doc", "p.line", codes(F.col("p.words"), levels).alias("codes")), "line-sets")
-    full = pairs.join(sets, ["doc", "line"]).join(
-        sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("codes").alias("codes0")), ["doc0", "line0"]
+    sets = written(picked.select("doc", "p.line", codes(F.col("p.words"), levels).alias("codes")).withColumn("sketch", _wide_sketch("codes")), "line-sets")
+    marks = sets.select("doc", "line", F.size("codes").alias("n"), "sketch")
+    first = [F.col("doc").alias("doc0"), F.col("line").alias("line0")]
+    close = pairs.join(marks, ["doc", "line"]).join(marks.select(*first, F.col("n").alias("n0"), F.col("sketch").alias("sketch0")), ["doc0", "line0"])
+    need = F.expr(f"({percent} * (n + n0) + {99 + percent}) div {100 + percent}")
+    apart = sum(F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch0")[k])) for k in range(WORDS_OF_SKETCH))
+    close = written(close.filter(apart <= F.col("n") + F.col("n0") - 2 * need).select(*pairs.columns), "line-close")
+    full = close.join(sets.select("doc", "line", "codes"), ["doc", "line"]).join(
+        sets.select(*first, F.col("codes").alias("codes0")), ["doc0", "line0"]
     )
     both = F.size(F.array_intersect("codes", "codes0"))
     return full.filter(100 * both >= percent * (F.size("codes") + F.size("codes0") - both)).select("doc", "line").distinct()
 
 
+def _near_first(docs: DataFrame, classes: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Classes that are similar to the earliest class under one of their prefix words."""
+    entries = classes.select("doc", "line", "n", "parity", F.explode("prefix").alias("code"))
+    first = entries.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "parity")).alias("x"), F.count("*").alias("entries"))
+    first = written(first.filter("entries > 1").select("code", "x"), "line-words")
+    met = entries.select("code", F.struct("doc", "line", "n", "parity").alias("y")).join(first.hint("merge"), "code")
+    later = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
+    tried = met.filter(later & _may_match("x", "y", percent, False)).select(
+        "y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")
+    )
+    return _verified(docs, written(tried.distinct(), "line-tries"), levels, percent, id_col, text_col)
+
+
+def _others(classes: DataFrame, removed: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (``doc``, ``line`` later than ``doc0``, ``line0``) whose later class is not removed yet.
+
+    Both sides of the join are one and the same exchange; the term that leaves removed classes out names both sides, as
+    a filter on one would make a second exchange.
+    """
+    gone = removed.withColumn("gone", F.lit(1)).hint("merge")
+    marked = classes.join(gone, ["doc", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    rows = marked.select("doc", "line", "n", "parity", "gone", F.posexplode("prefix").alias("at", "code"))
+    x, y = rows.alias("x"), rows.alias("y")
+    earlier = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
+    open_y = F.col("x.gone") + 2 * F.col("y.gone") < 2
+    pairs = y.join(x.hint("merge"), (F.col("x.code") == F.col("y.code")) & open_y & earlier & _may_match("x", "y", percent, True))
+    return pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
+
+
 def dedup_lines(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -107,24 +165,9 @@ def dedup_lines(
     """
     levels = rarity(docs, text_col)
     classes = written(line_classes(docs, levels, percent, id_col, text_col), "line-classes")
-    entries = classes.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("at", "code"))
-    order = F.struct("doc", "line", "n", "parity")
-    shared = written(
-        entries.groupBy("code").agg(F.min(order).alias("first"), F.count("*").alias("entries")).filter("entries > 1").select("code", "first"),
-        "line-words",
-    )
-    hits = written(entries.join(shared.hint("merge"), "code"), "line-hits")
-    later = hits.filter((F.col("first.doc") < F.col("doc")) | ((F.col("first.doc") == F.col("doc")) & (F.col("first.line") < F.col("line"))))
-    tried = later.select(F.struct("n", "parity").alias("y"), F.struct("first.n", "first.parity").alias("x"), "doc", "line", F.col("first.doc").alias("doc0"), F.col("first.line").alias("line0"))
-    tried = written(tried.filter(_may_match("x", "y", percent, False)).select("doc", "line", "doc0", "line0").distinct(), "line-tries")
-    removed = written(_verified(docs, tried, levels, percent, id_col, text_col), "line-removed")
-    rows = hits.drop("first")
-    x, y = rows.alias("x"), rows.join(removed, ["doc", "line"], "left_anti").alias("y")
-    earlier = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
-    rest = y.join(x, (F.col("x.code") == F.col("y.code")) & earlier & _may_match("x", "y", percent, True)).select(
-        "y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")
-    )
-    rest = written(rest.distinct().join(tried, ["doc", "line", "doc0", "line0"], "left_anti"), "line-rest")
+    removed = written(_near_first(docs, classes, levels, percent, id_col, text_col), "line-removed")
+    rest = _others(classes, removed, percent)
+    rest = written(rest, "line-rest")
     removed = removed.unionByName(_verified(docs, rest, levels, percent, id_col, text_col))
     kept = classes.select("doc", "line").join(removed, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("kept"))
     joined = docs.select(F.col(id_col), F.col(text_col).alias("text"), *([F.struct(*others).alias("others")] if others else [])).join(kept.withColumnRenamed("doc", id_col).hint("merge"), id_col, "left")
