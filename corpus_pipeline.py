@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame; ``run`` writes it as Parquet in the shared folder and gives
 the next stage what it reads back, so a lost executor costs one stage at most.  All but the last stage return the columns
-of ``documents``.
+of ``documents``.  Every row gets its own decision, also where ids are NULL or repeat.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from hashmark.llm.tables import documents, labels, written
 
 BESIDE = ("lang", "source")
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BESIDE_ID = COLUMNS[1:]
 
 
 def _documents(rows: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned decision list reject."""
-    kept = quality_rules(docs, labels(spark, sf_dir)).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    kept = quality_rules(docs, labels(spark, sf_dir), others=BESIDE_ID).filter("kept")
+    return kept.select("doc_id", "others.*").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +41,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, a similarity of 0.8."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    """One row of each group of near-duplicates: shingles of five words, a similarity of 0.8.  Rows without an id stay."""
+    kept = near_duplicates(docs, others=BESIDE_ID).filter("first")
+    return kept.select("doc_id", "others.*").select(*COLUMNS)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

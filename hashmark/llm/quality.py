@@ -7,7 +7,7 @@ labelled rows prunes each rule from its end.  The list is emitted as one ``CASE
 
 Nulls and empty texts have no words and fail the base rules.  Labels with NULL or no statistics row are not learned from;
 without labels the list is empty and only the base rules speak.  Rows are neither merged nor dropped: equal rows get equal
-results.  Columns of the input beyond ``id_col`` and ``text_col`` are not read.
+results.  Columns of the input beyond ``id_col`` and ``text_col`` are not read, but for those named to come along.
 """
 
 from __future__ import annotations
@@ -69,9 +69,11 @@ class Rule:
         return found
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """``id_col`` and the counts named in ``COUNTS``, over the whole text, which two regular expressions scan.
 
+    The columns ``others`` come along in one struct, ``others``.
+
     Most texts repeat no window of three words, which a distinct count of window hashes tells; only the others are sorted
     to find the positions that repeats cover.
     """
@@ -82,6 +84,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         word_array(F.col(text_col)).alias("w"),
         lines.alias("lines"),
         F.regexp_replace(text, f"[^{SYMBOLS}A-Z!]+", "").alias("signs"),
+        *([F.struct(*others).alias("others")] if others else []),
     )
     hashed = split.withColumn("h", F.when(F.size("w") > 3, F.expr(
         "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
@@ -103,6 +106,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size("lines").cast("long").alias("n_lines"),
         (F.char_length("signs") - F.char_length(F.translate("signs", CAPITALS, ""))).cast("long").alias("n_capitals"),
         (F.char_length("signs") - F.char_length(F.translate("signs", "!", ""))).cast("long").alias("n_exclaims"),
+        *(["others"] if others else []),
     )
 
 
@@ -217,12 +221,17 @@ def rule_columns(rules: list[Rule]) -> Column:
     return found.otherwise(0)
 
 
-def quality_rules(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, ``base_failed``, the number of the learned rule that fires and ``kept`` for every row of ``docs``."""
-    stats = written(text_statistics(docs, id_col, text_col), "quality-statistics")
+def quality_rules(
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts, ``base_failed``, the number of the learned rule that fires and ``kept`` for every row of ``docs``.
+
+    The columns ``others`` come along in one struct, ``others``, so that a row keeps its own decision whatever its id.
+    """
+    stats = written(text_statistics(docs, id_col, text_col, others), "quality-statistics")
     rules = learn_rules(stats, labelled, id_col)
     return with_features(stats).select(
-        id_col, *COUNTS, base_failed().alias("base_failed"), rule_columns(rules).alias("rule")
+        id_col, *COUNTS, *(["others"] if others else []), base_failed().alias("base_failed"), rule_columns(rules).alias("rule")
     ).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 

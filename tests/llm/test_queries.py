@@ -54,3 +54,26 @@ def test_pipeline(spark, sf_dir):
         assert r.text and r.n_chars == len(r.text)
     room = frames[5].groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert max(r[1] for r in room) <= 2048
+
+
+def test_rows_get_their_own_decision_whatever_their_id(spark, sf_dir):
+    import random
+
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(5)
+    prose = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(5)]
+    texts = [(None, prose[0]), (None, "short"), (1, prose[1]), (1, "rejected"), (2, prose[2]), (2, prose[2]), (2, prose[2] + " tail")]
+    texts += [(3, prose[3]), (3, prose[4]), (4, prose[3] + " tail"), (5, prose[4] + " tail")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def found(frame):
+        assert frame.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+    clean = [(i, t) for i, t in texts if t not in ("short", "rejected")]
+    assert found(pipeline.keep_quality(spark, docs, sf_dir)) == sorted(clean, key=str)
+    kept = found(pipeline.keep_one_of_each_group(spark, docs, sf_dir))
+    assert [i for i, _ in kept].count(2) == 1
+    assert [x for x in kept if x[0] != 2] == sorted([x for x in texts if x[0] in (None, 1) or x in ((3, prose[3]), (3, prose[4]))], key=str)
