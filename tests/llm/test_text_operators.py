@@ -131,6 +131,39 @@ def test_unlinked_members_are_compared_in_blocks(spark, monkeypatch):
     assert {r["id"]: r["component_id"] for r in found} == {k: k // 3 * 3 for k in range(12)}
 
 
+def test_a_task_holds_a_slice_of_a_group(spark, monkeypatch):
+    members = spark.range(3000).select(F.lit(99).alias("centre"), "id", (F.col("id") >= 4).alias("linked"))
+    dealt = minhash._dealt(members, F.lit(2), F.lit(20))
+    held = dealt.groupBy("block", "slice").count().collect()
+    assert len(held) == 40 and max(r["count"] for r in held) < 250
+    met = dealt.filter("tries").alias("x").join(dealt.filter("NOT tries").alias("y"), ["block", "slice"])
+    assert met.select("x.id", "y.id").distinct().count() == met.count() == 4 * 3000
+
+
+@pytest.mark.parametrize("slice_rows,block_rows", [(2048, 512), (3, 2)])
+def test_a_group_in_slices_keeps_all_links(spark, monkeypatch, slice_rows, block_rows):
+    monkeypatch.setattr(minhash, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    held, deal = [], minhash._dealt
+
+    def watched(*a):
+        held.append(deal(*a))
+        return held[-1]
+
+    monkeypatch.setattr(minhash, "_dealt", watched)
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(100)]
+    own = [[f"f{f}w{k}" for k in range(26)] for f in range(6)]
+    texts = [shared + own[k % 6][:-1] + [f"v{k}"] for k in range(30)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    want = linked_groups({i: shingles(t, 3) for i, t in rows}, 85)
+    assert {i: r["component_id"] for i, r in got.items()} == want and len(set(want.values())) == 6
+    tasks = [r["count"] for r in held[0].groupBy("centre", "block", "slice").count().collect()]
+    assert len(tasks) > 1 if slice_rows == 3 else tasks
+
+
 def test_pigeonhole_finds_all_within_the_distance():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 16, (1, minhash.SYMBOLS), dtype=np.uint16)
