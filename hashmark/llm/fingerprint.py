@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashmark.llm.components import components
-from hashmark.llm.tables import arrow_map, documents, ship
+from hashmark.llm.minhash import BLOCK_ROWS, SLICE_ROWS, dealt_copies
+from hashmark.llm.tables import arrow_map, documents, ship, written
 from hashmark.llm.textbytes import mix, stream
 
 SLOTS = 64
@@ -207,28 +208,68 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _agreeing(pairs: DataFrame, slots: int) -> DataFrame:
+    """``centre``, ``id`` and whether their fingerprints (``m1``, ``m2``) agree in ``slots`` slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m1, m2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in (2, 3))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((m1 == m2).sum(axis=1) >= slots)], names=["centre", "id", "linked"])
+
+    return arrow_map(pairs.select("centre", "id", "m1", "m2"), run, "centre long, id long, linked boolean")
+
+
+def _rest_links(members: DataFrame, slots: int) -> DataFrame:
+    """Links (``a``, ``b``) that join the unlinked members of each centre's group to others of the group, by blocks and slices.
+
+    ``members``: ``centre``, ``id``, ``linked``, ``mark`` and the numbers ``n`` and ``rest`` of members and unlinked members.
+    """
+    blocks, slices = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c, size in (("rest", BLOCK_ROWS), ("n", SLICE_ROWS)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("tries", ascending=False).drop_duplicates("id")
+        ids, marks = group["id"].to_numpy(), np.frombuffer(b"".join(group["mark"]), np.uint16).reshape(-1, SLOTS)
+        found, label = [], np.arange(len(ids))
+        for i in range(int(group["tries"].sum())):
+            for other in np.unique(label[(marks == marks[i]).sum(axis=1) >= slots]).tolist():
+                if other != label[i]:
+                    found.append((ids[label[i]], ids[other]))
+                    label[label == other] = label[i]
+        return pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
+
+    ship(members.sparkSession)
+    return dealt_copies(members, blocks, slices).groupBy("centre", "block", "slice").applyInPandas(run, "a long, b long")
+
+
 def near_links(marked: DataFrame, slots: int = 40) -> DataFrame:
-    """``id`` and ``component_id`` of the rows whose fingerprints, linked where ``slots`` slots or more agree, hang together.
+    """``marked`` with the ``component_id`` of the rows whose fingerprints, linked where ``slots`` slots or more agree, hang together.
 
-    ``marked`` has ``id`` and ``fingerprint``.  Equal fingerprints are one class.  A class is tried against the smallest of
-    those that share a band of ``KEY_SLOTS`` slots with it, so a pair that only meets under a third row's band is linked
-    through that row or not at all.
+    ``marked`` has ``id`` and ``fingerprint``.  Equal fingerprints are one class.  Classes that share a band of ``KEY_SLOTS``
+    slots are candidates.  Each is tried against one centre of its band; what the centre does not confirm is then compared
+    with all that met that centre, in bounded tasks, so that no link between candidates is lost.  A component is named by
+    its smallest id: NULL if none of its rows has one.
     """
-    classes = marked.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    bands = F.array(*(
-        F.struct(F.lit(k).alias("band"), F.substring("fingerprint", 1 + 4 * KEY_SLOTS * k, 4 * KEY_SLOTS).alias("key")) for k in range(KEYS)
-    ))
-    keyed = classes.select("id", "fingerprint", F.explode(bands).alias("b")).select("id", "fingerprint", "b.band", "b.key")
-    centres = keyed.groupBy("band", "key").agg(F.min(F.struct("id", "fingerprint")).alias("c"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(centres, ["band", "key"]).filter("id != c.id")
-    agree = sum(
-        (F.substring("fingerprint", 1 + 4 * k, 4) == F.substring("c.fingerprint", 1 + 4 * k, 4)).cast("int") for k in range(SLOTS)
+    mark = F.unhex("fingerprint")
+    numbered = marked.select(mark.alias("mark"), "id").groupBy("mark").agg(F.min("id").alias("least"))
+    classes = written(numbered.withColumn("id", F.monotonically_increasing_id()), "marks")
+    width = 2 * KEY_SLOTS
+    bands = F.array(*(F.xxhash64(F.lit(k), F.substring("mark", 1 + width * k, width)) for k in range(KEYS)))
+    keyed = classes.select("id", F.explode(bands).alias("key"))
+    centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    met = keyed.join(centres.select("key", "centre"), "key").filter("id != centre").select("centre", "id").distinct()
+    full = met.join(classes.select("id", F.col("mark").alias("m2")), "id").join(
+        classes.select(F.col("id").alias("centre"), F.col("mark").alias("m1")), "centre"
     )
-    links = pairs.filter(agree >= slots).select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-    roots = components(links)
-    named = classes.join(roots, "id", "left").select("fingerprint", F.coalesce("component_id", "id").alias("component_id"))
-    return marked.join(named, "fingerprint").select("id", "component_id")
+    tried = written(_agreeing(full, slots), "tried")
+    groups = tried.groupBy("centre").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("rest"))
+    members = tried.join(groups.filter("n > 1 AND rest > 0"), "centre").join(classes.select("id", "mark"), "id")
+    links = tried.filter("linked").select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(_rest_links(members, slots))
+    rooted = classes.join(components(links), "id", "left").select("mark", "least", F.coalesce("component_id", "id").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(heads, "root").select("mark", "component_id")
+    return marked.withColumn("mark", mark).join(named, "mark").drop("mark")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprinted(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return near_links(written(fingerprinted(documents(spark, sf_dir)), "fingerprints")).withColumnRenamed("id", "doc_id")

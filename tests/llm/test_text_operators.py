@@ -133,7 +133,7 @@ def test_unlinked_members_are_compared_in_blocks(spark, monkeypatch):
 
 def test_a_task_holds_a_slice_of_a_group(spark, monkeypatch):
     members = spark.range(3000).select(F.lit(99).alias("centre"), "id", (F.col("id") >= 4).alias("linked"))
-    dealt = minhash._dealt(members, F.lit(2), F.lit(20))
+    dealt = minhash.dealt_copies(members, F.lit(2), F.lit(20))
     held = dealt.groupBy("block", "slice").count().collect()
     assert len(held) == 40 and max(r["count"] for r in held) < 250
     met = dealt.filter("tries").alias("x").join(dealt.filter("NOT tries").alias("y"), ["block", "slice"])
@@ -144,13 +144,13 @@ def test_a_task_holds_a_slice_of_a_group(spark, monkeypatch):
 def test_a_group_in_slices_keeps_all_links(spark, monkeypatch, slice_rows, block_rows):
     monkeypatch.setattr(minhash, "SLICE_ROWS", slice_rows)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
-    held, deal = [], minhash._dealt
+    held, deal = [], minhash.dealt_copies
 
     def watched(*a):
         held.append(deal(*a))
         return held[-1]
 
-    monkeypatch.setattr(minhash, "_dealt", watched)
+    monkeypatch.setattr(minhash, "dealt_copies", watched)
     rng = random.Random(3)
     shared = [f"s{k}" for k in range(100)]
     own = [[f"f{f}w{k}" for k in range(26)] for f in range(6)]
@@ -482,6 +482,40 @@ def test_near_links(spark):
     assert got == {**{k: k for k in range(9)}, 6: 0, 7: 1}
 
 
+def linked_marks(marks, slots=40):
+    """Components of the rows that share a band and agree in ``slots`` slots, by brute force."""
+    label = list(range(len(marks)))
+    for i in range(len(marks)):
+        for j in range(i):
+            same = marks[i] == marks[j]
+            if same.sum() >= slots and same.reshape(fingerprint.KEYS, -1).all(axis=1).any():
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("block,part", [(512, 2048), (3, 5)])
+def test_near_links_where_a_passage_is_shared(spark, monkeypatch, block, part):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", block)
+    monkeypatch.setattr(fingerprint, "SLICE_ROWS", part)
+    rng = np.random.default_rng(4)
+    centre, first = rng.integers(1, 1 << 16, (2, fingerprint.SLOTS), dtype=np.uint16)
+    first[:4] = centre[:4]
+    second = first.copy()
+    second[4::4] ^= 1  # agrees in 49 slots and shares the first band only, whose smallest class may be like neither
+    words = random.Random(6)
+    passage, *own = ("".join(words.choice("abcdefgh ") for _ in range(n)) for n in (3000, *[1300] * 60))
+    marks = np.concatenate([[centre, first, second], fingerprint.fingerprints([passage + t for t in own])])
+    frame = spark.createDataFrame([(k, m.astype(">u2").tobytes().hex()) for k, m in enumerate(marks)], "id long, fingerprint string")
+    got = {r["id"]: r["component_id"] for r in fingerprint.near_links(frame).collect()}
+    assert got == linked_marks(marks) and got[2] == 1 and got[0] == 0
+
+
+def test_the_query_of_fingerprints_has_components(spark, sf_dir):
+    found = fingerprint.op10_fingerprints(spark, sf_dir)
+    assert "component_id" in found.columns and found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_fingerprints_of_an_empty_table(empty):
     assert fingerprint.fingerprinted(empty).count() == 0
 
