@@ -49,3 +49,24 @@ SELECT b.doc_id, octet_length(b.h) AS n_bytes, coalesce(n_removed, 0) AS n_remov
 FROM b LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 ORACLES = {"op1_minhash": NEAR_DUPLICATES, "op5_line_dedup": LINES, "op6_suffix_dedup": REPEATS}
+
+#: The unsigned crc32 of the characters of ``{x}`` (code points below 128).
+CRC32 = """xor(list_reduce(list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce(
+  [xor(a, b)] || list_transform(range(8), lambda i: CAST(0 AS BIGINT)), lambda v, z: xor(v >> 1, (v & 1) * 3988292384)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+#: Rebuilt conversations as lists of turns, nodes as their distinct prefixes, subtrees by the prefixes that continue a node.
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, {{'role': role, 'text': text}} AS x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS k FROM t),
+l AS (SELECT c, list(x ORDER BY k) AS own, {CRC32.format(x="CAST(c AS VARCHAR)")} % 4 AS h FROM o GROUP BY c),
+r AS (SELECT a.c, coalesce(b.own[1:a.h], []) || a.own[a.h + 1:] AS p FROM l a LEFT JOIN l b ON b.c = a.c - a.c % 20),
+m AS (SELECT c, len(p) AS n, d, p[1:d] AS p FROM (SELECT c, p, unnest(range(len(p) + 1)) AS d FROM r)),
+v AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends,
+  len(list_filter(string_split_regex(coalesce(p[d].text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words FROM m GROUP BY d, p),
+e AS (SELECT a.*, b.conv_id AS parent_conv_id FROM v a LEFT JOIN v b ON b.d = a.d - 1 AND b.p = a.p[1:a.d - 1]),
+k AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN k USING (d, p)),
+s AS (SELECT a.d, a.conv_id, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+  FROM f a JOIN m ON m.d = a.d AND m.p = a.p JOIN f b ON b.conv_id = m.c AND b.d >= a.d GROUP BY a.d, a.conv_id)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN s USING (d, conv_id)"""
+
+ORACLES |= {"op11_prefix_trie": PREFIX_TRIE}

@@ -16,6 +16,7 @@ from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
 from hashmark.llm.suffix import op6_suffix_dedup
 from hashmark.llm.toxicity import op8_toxicity
+from hashmark.llm.trie import op11_prefix_trie
 
 QUERIES = {
     "op1_minhash": op1_minhash,
@@ -28,4 +29,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
 }
