@@ -11,6 +11,7 @@ from hashmark.llm.langid import op3_language_id
 from hashmark.llm.lines import op5_line_dedup
 from hashmark.llm.lmscore import op9_lm_scoring
 from hashmark.llm.minhash import op1_minhash
+from hashmark.llm.neighbours import op12_nearest
 from hashmark.llm.oracles import ORACLES  # noqa: F401
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
@@ -30,4 +31,5 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_nearest": op12_nearest,
 }
