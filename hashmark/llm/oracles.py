@@ -81,3 +81,50 @@ k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5"""
 
 ORACLES |= {"op12_nearest": NEAREST}
+
+
+def _edit(state: str, letter: str, cost: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def _shift(role: str, initial: str, *tops: str) -> list[str]:
+    """Keep and rerole from each of ``tops``, where the row may stay (``c`` is too large to be chosen where it may not)."""
+    keep = f"e + CASE WHEN fault IN ('b', 'd') OR role[1:1] <> '{initial}' THEN 1000000000 ELSE 0 END"
+    change = "2 + e + CASE WHEN fault IN ('b', 'd') THEN 1000000000 ELSE 0 END"
+    return [x for top in tops for x in (_edit(top, "K", keep, "chr(10) || role || ':' || text"), _edit(top, "R", change, f"chr(10) || '{role}:' || text"))]
+
+
+_NONE = "{'c': CAST(2000000000 AS BIGINT), 'a': '', 't': ''}"
+_USER, _ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+#: Damage, faults, and a table of the cheapest edits to each of the four tops, row by row.
+REPAIR = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {CRC32.format(x="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), copy) AS i FROM x),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS z FROM o),
+f AS (SELECT *, CASE WHEN z = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN z NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM l),
+r AS (SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS e FROM f),
+s AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS s0, {_NONE} AS s1, {{'c': CAST(2 AS BIGINT), 'a': 'I', 't': {_USER}}} AS s2,
+  {{'c': CAST(4 AS BIGINT), 'a': 'II', 't': {_USER} || {_ASSISTANT}}} AS s3 FROM conversations
+UNION ALL SELECT conv_id, i, s0, s1, {_least("n2", _edit("n3", "I", "2", _USER))}, n3 FROM (
+  SELECT conv_id, i, s0, s1, n2, {_least("s3", _edit("n2", "I", "2", _ASSISTANT))} AS n3 FROM (
+  SELECT conv_id, i, s0, s1, {_least("s2", *[_edit(s, "I", "2", _USER) for s in ("s0", "s1", "s3")])} AS n2, s3 FROM (
+  SELECT s.conv_id, r.i, {_edit("s0", "D", "3")} AS s0,
+    {_least(_edit("s1", "D", "3"), _edit("s0", "K", "e + CASE WHEN fault IN ('b', 'd') OR role[1:1] <> 's' THEN 1000000000 ELSE 0 END", "chr(10) || role || ':' || text"))} AS s1,
+    {_least(_edit("s2", "D", "3"), *_shift("user", "u", "s0", "s1", "s3"))} AS s2, {_least(_edit("s3", "D", "3"), *_shift("assistant", "a", "s2"))} AS s3
+  FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1)))),
+b AS (SELECT conv_id, {_least("s0", "s3")} AS b FROM (SELECT conv_id, arg_max(s0, i) AS s0, arg_max(s3, i) AS s3 FROM s GROUP BY conv_id)),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(b.b.c AS BIGINT) AS cost, b.b.a AS audit, sha256(b.b.t[2:]) AS repaired_sha256
+FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+ORACLES |= {"op13_conversation_repair": REPAIR}

@@ -15,6 +15,7 @@ from hashmark.llm.neighbours import op12_nearest
 from hashmark.llm.oracles import ORACLES  # noqa: F401
 from hashmark.llm.packing import op7_packing
 from hashmark.llm.quality import op2_quality_rules
+from hashmark.llm.repair import op13_conversation_repair
 from hashmark.llm.suffix import op6_suffix_dedup
 from hashmark.llm.toxicity import op8_toxicity
 from hashmark.llm.trie import op11_prefix_trie
@@ -32,4 +33,5 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_nearest": op12_nearest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
