@@ -54,6 +54,23 @@ def _(spark, sf_dir):
     return closed(spark, sf_dir).select("event_id", "game_id", "line", "closing_line")
 
 
+@query(
+    "asof_quotes",
+    sql(
+        """SELECT b.event_id, b.game_id, b.ts, b.line, max_by(q.line, (q.ts, q.event_id)) FILTER (q.ts <= b.ts) AS asof_line,
+        max_by(q.home_odds, (q.ts, q.event_id)) FILTER (q.ts <= b.ts) AS asof_home_odds, max_by(q.line, (q.ts, q.event_id)) FILTER (q.ts < b.ts) AS earlier_line
+        FROM Q b JOIN Q q ON q.game_id = b.game_id GROUP BY b.event_id, b.game_id, b.ts, b.line""",
+        "Q",
+    ),
+)
+def _(spark, sf_dir):
+    """Every event is a bet at its own time and a quote: the newest quote up to then, and the newest one before."""
+    q = quotes(spark, sf_dir)
+    at = market.asof_quotes(q, q, tie_break=["event_id"], columns=["line", "home_odds"])
+    both = market.asof_quotes(at, q, tie_break=["event_id"], prefix="earlier_", strict=True)
+    return both.select("event_id", "game_id", "ts", "line", "asof_line", "asof_home_odds", "earlier_line")
+
+
 _CLV = f"""(SELECT event_id, book, CASE WHEN is_home THEN closing_line - line ELSE line - closing_line END AS clv_points,
   ({_implied('closing_home_odds')} - {_implied('home_odds')}) / {_implied('home_odds')} AS clv_pct FROM Q LEFT JOIN {_CLOSE} c ON c.game_id = Q.game_id)"""
 

@@ -385,7 +385,8 @@ def _(spark, sf_dir):
     "cumulative_ev", 3,
 )
 def _(spark, sf_dir):
-    return windows.cumulative_ev(sized(spark, sf_dir), coarse=["season", "week"]).select("game_id", "cumulative_ev")
+    bets = sized(spark, sf_dir).select("model", "season", "week", "game_id", "ev_dollars")
+    return windows.cumulative_ev(bets, coarse=["season", "week"]).select("game_id", "cumulative_ev")
 
 
 @query("top_edges", sql("SELECT game_id, season, edge FROM SB ORDER BY abs(edge) DESC, game_id LIMIT 10", "SB"), "edge")

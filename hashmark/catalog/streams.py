@@ -22,10 +22,10 @@ def _stream(spark, sf_dir: str, name: str):
 @query("stream_upsert_periods", sql("SELECT * FROM TW", "TW"), _PERIOD_FLOATS)
 def _(spark, sf_dir):
     """The table that the stream maintains equals the batch statistics."""
-    plays_path, target, checkpoint = (scratch_path(spark, n) for n in ("stream-plays", "stream-team-week", "stream-checkpoint"))
+    state, target, checkpoint = (scratch_path(spark, n) for n in ("stream-parts", "stream-team-week", "stream-checkpoint"))
     stream = spark.sql(PLAYS, lineitem=_stream(spark, sf_dir, "lineitem"))
-    incremental.stream_upsert_periods(stream, plays_path, target, checkpoint).awaitTermination()
-    return tables.read_table(spark, target)
+    incremental.stream_upsert_periods(stream, state, target, checkpoint).awaitTermination()
+    return incremental.read_periods(spark, target)
 
 
 @query(
@@ -39,8 +39,9 @@ def _(spark, sf_dir):
     target, checkpoint = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-checkpoint")
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stats = incremental.stream_period_stats(events, "ts", F.col("user_id") % 32, F.col("value"))
-    incremental.start_upsert_table(stats, target, checkpoint).awaitTermination()
-    current = incremental.read_upserted(spark.read.parquet(target), ["window_start", "entity"])
+    keys = ["window_start", "entity"]
+    incremental.start_upsert_table(stats, target, checkpoint, keys=keys, every=1).awaitTermination()
+    current = incremental.read_upserted(incremental.read_changes(spark, target), keys)
     return current.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -49,5 +50,20 @@ def _(spark, sf_dir):
     target, checkpoint = scratch_path(spark, "stream-quotes"), scratch_path(spark, "stream-checkpoint")
     quotes = spark.sql(QUOTES, events=_stream(spark, sf_dir, "events"))
     latest = incremental.stream_latest_quote(quotes, tie_break=["event_id"])
-    incremental.start_upsert_table(latest, target, checkpoint).awaitTermination()
-    return incremental.read_upserted(spark.read.parquet(target), ["game_id"])
+    incremental.start_upsert_table(latest, target, checkpoint, keys=["game_id"], every=4).awaitTermination()
+    return incremental.read_upserted(incremental.read_changes(spark, target), ["game_id"])
+
+
+@query(
+    "stream_closing_quote",
+    sql("SELECT game_id, max(ts) AS ts, max_by(line, (ts, event_id)) AS line FROM Q WHERE ts <= (SELECT max(ts) FROM Q) - INTERVAL 4 DAY GROUP BY game_id", "Q"),
+)
+def _(spark, sf_dir):
+    """All games begin four days before the last quote: by then event time has passed every kickoff, and each game closes once."""
+    target, checkpoint = scratch_path(spark, "stream-closing"), scratch_path(spark, "stream-checkpoint")
+    last = table(spark, sf_dir, "events").agg(F.max("ts").alias("ts")).first()["ts"]
+    quotes = spark.sql(QUOTES, events=_stream(spark, sf_dir, "events")).withColumn("kickoff", F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 4 DAY"))
+    # event time has to be seen to pass: every quote advances it, also those after a kickoff
+    closing = incremental.stream_closing_quote(quotes, "kickoff", tie_break=["event_id"])
+    closing.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closing.schema).parquet(target).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -58,7 +58,12 @@ def net_payout(odds: Column) -> Column:
 
 def ev_dollars(prob: Column, odds: Column, stake: float = STANDARD_STAKE) -> Column:
     """Expected profit of a stake.  p = .55 at -110 gives 5.0 on 100."""
-    return prob * net_payout(odds) * float(stake) - (F.lit(1.0) - prob) * float(stake)
+    return ev_at(prob, F.lit(1.0) - prob, net_payout(odds), stake)
+
+
+def ev_at(win: Column, lose: Column, payout: Column, stake: float = STANDARD_STAKE) -> Column:
+    """Expected profit of a stake from both probabilities and the profit per unit staked."""
+    return win * payout * float(stake) - lose * float(stake)
 
 
 def ev_pct(prob: Column, market_prob: Column) -> Column:
@@ -68,8 +73,12 @@ def ev_pct(prob: Column, market_prob: Column) -> Column:
 
 def kelly_full(prob: Column, odds: Column) -> Column:
     """Kelly share of the bankroll, never negative; NULL probability stays NULL."""
-    b = net_payout(odds)
-    raw = F.try_divide(b * prob - (F.lit(1.0) - prob), b)
+    return kelly_at(prob, F.lit(1.0) - prob, net_payout(odds))
+
+
+def kelly_at(win: Column, lose: Column, payout: Column) -> Column:
+    """Kelly share from both probabilities and the profit per unit staked."""
+    raw = F.try_divide(payout * win - lose, payout)
     return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), raw))
 
 
@@ -89,20 +98,21 @@ def clv_pct(bet_odds: Column, closing_odds: Column) -> Column:
     return F.try_divide(implied_prob(closing_odds) - taken, taken)
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, accurate to double precision."""
-    size = F.abs(z)
+def normal_cdf(z: Column, size: Column | None = None) -> Column:
+    """Standard normal distribution function, accurate to double precision.
+
+    ``size`` may name a column that holds ``abs(z)`` (0 where ``z`` is NULL), so that it is not worked out for every term.
+    """
+    size = F.abs(z) if size is None else size
     density = F.exp(size * size / -2.0)
 
     def horner(coefficients: tuple[float, ...]) -> Column:
         return reduce(lambda acc, c: acc * size + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
-    centre = density * horner(HART_TOP) / horner(HART_BOTTOM)
+    centre = horner(HART_TOP) / horner(HART_BOTTOM)
     fraction = reduce(lambda acc, n: size + F.lit(float(n)) / acc, (4, 3, 2, 1), size + 0.65)
-    tail = density / fraction / ROOT_TWO_PI
-    upper = (
-        F.when(size > HART_ZERO_FROM, F.lit(0.0)).when(size < HART_TAIL_FROM, centre).otherwise(tail)
-    )
+    tail = F.lit(1.0) / (fraction * ROOT_TWO_PI)
+    upper = F.when(size > HART_ZERO_FROM, F.lit(0.0)).otherwise(density * F.when(size < HART_TAIL_FROM, centre).otherwise(tail))
     return F.when(z > 0, F.lit(1.0) - upper).otherwise(F.when(z.isNotNull(), upper))
 
 

@@ -185,9 +185,12 @@ def bet_sizing(df: DataFrame, pred: str = "pred", sigma: float | Column = 2.0, o
     """Side probability, expected value and Kelly shares of a scored slate (needs ``bet_side``)."""
     from hashmark.functions import pricing
 
-    home = pricing.home_win_prob(F.col(pred), sigma)
+    scale = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
     return (
-        df.withColumn("home_win_prob", home)
+        df.withColumn("__z", F.try_divide(F.negative(F.col(pred)), scale))
+        .withColumn("__size", F.coalesce(F.abs("__z"), F.lit(0.0)))
+        .withColumn("home_win_prob", pricing.normal_cdf(F.col("__z"), F.col("__size")))
+        .drop("__z", "__size")
         .withColumns({
             "away_win_prob": F.lit(1.0) - F.col("home_win_prob"),
             "bet_prob": F.when(F.col("bet_side") == "home", F.col("home_win_prob"))

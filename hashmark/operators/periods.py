@@ -146,14 +146,13 @@ def both_sides_only(offense: DataFrame, defense: DataFrame, keys: Sequence[str]
     return offense.join(defense, list(keys), "inner")
 
 
-def team_period_stats(plays: DataFrame, profile: str = "full") -> DataFrame:
-    """Offence and defence statistics for every (season, week, team) that has both."""
-    metrics = PROFILES[profile]
+def period_parts(plays: DataFrame) -> DataFrame:
+    """Additive parts per (season, week, team, side): what a stream keeps instead of plays."""
     roles = F.array(
         F.struct(F.col("posteam").alias("team"), F.lit(True).alias("__own")),
         F.struct(F.col("defteam").alias("team"), F.lit(False).alias("__own")),
     )
-    sides = (
+    return (
         scrimmage(plays)
         .filter(F.col("season").isNotNull() & F.col("week").isNotNull())
         .select(*PERIOD, *INPUTS, F.inline(roles))
@@ -161,9 +160,19 @@ def team_period_stats(plays: DataFrame, profile: str = "full") -> DataFrame:
         .groupBy(*PERIOD, "team", "__own")
         .agg(*[c.alias(n) for n, c in _sums().items()])
     )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Parts of several sets of plays added up."""
+    return parts.groupBy(*PERIOD, "team", "__own").agg(*[F.sum(p).alias(p) for p in PARTS])
+
+
+def stats_from_parts(parts: DataFrame, profile: str = "full") -> DataFrame:
+    """Statistics of every (season, week, team) that has both sides, from one row of parts per side."""
+    metrics = PROFILES[profile]
     # one row per side: a maximum picks it and keeps the aggregate a hash aggregate
     own = F.col("__own")
-    paired = sides.groupBy(*PERIOD, "team").agg(
+    paired = parts.groupBy(*PERIOD, "team").agg(
         F.count("*").alias("__sides"),
         *[F.max(F.when(own, F.col(p))).alias(f"o_{p}") for p in PARTS],
         *[F.max(F.when(~own, F.col(p))).alias(f"d_{p}") for p in PARTS],
@@ -177,6 +186,11 @@ def team_period_stats(plays: DataFrame, profile: str = "full") -> DataFrame:
     )
 
 
+def team_period_stats(plays: DataFrame, profile: str = "full") -> DataFrame:
+    """Offence and defence statistics for every (season, week, team) that has both."""
+    return stats_from_parts(period_parts(plays), profile)
+
+
 def game_side_summary(plays: DataFrame) -> DataFrame:
     """Per game and side, and below that per play type: plays, EPA sum and mean, success, explosive plays.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.missing import missing_any
-from hashmark.operators.joins import at_thresholds
+from hashmark.operators.ranks import percentiles_of_columns, percentiles_of_unions
 from hashmark.operators.scale import exact_percentiles
 
 # Fixed values of the reports.
@@ -210,36 +210,42 @@ def ev_by_threshold(df: DataFrame, thresholds: Sequence[float] = EV_THRESHOLDS)
     )
 
 
+def _interval(thresholds: Sequence[float]) -> Column:
+    """How many of the sorted thresholds an edge reaches; rows of one interval reach the same ones."""
+    size = F.col("abs_edge")
+    return reduce(lambda acc, t: acc + F.coalesce(size >= float(t), F.lit(False)).cast("int"), thresholds, F.lit(0))
+
+
 def kelly_by_threshold(df: DataFrame, thresholds: Sequence[float] = EV_THRESHOLDS, value: str = "kelly_quarter") -> DataFrame:
-    """Mean, exact median and largest Kelly share per threshold."""
-    k = F.col(value)
-    return exact_percentiles(
-        at_thresholds(df.select("abs_edge", value), thresholds), ["threshold"], value, {"median_kelly": 0.5},
-        {"bets": F.count("*"), "mean_kelly": F.avg(k), "max_kelly": F.max(k)},
+    """Mean, exact median and largest Kelly share per threshold, merged from the intervals between thresholds."""
+    k, bounds = F.col(value), sorted({float(t) for t in thresholds})
+    table = percentiles_of_unions(
+        df.select("abs_edge", value), {"interval": _interval(bounds)}, value, {"median_kelly": 0.5},
+        lambda row: [(t,) for t in bounds[: row["interval"]]], "threshold double",
+        {"bets": ("sum", F.count("*")), "max_kelly": ("max", F.max(k)), "total": ("sum", F.sum(k)), "filled": ("sum", F.count(k))},
     )
+    return table.select("threshold", "bets", F.try_divide("total", "filled").alias("mean_kelly"), "max_kelly", "median_kelly")
 
 
 def backtest_summary(df: DataFrame, thresholds: Sequence[float] = EDGE_THRESHOLDS, split: str = "data_split") -> DataFrame:
     """Overall, per split and per threshold figures in one long table.
 
-    ``scope`` is overall, split or threshold and ``label`` names the part.  Each row is counted in every
-    part it belongs to by one literal generator.
+    ``scope`` is overall, split or threshold and ``label`` names the part.  Rows are summed up once, by split and by interval
+    between thresholds; every part is merged from these sums.
     """
-    e, size, ev = F.col("edge"), F.col("abs_edge"), F.col("ev_dollars")
+    e, size, ev, bounds = F.col("edge"), F.col("abs_edge"), F.col("ev_dollars"), sorted({float(t) for t in thresholds})
 
-    def part(scope: str, label: Column) -> Column:
-        return F.struct(F.lit(scope).alias("scope"), label.alias("label"))
+    def parts(row) -> list[tuple[str, str]]:
+        return [("overall", "overall"), ("split", row["split"]), *[("threshold", f"{t:.1f}+") for t in bounds[: row["interval"]]]]
 
-    always = F.array(part("overall", F.lit("overall")), part("split", F.col(split)))
-    reached = [F.when(size >= float(t), part("threshold", F.lit(f"{float(t):.1f}+"))) for t in thresholds]
-    parts = df.select(
-        "edge", "abs_edge", "ev_dollars", F.inline(F.concat(always, F.array_compact(F.array(*reached))))
+    sums = {"n": F.count("*"), "s": F.sum(size), "ns": F.count(size), "ee": F.sum(e * e), "ne": F.count(e), "total_ev": F.sum(ev), "nv": F.count(ev)}
+    table = percentiles_of_unions(
+        df.select("edge", "abs_edge", "ev_dollars", F.col(split).cast("string").alias("split")), {"split": F.col("split"), "interval": _interval(bounds)}, "abs_edge",
+        {"median_abs_edge": 0.5}, parts, "scope string, label string", {n: ("sum", c) for n, c in sums.items()},
     )
-    return exact_percentiles(
-        parts, ["scope", "label"], "abs_edge", {"median_abs_edge": 0.5},
-        {
-            "n": F.count("*"), "mean_abs_edge": F.avg(size), "rmse": _rmse(e), "total_ev": F.sum(ev), "mean_ev": F.avg(ev),
-        },
+    return table.select(
+        "scope", "label", "n", F.try_divide("s", "ns").alias("mean_abs_edge"), F.sqrt(F.try_divide("ee", "ne")).alias("rmse"), "total_ev",
+        F.try_divide("total_ev", "nv").alias("mean_ev"), "median_abs_edge",
     )
 
 
@@ -298,14 +304,9 @@ def correlation_ranking(df: DataFrame, target: str, features: Sequence[str]) ->
 
 def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes, exact quartiles and range per column."""
-    long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
-    )
-    v = F.col("value")
-    figures = {
-        "n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "range": F.max(v) - F.min(v),
-    }
-    return exact_percentiles(long, ["column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, figures)
+    return percentiles_of_columns(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, {
+        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "range": lambda v: F.max(v) - F.min(v),
+    })
 
 
 def missing_feature_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:

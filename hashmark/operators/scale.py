@@ -4,7 +4,8 @@
 * ``running_total`` and ``global_position`` replace windows without (useful) partitions.
 * ``exact_percentiles`` gives exact order statistics without collecting a group.
 
-None of them starts a job while a plan is built but ``exact_percentiles``, which reads its brackets.
+While a plan is built only two kinds of job run: ``exact_percentiles`` reads its brackets, and global orders are written as
+tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hashmark.session import written
 
 CHUNK = "__chunk"
 CARRIED = "__carried"
@@ -92,53 +94,38 @@ def drop_carried(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(CARRIED)).drop(CARRIED, CHUNK)
 
 
-PIECE = "__piece"
-PIECES = 64
+PART, AT = "__part", "__at"
+#: The low bits of ``__at`` number the rows of a range.
+AT_BITS = 33
 
 
-def with_pieces(df: DataFrame, keys: Sequence[str], order: str, pieces: int = PIECES) -> DataFrame:
-    """Add ``__piece``, which never falls along ``order`` within ``keys`` and cuts each key's rows into ranges.
+def in_ranges(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """The rows as a table in ``order``: dealt by one range exchange, sorted in each range.
 
-    The bounds are quantiles of the order column from one mergeable sketch per key; they only balance the
-    ranges.  A column that is not a number, date or time is not cut.
+    Adds ``__part``, which never falls along ``order``, and ``__at``, which grows along it without gaps inside a range.  The
+    bounds are sampled over the whole of ``order``, text columns included, so no period and no key is one task's.  ``df`` is
+    read twice, for the sample and for the rows; whatever follows reads the table.
     """
-    kind = df.schema[order].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return df.withColumn(PIECE, F.lit(0))
-    x = F.col(order)
-    if isinstance(kind, T.DateType):
-        x = F.unix_date(x)
-    elif not isinstance(kind, T.NumericType):
-        x = x.cast("timestamp").cast("double")
-    shares = [k / pieces for k in range(1, pieces)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(x, shares, 1000).alias("__bounds"))
-    piece = F.when(x.isNull(), -1).otherwise(F.size(F.filter("__bounds", lambda b: b < x)))
-    return join_back(df, bounds, keys).withColumn(PIECE, piece).drop("__bounds")
-
-
-def running_total(
-    df: DataFrame, keys: Sequence[str], coarse: Sequence[str], order: Sequence[str], value: str, name: str, cut: bool = True
-) -> DataFrame:
-    """Cumulative sum per key in ``coarse + order``: sums of ranges first, then sums inside a range.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.withColumn(AT, F.monotonically_increasing_id()), label).withColumn(PART, F.shiftright(AT, AT_BITS))
 
-    A period of a key is cut into ranges of the first ``order`` column (unless ``cut`` is false), so a
-    period with a large share of all rows is not one task's.
-    """
-    keys, coarse = list(keys), list(coarse)
-    rows = with_pieces(df, keys + coarse, order[0]) if cut else df.withColumn(PIECE, F.lit(0))
-    before = Window.partitionBy(*keys).orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, -1)
+
+def running_total(df: DataFrame, keys: Sequence[str], coarse: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Cumulative sum per key in ``coarse + order``: sums of ranges first, then sums inside a range."""
+    keys = list(keys)
+    rows = in_ranges(df, [*keys, *coarse, *order], "totals")
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    # a range begins inside one key at most, so there are no more offsets than ranges
     offsets = (
-        rows.groupBy(*keys, *coarse, PIECE)
-        .agg(F.sum(value).alias("__s"))
-        .select(*keys, *coarse, PIECE, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
-    )
-    inside = (
-        Window.partitionBy(*keys, *coarse, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows.groupBy(*keys, PART).agg(F.sum(value).alias("__s"))
+        .select(*keys, PART, F.sum("__s").over(before).alias("__before")).filter(F.col("__before").isNotNull())
     )
+    inside = Window.partitionBy(PART, *keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0)
     return (
-        join_back(rows, offsets, [*keys, *coarse, PIECE])
-        .withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("__before", PIECE)
+        join_back(rows.withColumn(name, F.sum(value).over(inside)), F.broadcast(offsets), [*keys, PART])
+        .withColumn(name, F.coalesce(F.col("__before"), zero) + F.coalesce(F.col(name), zero))
+        .drop("__before", PART, AT)
     )
 
 
@@ -147,23 +134,18 @@ def global_position(
 ) -> DataFrame:
     """Zero-based position of every row in ``coarse + order``, and the row count, without a global sort.
 
-    Only counts (one row per value of ``coarse`` and range of the first ``order`` column) meet in one task.
+    Rows are numbered where the range exchange puts them; only the counts of the ranges meet in one task.
     """
-    coarse = list(coarse)
-    rows = with_pieces(df, coarse, order[0])
-    counts = rows.groupBy(*coarse, PIECE).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(*coarse, PIECE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(
-        *coarse, PIECE,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(whole).alias(total),
+    rows = in_ranges(df, [*coarse, *order], "positions")
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = rows.groupBy(PART).agg(F.count("*").alias("__n")).select(
+        PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias(total)
     )
-    inside = Window.partitionBy(*coarse, PIECE).orderBy(*order)
     return (
-        join_back(rows, offsets, [*coarse, PIECE])
-        .withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
-        .drop("__before", PIECE)
+        join_back(rows, F.broadcast(offsets), [PART])
+        .withColumn(name, F.col("__before") + F.col(AT).bitwiseAND(F.lit((1 << AT_BITS) - 1)))
+        .drop("__before", PART, AT)
     )
 
 
@@ -229,8 +211,26 @@ def exact_percentiles(
     counted = zoned.groupBy(*group, "__name", "__rank", "__zone", "__slice", "__in").agg(
         F.count("__v").alias("__c"), F.max("__v").alias("__max"), F.min("__v").alias("__min")
     ).filter(F.col("__c") > 0)
+    return join_back(first_pass.select(*group, *extra), percentiles_from_counts(counted, group, list(percentages), sliced), group).select(
+        *keys, *extra, *percentages
+    )
+
+
+def percentiles_from_counts(counted: DataFrame, group: Sequence[str], names: Sequence[str], sliced: bool) -> DataFrame:
+    """Percentiles read off counted values, as columns ``names`` per ``group``.
+
+    ``counted`` has for each ``group``, ``__name`` and ``__rank`` the values inside a band (``__zone`` 0, ``__slice``, ``__in``,
+    ``__c`` rows) and one row each for what is below (-1) and above (1), with the largest and smallest value of each row.
+    """
     if sliced:
-        ranked = running_total(counted, [*group, "__name"], ["__zone", "__slice"], ["__in"], "__c", "__cum", cut=False)
+        # totals of slices first, so that a long band is many tasks' work
+        slices = [*group, "__name", "__zone", "__slice"]
+        counted = written(counted, "counted")
+        before = Window.partitionBy(*group, "__name").orderBy("__zone", "__slice").rowsBetween(Window.unboundedPreceding, -1)
+        totals = counted.groupBy(*slices).agg(F.sum("__c").alias("__t"))
+        totals = totals.select(*slices, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
+        inside = Window.partitionBy(*slices).orderBy("__in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = join_back(counted, totals, slices).withColumn("__cum", F.col("__before") + F.sum("__c").over(inside)).drop("__before")
     else:
         so_far = (
             Window.partitionBy(*group, "__name").orderBy("__zone", "__in")
@@ -256,5 +256,4 @@ def exact_percentiles(
         high["__value"].alias("__z"),
     )
     value_at = F.col("__a") + (F.col("__z") - F.col("__a")) * (F.col("__rank") - F.floor("__rank"))
-    exact = points.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, value_at)).alias(n) for n in percentages])
-    return join_back(first_pass.select(*group, *extra), exact, group).select(*keys, *extra, *percentages)
+    return points.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == n, value_at)).alias(n) for n in names])

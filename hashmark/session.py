@@ -54,6 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: computed once, and later reads take only the columns they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh table location under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/hashmark/{label}-{uuid.uuid4().hex}"

@@ -32,6 +32,11 @@ def write_team_week(df: DataFrame, path: str) -> None:
     _write(df, path, ["season"], sort=["week", "team"])
 
 
+def write_periods(df: DataFrame, path: str) -> None:
+    """Period rows by season and week: a rewrite replaces whole weeks."""
+    _write(df, path, ["season", "week"])
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Predictions by model, season and week."""
     _write(df, path, ["model", "season", "week"], sort=["game_id"])

@@ -1,60 +1,102 @@
-"""Incremental period statistics, running windows and latest quotes.
+"""Incremental period statistics, running windows, closing and latest quotes.
 
-New files restate whole periods ("new rows win"), so the upsert recomputes each touched period from
-the play table instead of adding to state; that makes a replayed batch harmless.
+A stream keeps sums, not plays: what a batch adds to a week is one row of additive parts per team and side.  Parts are stored
+by batch and week, so a replayed batch overwrites its own, a late play rewrites one week, and a restated week withdraws what
+earlier batches said about it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hashmark.operators.market import latest_quotes
-from hashmark.operators.periods import team_period_stats
+from hashmark.operators.periods import PARTS, merge_parts, period_parts, stats_from_parts
 from hashmark.operators.scale import join_back
-from hashmark.sources.sinks import write_team_week
+from hashmark.sources.sinks import write_periods
+from hashmark.streaming.generations import newest_generation, start_change_table
 
 PERIOD = ["season", "week"]
 
 
 def stream_upsert_periods(
     stream: DataFrame,
-    plays_path: str,
+    state_path: str,
     target_path: str,
     checkpoint: str,
-    aggregate: Callable[[DataFrame], DataFrame] = team_period_stats,
+    profile: str = "full",
     restated: bool = False,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Append new plays to the play table and rebuild the statistics of the seasons they touch.
+    """Merge new plays into stored sums and rewrite the statistics of the weeks they touch, and of no others.
 
-    Each batch writes its plays under its own batch folder (overwritten on replay), then recomputes the
-    touched seasons from the table and replaces those target partitions.  Late plays of a period add to it;
-    with ``restated`` the newest batch that brings a period replaces it.  A batch without rows does nothing.
+    Late plays of a week add to it; with ``restated`` the newest batch that brings a week replaces all earlier ones, also where
+    it brings no scrimmage play.  A batch without rows does nothing.  Read the result with ``read_periods``.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        staged = f"{plays_path}/ingest={batch_id}"
-        batch.hint("rebalance", "season").write.mode("overwrite").partitionBy("season").parquet(staged)
-        # a season is the target's partition, so whole seasons are replaced
-        seasons = spark.read.parquet(staged).select("season").distinct()
-        table = spark.read.option("basePath", plays_path).parquet(plays_path)
-        touched = join_back(table.filter(F.col("ingest") <= batch_id), seasons, ["season"], "left_semi")
-        if restated:
-            newest = touched.groupBy(*PERIOD).agg(F.max("ingest").alias("ingest"))
-            touched = join_back(touched, newest, [*PERIOD, "ingest"], "inner")
-        write_team_week(aggregate(touched.drop("ingest")), target_path)
+        staged = f"{state_path}/ingest={batch_id}"
+        # a week that is brought has a row without a team, so that it counts as restated even without parts
+        weeks = batch.select(*PERIOD).filter(F.col("season").isNotNull() & F.col("week").isNotNull()).distinct()
+        parts = period_parts(batch).unionByName(weeks, allowMissingColumns=True)
+        parts = parts.select(*[F.col(f.name).cast(f.dataType) for f in _parts_schema().fields if f.name != "ingest"])
+        parts.hint("rebalance", *PERIOD).write.mode("overwrite").partitionBy(*PERIOD).parquet(staged)
+        _rewrite(spark, state_path, target_path, batch_id, profile, restated)
 
     query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _parts_schema() -> T.StructType:
+    whole = {p for p in PARTS if not p.endswith("_sum") or p == "n"}
+    fields = [T.StructField("team", T.StringType()), T.StructField("__own", T.BooleanType())]
+    fields += [T.StructField(p, T.LongType() if p in whole else T.DoubleType()) for p in PARTS]
+    return T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in ("ingest", *PERIOD))])
+
+
+def stored_parts(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
+    """The parts of all batches up to one; ``ingest``, ``season`` and ``week`` are partitions."""
+    stored = spark.read.schema(_parts_schema()).option("basePath", state_path).parquet(f"{state_path}/ingest=*")
+    return stored.filter(F.col("ingest") <= batch_id)
+
+
+def touched_parts(spark: SparkSession, state_path: str, batch_id: int, restated: bool) -> DataFrame:
+    """The parts of the weeks that a batch brings.
+
+    Seasons and weeks are literals, so only these partitions are listed and read; there are as many as the calendar has.
+    """
+    own = spark.read.schema(_parts_schema()).option("basePath", state_path).parquet(f"{state_path}/ingest={batch_id}")
+    weeks = [tuple(r) for r in own.select(*PERIOD).distinct().collect()]
+    touched = stored_parts(spark, state_path, batch_id).filter(F.col("season").isin(*{s for s, _ in weeks}) & F.col("week").isin(*{w for _, w in weeks}))
+    touched = touched.join(F.broadcast(spark.createDataFrame(weeks, "season int, week int")), PERIOD, "left_semi")
+    if not restated:
+        return touched
+    newest = touched.groupBy(*PERIOD).agg(F.max("ingest").alias("ingest"))
+    return join_back(touched, newest, [*PERIOD, "ingest"], "inner")
+
+
+def _rewrite(spark: SparkSession, state_path: str, target_path: str, batch_id: int, profile: str, restated: bool) -> None:
+    touched = touched_parts(spark, state_path, batch_id, restated)
+    stats = stats_from_parts(merge_parts(touched.filter(F.col("team").isNotNull())), profile)
+    # a week of which nothing is left still has to replace what the target holds: its row has no team
+    weeks = touched.select(*PERIOD).distinct()
+    write_periods(weeks.join(stats, PERIOD, "left"), target_path)
+
+
+def read_periods(spark: SparkSession, target_path: str) -> DataFrame:
+    """The statistics that ``stream_upsert_periods`` maintains."""
+    return spark.read.parquet(target_path).filter(F.col("team").isNotNull())
+
+
 def stream_period_stats(
     events: DataFrame, ts: str, key: Column, value: Column, delay: str = "7 days", width: str = "7 days"
 ) -> DataFrame:
@@ -72,23 +114,74 @@ def stream_period_stats(
 
 
 def stream_latest_quote(quotes: DataFrame, game: str = "game_id", ts: str = "ts", tie_break: Sequence[str] = (), columns: Sequence[str] = ("line",)) -> DataFrame:
-    """Newest quote per game as running state (update mode); the state at kickoff is the closing line."""
+    """Newest quote per game as running state (update mode), for as long as the stream runs."""
     return latest_quotes(quotes, game, ts, tie_break, columns)
 
 
+def stream_closing_quote(
+    quotes: DataFrame,
+    kickoff: str,
+    game: str = "game_id",
+    ts: str = "ts",
+    tie_break: Sequence[str] = (),
+    columns: Sequence[str] = ("line",),
+    delay: str = "1 hour",
+) -> DataFrame:
+    """The closing quote of every game, once, when event time passes its kickoff (append mode); then its state is gone.
+
+    State is the newest quote at or before kickoff of games that have not begun: one row a game, however many quotes a trigger
+    brings.  A quote after kickoff is ignored, one that is later than ``delay`` behind the newest is dropped by the watermark.
+    """
+    fields = [quotes.schema[c] for c in (game, *columns)]
+    ranks = [f"__r{i}" for i in range(len(tie_break))]
+    # quotes after a kickoff advance event time too, so the filter has to stay above the watermark: it names its column
+    timed = quotes.withColumn("__event", F.col(ts).cast("timestamp")).withWatermark("__event", delay)
+    early = timed.filter(F.col(game).isNotNull() & (F.col("__event") <= F.col(kickoff).cast("timestamp")))
+    narrow = early.select(
+        game, *columns, F.unix_micros("__event").alias("__ts"), *[F.col(c).alias(r) for c, r in zip(tie_break, ranks)],
+        F.unix_millis(F.col(kickoff).cast("timestamp")).alias("__close"), "__event",
+    )
+    state = T.StructType([narrow.schema[c] for c in ("__ts", *ranks, *columns, "__close")])
+    out = T.StructType([fields[0], T.StructField("__ts", T.LongType()), *fields[1:]])
+    n_rank = 1 + len(ranks)
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            best = tuple(held.get)
+            held.remove()
+            yield pd.DataFrame([[*key, best[0], *best[n_rank:-1]]], columns=out.names)
+            return
+        best = tuple(held.get) if held.exists else None
+        for frame in frames:
+            for row in frame[state.names].itertuples(index=False, name=None):
+                if best is None or row[:n_rank] > best[:n_rank]:
+                    best = row
+        held.update(best)
+        # a game whose kickoff has already passed closes with the next trigger
+        held.setTimeoutTimestamp(max(best[-1], held.getCurrentWatermarkMs() + 1))
+
+    closed = narrow.groupBy(game).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select(game, F.timestamp_micros("__ts").alias(ts), *columns)
+
+
 def start_upsert_table(
-    updates: DataFrame, target_path: str, checkpoint: str, trigger: dict | None = None
+    updates: DataFrame, target_path: str, checkpoint: str, trigger: dict | None = None, keys: Sequence[str] = (), every: int = 0
 ) -> StreamingQuery:
-    """Write every batch of an update-mode stream as its own partition of a change table."""
+    """Write every batch of an update-mode stream as its own partition of a change table.
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target_path}/batch={batch_id}")
+    With ``keys`` and ``every`` the table is folded into its current rows after so many batches: what a reader opens is the
+    last fold and the batches since, however long the stream has run.
+    """
+    return start_change_table(updates, target_path, checkpoint, trigger or {"availableNow": True}, lambda df: read_upserted(df, keys), every if keys else 0)
 
-    query = updates.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return query.trigger(**(trigger or {"availableNow": True})).start()
+
+def read_changes(spark: SparkSession, target_path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The last fold of a change table and the batches after it, with the column ``batch``."""
+    return newest_generation(spark, target_path, schema)
 
 
 def read_upserted(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Current rows of a change table: per key, the row of the newest batch."""
     newest = changes.groupBy(*keys).agg(F.max("batch").alias("batch"))
     return join_back(changes, newest, [*keys, "batch"], "inner").drop("batch")
+

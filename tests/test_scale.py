@@ -95,22 +95,40 @@ def test_running_total_and_position(spark, skewed):
     assert placed.first()["total"] == 600
 
 
-def test_one_period_with_all_rows_is_cut(spark):
+@pytest.mark.parametrize("text", [False, True])
+def test_one_period_with_all_rows_is_cut(spark, text):
+    """One exchange deals a period with all rows over many ranges, also where the order is text; the source is read twice."""
     rng = random.Random(5)
-    rows = [("m", 2024, 1, k, rng.randrange(100)) for k in rng.sample(range(10_000), 500)] + [("m", 2023, 9, None, 3)]
+    rows = [("m", 2024, 1, k, rng.randrange(100)) for k in rng.sample(range(1000, 10_000), 500)] + [("m", 2023, 9, None, 3), ("k", 2024, 1, 5000, 7)]
     df = spark.createDataFrame(rows, "model string, season int, week int, game_id int, x int")
-    pieces = scale.with_pieces(df, ["model", "season", "week"], "game_id", 16).groupBy(scale.PIECE).count().collect()
-    assert len(pieces) >= 16 and max(r["count"] for r in pieces) < 80
-    order = sorted(rows, key=lambda r: (r[1], r[2], r[3] or -1))
-    totals = np.cumsum([r[4] for r in order]).tolist()
-    got = {r.game_id: r.t for r in scale.running_total(df, ["model"], ["season", "week"], ["game_id"], "x", "t").collect()}
-    assert got == {r[3]: t for r, t in zip(order, totals)}
-    places = {r.game_id: (r.position, r.total) for r in scale.global_position(df, ["season", "week"], ["game_id"]).collect()}
-    assert places == {r[3]: (k, 501) for k, r in enumerate(order)}
-    plan = scale.running_total(df, ["model"], ["season", "week"], ["game_id"], "x", "t")._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert any(scale.PIECE in line for line in windows)
+    if text:
+        df = df.withColumn("game_id", F.col("game_id").cast("string"))
+    adaptive, parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        sizes = [r["count"] for r in scale.in_ranges(df, ["season", "week", "game_id"], "t").groupBy(scale.PART).count().collect()]
+        assert len(sizes) >= 14 and max(sizes) < 80
+        order = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] or -1))
+        totals, so_far = {}, {}
+        for r in order:
+            so_far[r[0]] = so_far.get(r[0], 0) + r[4]
+            totals[r[0], None if r[3] is None else str(r[3])] = so_far[r[0]]
+        result = scale.running_total(df, ["model"], ["season", "week"], ["game_id"], "x", "t")
+        assert {(r.model, None if r.game_id is None else str(r.game_id)): r.t for r in result.collect()} == totals
+        assert result.columns == [*df.columns, "t"]
+        placed = scale.global_position(df, ["season", "week"], ["game_id", "model"]).collect()
+        by = sorted(rows, key=lambda r: (r[1], r[2], r[3] or -1, r[0]))
+        assert {(r.position, r.total, r.model, r.x) for r in placed} == {(k, 502, r[0], r[4]) for k, r in enumerate(by)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
 
+def test_running_total_of_nothing(spark):
+    empty = spark.createDataFrame([], "model string, season int, week int, game_id int, x int")
+    assert scale.running_total(empty, ["model"], ["season", "week"], ["game_id"], "x", "t").collect() == []
+    assert scale.global_position(empty, ["season", "week"], ["game_id"]).collect() == []
 
 
 @pytest.mark.parametrize("accuracy, max_keys, band_rows", [(20_000, 10_000, 10**6), (20, 10_000, 10**6), (20, 10_000, 1), (50, 1, 10**6)])

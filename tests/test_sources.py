@@ -10,7 +10,6 @@ from hashmark.operators.periods import team_period_stats
 from hashmark.session import scratch_path, shared_dir
 from hashmark.sources import sinks, snapshots, tables
 from hashmark.sources.franchises import franchise_aliases
-from hashmark.streaming import incremental
 
 
 @pytest.fixture()
@@ -102,36 +101,6 @@ def _sorted(df):
     return sorted(map(str, df.select(*rounded).collect()))
 
 
-def test_stream_equals_batch_and_replay_changes_nothing(spark, sf_dir, tmp_path):
-    source = tmp_path / "in"
-    p = plays(spark, sf_dir).drop("game_id")
-    p.repartition(3).write.parquet(str(source))
-    args = [str(tmp_path / n) for n in ("plays", "target")]
-    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    incremental.stream_upsert_periods(stream, *args, str(tmp_path / "check")).awaitTermination()
-    want = _sorted(team_period_stats(p))
-    assert _sorted(tables.read_table(spark, args[1])) == want
-    # a lost checkpoint replays every batch: same batch folders, same result
-    again = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    incremental.stream_upsert_periods(again, *args, str(tmp_path / "check2")).awaitTermination()
-    assert _sorted(tables.read_table(spark, args[1])) == want
-
-
-def test_restated_period_replaces_the_old_one(spark, sf_dir, tmp_path):
-    p = plays(spark, sf_dir).drop("game_id")
-    source = str(tmp_path / "in")
-    p.coalesce(1).write.parquet(source)
-    restated = p.filter("season = 1998").withColumn("epa", F.col("epa") + 1)
-    args = [str(tmp_path / n) for n in ("plays", "target", "check")]
-    for batch in (None, restated):
-        if batch is not None:
-            batch.coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(p.schema).parquet(source)
-        incremental.stream_upsert_periods(stream, *args, restated=True).awaitTermination()
-    want = team_period_stats(p.filter("season <> 1998").unionByName(restated))
-    assert _sorted(tables.read_table(spark, args[1])) == _sorted(want)
-
-
 def test_scratch_paths_differ(spark):
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
 
