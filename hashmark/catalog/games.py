@@ -574,3 +574,18 @@ def _(spark, sf_dir):
 
     dataset = datasets.structural_dataset(keyed(spark, sf_dir), key="game_key")
     return columns_by_family(dataset, keep=["game_id"])
+
+
+@query(
+    "family_report",
+    sql(
+        """SELECT unnest(['rest', 'passer', 'rating', 'any difference', 'any difference']) AS family, unnest(['rest_advantage', 'qb_diff', 'rating_diff', 'rating_diff', 'qb_diff']) AS "column",
+        'double' AS type, unnest([r, q, d, d, q]) AS filled FROM (SELECT count(rest_advantage) AS r, count(qb_diff) AS q, count(rating_diff) AS d FROM DS)""",
+        "DS",
+    ),
+)
+def _(spark, sf_dir):
+    from hashmark.operators.families import family_report
+
+    dataset = datasets.structural_dataset(keyed(spark, sf_dir), key="game_key")
+    return family_report(dataset, {"rest": ["rest_"], "passer": ["qb_"], "rating": ["rating_"], "any difference": ["_diff"], "coach": ["coach_"]})

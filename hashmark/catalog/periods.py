@@ -9,6 +9,8 @@ from hashmark.catalog.bindings import CORE_FLOATS, FULL_FLOATS, plays, sql, team
 from hashmark.catalog.registry import query
 from hashmark.operators import periods, reshape, windows
 from hashmark.plans.datasets import rolling_team_form
+from hashmark.session import scratch_path
+from hashmark.sources import sinks
 
 OFF = " ".join(f"off_{c}" for c in FULL_FLOATS)
 DEF = " ".join(f"def_{c}" for c in FULL_FLOATS)
@@ -202,6 +204,27 @@ def _(spark, sf_dir):
     return reshape.upsert_period(tw, new, ["season", "week", "team"])
 
 
+@query(
+    "upsert_partitions",
+    sql(
+        """SELECT season, week, team, off_plays, off_epa_per_play FROM TW WHERE NOT (season IN (1996, 1998) AND week < 7)
+        UNION ALL SELECT season, week, team, off_plays + 1000, off_epa_per_play + 1 FROM TW WHERE season IN (1996, 1998) AND week < 7""",
+        "TW",
+    ),
+    "off_epa_per_play",
+)
+def _(spark, sf_dir):
+    """Half of two restated seasons is merged into the written table; the partitions of all others are left as they are."""
+    path = scratch_path(spark, "team-week")
+    tw = team_week(spark, sf_dir).select("season", "week", "team", "off_plays", "off_epa_per_play")
+    sinks.write_team_week(tw, path)
+    new = tw.filter(F.col("season").isin(1996, 1998) & (F.col("week") < 7)).withColumns(
+        {"off_plays": F.col("off_plays") + 1000, "off_epa_per_play": F.col("off_epa_per_play") + 1}
+    )
+    sinks.upsert_partitions(new, path, ["season", "week", "team"])
+    return spark.read.schema(tw.schema).parquet(path)
+
+
 @query(
     "dedup_keep",
     sql(

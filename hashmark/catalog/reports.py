@@ -307,6 +307,18 @@ def _(spark, sf_dir):
     return reports.backtest_summary(sized(spark, sf_dir))
 
 
+@query(
+    "summary_json",
+    sql("SELECT coalesce(data_split, 'overall') AS label, count(*) AS n, round(median(abs_edge), 6) AS median_abs_edge FROM SB GROUP BY GROUPING SETS ((data_split), ())", "SB"),
+    "median_abs_edge", 5,
+)
+def _(spark, sf_dir):
+    """The summary as documents, read back from their text."""
+    documents = reports.summary_json(reports.backtest_summary(sized(spark, sf_dir), [3.0])).filter("scope <> 'threshold'")
+    read = F.from_json("document", "n long, median_abs_edge double, mean_ev double")
+    return documents.select("label", read.alias("d")).select("label", "d.n", "d.median_abs_edge")
+
+
 _BUCKETS = ", ".join(f"avg(abs(error)) FILTER (size >= {a} AND size < {b}) AS mae_spread_{a}_{b}" for a, b in reports.SPREAD_BUCKETS)
 
 

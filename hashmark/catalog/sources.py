@@ -230,6 +230,26 @@ def _(spark, sf_dir):
     return snapshots.strength_of_schedule(spark, snapshot_folder(spark, sf_dir, "strength_of_schedule")).select("team", "original_rating", "opponent_rating", "sos_rank")
 
 
+@query(
+    "strength_all_columns",
+    f"""SELECT team, a AS opponent_rating, CAST(n AS DOUBLE) AS sos_rank, a - 1 AS past_opponent_rating, CAST(n + 1 AS DOUBLE) AS past_rank, b AS future_opponent_rating,
+    CAST(n + 2 AS DOUBLE) AS future_rank, CAST(n * 2 AS VARCHAR) AS po, CAST(n * 3 AS VARCHAR) AS vs_avg, 'x' AS unnamed, CAST(n + 2 AS VARCHAR) AS third_rank FROM {_R}""",
+    "opponent_rating past_opponent_rating future_opponent_rating",
+)
+def _(spark, sf_dir):
+    """Three pairs of equally named columns, columns that the layout does not know and one without a header."""
+    folder, s = scratch_path(spark, "snapshots"), _per_team(supplier_ratings(spark, sf_dir))
+    header = "Team,PO%,Avg. Opp. Rating,Rank,Avg. Opp. Rating,Rank,Avg. Opp. Rating,Rank,vs Avg,"
+    n = F.col("n")
+    body = s.select(F.concat_ws(",", "team", n * 2, "a", n, F.col("a") - 1, n + 1, "b", n + 2, n * 3, F.lit("x")).alias("value"))
+    spark.createDataFrame([(header,)], "value string").coalesce(1).union(body.coalesce(1)).coalesce(1).write.text(f"{folder}/strength_of_schedule_alpha_2025_week_1.csv")
+    found = snapshots.scan_provider_snapshots(spark, folder, "strength_of_schedule", cells_as="cells")
+    return found.select(
+        "team", "opponent_rating", "sos_rank", "past_opponent_rating", "past_rank", "future_opponent_rating", "future_rank", F.col("cells")["po%"].alias("po"),
+        F.col("cells")["vs avg"].alias("vs_avg"), F.col("cells")["column_10"].alias("unnamed"), F.col("cells")["rank.2"].alias("third_rank"),
+    )
+
+
 @query("qb_epa", "SELECT 'Player ' || CAST(c_custkey AS VARCHAR) AS player, lower('T' || CAST(c_custkey % 32 AS VARCHAR)) AS team, CAST(c_custkey % 500 AS DOUBLE) AS plays, c_acctbal AS epa FROM customer")
 def _(spark, sf_dir):
     return snapshots.qb_epa(spark, snapshot_folder(spark, sf_dir, "qb_epa")).select("player", "team", "plays", "epa")

@@ -141,6 +141,20 @@ def pair_consistency(df: DataFrame, home: str = "home_team", away: str = "away_t
     )
 
 
+def _in_one_scan(df: DataFrame, counts: Mapping[str, Column], tops: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
+    """One row with all ``counts`` and ``tops`` of the frame and the extra copies of its keys (``duplicates``).
+
+    Counters and maxima are taken per key, where rows of a key meet anyway, and then added up: one scan, one exchange by key.
+    Without keys they are one global aggregate.
+    """
+    per_key = df.groupBy(*keys).agg(
+        F.count("*").alias("__rows"), *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.max(c).alias(n) for n, c in tops.items()]
+    )
+    return per_key.agg(
+        F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("duplicates"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], *[F.max(n).alias(n) for n in tops]
+    )
+
+
 def run_quality_suite(
     df: DataFrame,
     features: DataFrame | None = None,
@@ -150,40 +164,42 @@ def run_quality_suite(
 ) -> DataFrame:
     """All checks as finding rows ``(check, column, n, max_abs)``.
 
-    Each check reads its frame once; what it found is unfolded into rows by one generator.
+    Each frame is scanned once: every check is a counter or a maximum of one aggregate, duplicates included.
     """
 
-    def named(found: DataFrame, *findings: tuple[str, Column, str, str | None]) -> DataFrame:
-        rows = [
-            F.struct(
-                F.lit(check).alias("check"), column.alias("column"), F.col(n).cast("long").alias("n"),
-                (F.col(top) if top else F.lit(None)).cast("double").alias("max_abs"),
-            )
-            for check, column, n, top in findings
-        ]
-        return found.select(F.inline(F.array(*rows)))
-
-    column, pair = F.col("column"), F.lit(f"{home},{away}")
-    parts = [
-        named(
-            range_check(df), ("extreme_value", column, "extreme", "max_abs"), ("null_line", column, "nulls", None),
-            ("infinite_line", column, "infinities", None),
-        ),
-        named(
-            pair_consistency(df, home, away), ("self_matchup", pair, "self_matchups", None),
-            ("missing_side", F.lit(home), "missing_home", None), ("missing_side", F.lit(away), "missing_away", None),
-        ),
-    ]
-    if game in df.columns:
-        parts.append(named(duplicate_count(df, [game]), ("duplicate_key", F.col("keys"), "duplicates", None)))
-    if features is not None:
-        parts += [
-            named(null_inf_profile(features), ("null_feature", column, "nulls", None), ("infinite_feature", column, "infinities", None)),
-            named(rest_anomalies(features), ("rest_anomaly", column, "anomalies", "max_abs")),
-        ]
-        if {home, away} <= set(features.columns):
-            parts.append(named(duplicate_count(features, [home, away]), ("duplicate_pair", F.col("keys"), "duplicates", None)))
-    return reduce(DataFrame.unionByName, parts)
+    def finding(check: str, column: str, n: str, top: str | None = None) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), F.lit(column).alias("column"), F.col(n).cast("long").alias("n"),
+            (F.col(top) if top else F.lit(None)).cast("double").alias("max_abs"),
+        )
+
+    def size(c: str) -> Column:
+        return F.abs(F.col(c).cast("double"))
+
+    lines = [c for c in _numeric_columns(df) if "line" in c.lower() or "spread" in c.lower()]
+    h, a = F.col(home), F.col(away)
+    counts = {"self": h == a, "no_home": h.isNull(), "no_away": a.isNull()}
+    counts |= {f"x{i}": size(c) > SPREAD_LIMIT for i, c in enumerate(lines)} | {f"n{i}": F.col(c).isNull() for i, c in enumerate(lines)}
+    counts |= {f"f{i}": _infinite(F.col(c)) for i, c in enumerate(lines)}
+    rows = [r for i, c in enumerate(lines) for r in (finding("extreme_value", c, f"x{i}", f"m{i}"), finding("null_line", c, f"n{i}"), finding("infinite_line", c, f"f{i}"))]
+    rows += [finding("self_matchup", f"{home},{away}", "self"), finding("missing_side", home, "no_home"), finding("missing_side", away, "no_away")]
+    keys = [game] if game in df.columns else []
+    rows += [finding("duplicate_key", game, "duplicates")] if keys else []
+    found = _in_one_scan(df, counts, {f"m{i}": size(c) for i, c in enumerate(lines)}, keys).select(F.inline(F.array(*rows)))
+    if features is None:
+        return found
+
+    columns, numeric = features.columns, set(_numeric_columns(features))
+    rests = [c for c in columns if "rest" in c.lower() and "advantage" in c.lower()]
+    counts = {f"n{i}": F.col(c).isNull() for i, c in enumerate(columns)} | {f"r{i}": size(c) > REST_LIMIT for i, c in enumerate(rests)}
+    counts |= {f"f{i}": _infinite(F.col(c)) if c in numeric else F.lit(False) for i, c in enumerate(columns)}
+    rows = [r for i, c in enumerate(columns) for r in (finding("null_feature", c, f"n{i}"), finding("infinite_feature", c, f"f{i}"))]
+    rows += [finding("rest_anomaly", c, f"r{i}", f"m{i}") for i, c in enumerate(rests)]
+    keys = [home, away] if {home, away} <= set(columns) else []
+    rows += [finding("duplicate_pair", f"{home},{away}", "duplicates")] if keys else []
+    if not rows:
+        return found
+    return found.unionByName(_in_one_scan(features, counts, {f"m{i}": size(c) for i, c in enumerate(rests)}, keys).select(F.inline(F.array(*rows))))
 
 
 def source_diagnosis(completeness: DataFrame, features: Mapping[str, tuple[str, float]]) -> DataFrame:

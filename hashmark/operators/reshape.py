@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,30 @@ def to_team_games(
     )
 
 
+#: What a long row carries of its game, to be folded back by ``fold_sides``.
+GAME = ("__game", "__row")
+
+
+def with_game(games: DataFrame) -> DataFrame:
+    """Games with themselves as a struct and a hash of it, which tells rows of one key apart."""
+    columns = [F.col(c) for c in games.columns]
+    return games.withColumns({"__game": F.struct(*columns), "__row": F.xxhash64(*columns)})
+
+
+def fold_sides(long: DataFrame, values: Mapping[str, str], key: str = "game_id") -> DataFrame:
+    """The games that long rows carry, with both sides' values: one grouped aggregate instead of a join with the games.
+
+    ``values`` names the output of each value by a pattern with ``{side}``.  A repeated game comes back as often as it was there.
+    """
+    home = F.col("is_home")
+    sides = {pattern.format(side=side): F.max(F.when(home == is_home, F.col(v))) for v, pattern in values.items() for side, is_home in (("home", True), ("away", False))}
+    folded = long.groupBy(key, "__row").agg(
+        F.first("__game", ignorenulls=True).alias("__game"), F.count_if(home).alias("__copies"), *[c.alias(n) for n, c in sides.items()]
+    )
+    game = F.explode(F.array_repeat("__game", F.col("__copies").cast("int"))).alias("__game")
+    return folded.select(game, *sides).select("__game.*", *sides)
+
+
 def dedup_keep(df: DataFrame, keys: Sequence[str], order: Sequence, keep: str = "last") -> DataFrame:
     """First or last row per key in a stated total order.
 

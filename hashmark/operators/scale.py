@@ -42,6 +42,7 @@ def split_histories(
     coarse: Sequence[str],
     chunk_rows: int = CHUNK_ROWS,
     cut: Column | None = None,
+    light: Sequence[str] = (),
 ) -> DataFrame:
     """Cut per-key histories into chunks so that trailing frames of up to ``carry`` rows stay exact.
 
@@ -52,11 +53,12 @@ def split_histories(
     With ``cut``, a number that never falls along ``order`` (a season, a year), each of its values is a
     chunk and nothing is counted.  Otherwise ``coarse``, a prefix of ``order`` (for example season, week,
     day), is counted per key and chunks of about ``chunk_rows`` rows are cut between its values.  Either
-    way the chunk tails are limited to ``carry`` rows per chunk before they are shuffled.
+    way the chunk tails are limited to ``carry`` rows per chunk before they are shuffled.  Columns in ``light`` are not read
+    for the copies and are NULL there.
     """
     keys, order, coarse = list(keys), list(order), list(coarse)
     if cut is not None:
-        return _with_carried(df.withColumn(CHUNK, F.coalesce(cut.cast("long"), F.lit(-1).cast("long"))), keys, order, carry)
+        return _with_carried(df.withColumn(CHUNK, F.coalesce(cut.cast("long"), F.lit(-1).cast("long"))), keys, order, carry, light)
 
     periods = df.groupBy(*keys, *coarse).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
@@ -66,13 +68,13 @@ def split_histories(
         F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.lit(chunk_rows)).cast("long").alias(CHUNK),
     ).filter(F.col(CHUNK) > 0)
     tagged = join_back(df, cuts, keys + coarse).withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(0).cast("long")))
-    return _with_carried(tagged, keys, order, carry)
+    return _with_carried(tagged, keys, order, carry, light)
 
 
-def _with_carried(tagged: DataFrame, keys: list[str], order: list[str], carry: int) -> DataFrame:
+def _with_carried(tagged: DataFrame, keys: list[str], order: list[str], carry: int, light: Sequence[str] = ()) -> DataFrame:
     """The rows, and copies of the last ``carry`` rows before each chunk."""
     newest_first = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
-    tails = tagged.withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= carry).drop("__r")
+    tails = tagged.drop(*light).withColumn("__r", F.row_number().over(newest_first)).filter(F.col("__r") <= carry).drop("__r")
     ahead = Window.partitionBy(*keys).orderBy(CHUNK, *order).rowsBetween(1, carry)
     carried = (
         tails.withColumn("__ahead", F.collect_set(CHUNK).over(ahead))
@@ -81,7 +83,7 @@ def _with_carried(tagged: DataFrame, keys: list[str], order: list[str], carry: i
         .drop("__to", "__ahead")
         .withColumn(CARRIED, F.lit(True))
     )
-    return tagged.withColumn(CARRIED, F.lit(False)).unionByName(carried)
+    return tagged.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
 
 
 def history_window(keys: Sequence[str], order: Sequence[str]) -> "Window":

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashmark.functions.missing import first_type_or
-from hashmark.operators.reshape import to_team_games
+from hashmark.operators.reshape import GAME, fold_sides, to_team_games, with_game
 from hashmark.operators.scale import drop_carried, history_window, running_total, split_histories
 
 GAME_ORDER = ["season", "week", "gameday", "game_id"]
@@ -101,17 +101,17 @@ def recent_form(
     return drop_carried(split.withColumns(out))
 
 
-def split_games(long: DataFrame, carry: int, chunk_rows: int | None) -> DataFrame:
+def split_games(long: DataFrame, carry: int, chunk_rows: int | None, light: Sequence[str] = ()) -> DataFrame:
     """Team-games with their histories cut at seasons, or where ``chunk_rows`` rows are counted."""
     if chunk_rows is None:
-        return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, cut=F.col("season"))
-    return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, chunk_rows)
+        return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, cut=F.col("season"), light=light)
+    return split_histories(long, ["team"], GAME_ORDER, carry, GAME_COARSE, chunk_rows, light=light)
 
 
-def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int | None = None) -> DataFrame:
-    """Days since the team's previous game, one row per (game, side)."""
+def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Days since the team's previous game, one row per (game, side).  Of ``keep`` the home row has the values."""
     long = games.select(
-        "game_id", "season", "week", F.col(date).alias("gameday"),
+        "game_id", "season", "week", F.col(date).alias("gameday"), *[k for k in keep],
         F.inline(
             F.array(
                 F.struct(F.col("home_team").alias("team"), F.lit(True).alias("is_home")),
@@ -119,17 +119,23 @@ def team_rest(games: DataFrame, date: str = "gameday", chunk_rows: int | None =
             )
         ),
     )
+    long = _on_home_row(long, keep)
     order = ["gameday", "game_id"]
     if chunk_rows is None:
-        split = split_histories(long, ["team"], order, 1, ["gameday"], cut=F.year("gameday"))
+        split = split_histories(long, ["team"], order, 1, ["gameday"], cut=F.year("gameday"), light=keep)
     else:
-        split = split_histories(long, ["team"], order, 1, ["gameday"], chunk_rows)
+        split = split_histories(long, ["team"], order, 1, ["gameday"], chunk_rows, light=keep)
     previous = F.lag("gameday").over(history_window(["team"], order))
     return drop_carried(split.withColumn("rest_days", F.datediff(F.col("gameday"), previous)))
 
 
+def _on_home_row(long: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The game is carried by one of its two rows only; both keep the hash that brings them together."""
+    return long.withColumn("__game", F.when(F.col("is_home"), F.col("__game"))) if "__game" in keep else long
+
+
 def attach_rest(games: DataFrame, rest: DataFrame, key: str = "game_id") -> DataFrame:
-    """Put both sides' rest on the game row and add the advantage (a missing rest counts 0).
+    """Put both sides' rest, from any frame that has it, on the game row and add the advantage (a missing rest counts 0).
 
     ``rest`` is folded to one narrow row per game first; the fold and the join share one partitioning.
     """
@@ -137,15 +143,20 @@ def attach_rest(games: DataFrame, rest: DataFrame, key: str = "game_id") -> Data
         F.max(F.when(F.col("is_home"), F.col("rest_days"))).alias("home_rest_days"),
         F.max(F.when(~F.col("is_home"), F.col("rest_days"))).alias("away_rest_days"),
     )
-    zero = F.lit(0)
-    return games.join(folded, key, "left").withColumn(
-        "rest_advantage", F.coalesce(F.col("home_rest_days"), zero) - F.coalesce(F.col("away_rest_days"), zero)
-    )
+    return _with_advantage(games.join(folded, key, "left"), "home_rest_days", "away_rest_days")
+
+
+def _with_advantage(games: DataFrame, home: str, away: str) -> DataFrame:
+    return games.withColumn("rest_advantage", F.coalesce(home, F.lit(0)) - F.coalesce(away, F.lit(0)))
 
 
 def rest_days(games: DataFrame, date: str = "gameday", chunk_rows: int | None = None) -> DataFrame:
-    """Games with home and away rest and the rest advantage; every team counts, hosting or not."""
-    return attach_rest(games, team_rest(games, date, chunk_rows))
+    """Games with home and away rest and the rest advantage; every team counts, hosting or not.
+
+    The game travels with its home row: one exchange by team, one by game, no join.
+    """
+    rest = team_rest(with_game(games), date, chunk_rows, keep=GAME)
+    return _with_advantage(fold_sides(rest, {"rest_days": "{side}_rest_days"}), "home_rest_days", "away_rest_days")
 
 
 def cumulative_ev(

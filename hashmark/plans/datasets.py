@@ -12,7 +12,7 @@ from hashmark.functions.scoring import rest_from_modifiers, side_differences
 from hashmark.operators.joins import attach_weekly_stats, join_form_both_sides, matchup_features
 from hashmark.operators.models import fit_ridge
 from hashmark.operators.periods import team_period_stats
-from hashmark.operators.reshape import to_team_games
+from hashmark.operators.reshape import GAME, fold_sides, to_team_games, with_game
 from hashmark.operators.scale import drop_carried, history_window
 from hashmark.operators.windows import GAME_ORDER, split_games, team_form
 from hashmark.sources.tables import select_rated_games
@@ -97,15 +97,16 @@ def team_feature_frame(
 ) -> DataFrame:
     """Games with rest, rolling statistics, recent form and rating matchups for both sides.
 
-    One long table, one shuffle by team and one sort serve every frame; the features go back to the game
-    row through one fold by game and one join.
+    One long table, one shuffle by team and one sort serve every frame; the game travels with its home row, so that one
+    fold by game brings both sides' features back to it.
     """
-    long = to_team_games(games, line=line)
+    long = to_team_games(with_game(games), line=line, keep=("game_id", "season", "week", "gameday", *GAME))
+    long = long.withColumn("__game", F.when(F.col("is_home"), F.col("__game")))
     columns = dict(columns or {"epa_off": "off_epa_per_play", "epa_def": "def_epa_per_play"})
     sources = list(columns.values())
     if stats is not None:
         long = attach_weekly_stats(long, stats.select("season", "week", "team", *sources))
-    split = split_games(long, max(*windows, *form_windows, 5), chunk_rows)
+    split = split_games(long, max(*windows, *form_windows, 5), chunk_rows, light=GAME)
     base = history_window(["team"], GAME_ORDER)
     features = {
         "rest_days": F.datediff(F.col("gameday"), F.lag("gameday").over(base)),
@@ -122,12 +123,7 @@ def team_feature_frame(
         for n in windows:
             features |= {f"{name}_L{n}": F.avg(source).over(base.rowsBetween(-n, -1)) for name, source in columns.items()}
     table = drop_carried(split.withColumns(features))
-    folded = table.groupBy("game_id").agg(*[
-        F.max(F.when(F.col("is_home") == is_home, F.col(f))).alias(f"{f}_{side}")
-        for f in features
-        for side, is_home in (("home", True), ("away", False))
-    ])
-    out = games.join(folded, "game_id", "left").withColumn(
+    out = fold_sides(table, {f: f"{f}_{{side}}" for f in features}).withColumn(
         "rest_advantage", F.coalesce("rest_days_home", F.lit(0)) - F.coalesce("rest_days_away", F.lit(0))
     )
     return matchup_features(out, ratings) if ratings is not None else out

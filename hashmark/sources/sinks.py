@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+from hashmark.operators.reshape import upsert_period
+from hashmark.session import written
 
 DETAIL_COLUMNS = (
     "game_id", "season", "week", "away_team", "home_team", "home_line", "pred", "edge", "abs_edge",
@@ -37,6 +42,38 @@ def write_periods(df: DataFrame, path: str) -> None:
     _write(df, path, ["season", "week"])
 
 
+def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (), partitions: Sequence[str] = ("season",)) -> None:
+    """Merge new rows into a partitioned table: only partitions that they bring are read, ranked and overwritten.
+
+    The touched partition values are taken from the new rows (a row each, so as many as the calendar has) and are literals in
+    the filter on the table, which prunes it before anything is opened.  New rows are read once; the merged partitions are
+    written to the shared folder before they replace what they were made from.  ``partitions`` belong to ``keys``.
+    """
+    spark = new.sparkSession
+    if not set(partitions) <= set(keys):
+        raise ValueError(f"the partitions {list(partitions)} are not part of the keys {list(keys)}")
+    fresh = written(new, "upsert-new")
+    touched = fresh.select(*partitions).distinct().collect()
+    if not touched:
+        return
+    existing = touched_partitions(spark.read.parquet(path), touched, partitions)
+    merged = written(upsert_period(existing, fresh.select(*existing.columns), keys, order), "upsert-merged")
+    _write(merged, path, partitions)
+
+
+def touched_partitions(table: DataFrame, touched: Sequence[Row], partitions: Sequence[str]) -> DataFrame:
+    """The rows of a table in the given partitions, by literals on each partition column and exactly by their combinations."""
+    rows = table
+    for c in partitions:
+        values = {r[c] for r in touched}
+        some = F.col(c).isin(*[v for v in values if v is not None])
+        rows = rows.filter(some | F.col(c).isNull() if None in values else some)
+    if len(partitions) == 1:
+        return rows
+    either = [reduce(lambda acc, c: acc & F.col(c).eqNullSafe(F.lit(r[c])), partitions, F.lit(True)) for r in touched]
+    return rows.filter(reduce(lambda acc, x: acc | x, either))
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Predictions by model, season and week."""
     _write(df, path, ["model", "season", "week"], sort=["game_id"])

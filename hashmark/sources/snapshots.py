@@ -54,6 +54,8 @@ STRENGTH_OF_SCHEDULE = Layout(
     numbers={
         "original_rating": ("original rating",), "current_rating": ("current rating",), "win_total": ("win total",),
         "opponent_rating": ("avg. opp. rating", "sos_value"), "sos_rank": ("rank", "sos_rank"), "future_sos": ("future_sos",),
+        "past_opponent_rating": ("avg. opp. rating.1",), "past_rank": ("rank.1",),
+        "future_opponent_rating": ("avg. opp. rating.2",), "future_rank": ("rank.2",),
     },
 )
 QB_EPA = Layout(
@@ -169,15 +171,33 @@ def drop_preamble(cells: DataFrame, key_headers: Sequence[str]) -> tuple[DataFra
     """
     folded = F.transform("cells", _folded)
     is_header = F.coalesce(F.arrays_overlap(folded, F.array(*[F.lit(h) for h in key_headers])), F.lit(False))
+    # repeated names are told apart by a number, from the second on
+    named = F.transform(F.col("header"), lambda h, i: _numbered(h, i))
     headers = (
         cells.filter(is_header).groupBy("__path")
         .agg(F.min_by(F.transform("cells", lambda c: F.coalesce(_folded(c), F.lit(""))), "__at").alias("header"), F.min("__at").alias("__top"))
+        .withColumn("header", named)
     )
     below = (F.col("__at") > F.col("__top")) & F.exists("cells", lambda c: c.isNotNull())
     rows = join_back(cells.filter(~is_header), headers, ["__path"], "inner").filter(below)
     return headers.drop("__top"), rows.drop("__at", "__top")
 
 
+def _numbered(name: Column, at: Column) -> Column:
+    before = F.size(F.filter(F.slice(F.col("header"), F.lit(1), at), lambda x: x == name))
+    return F.when((before == 0) | (name == ""), name).otherwise(F.concat(name, F.lit("."), before.cast("string")))
+
+
+def all_cells() -> Column:
+    """Every cell of a row by its header: lower case, repeated names numbered, cells without a header by position."""
+    names = F.transform(
+        F.sequence(F.lit(1), F.size("cells")),
+        lambda i: F.coalesce(F.nullif(F.get("header", i - 1), F.lit("")), F.concat(F.lit("column_"), i.cast("string"))),
+    )
+    entries = F.filter(F.arrays_zip(names.alias("name"), F.col("cells").alias("cell")), lambda x: x["cell"].isNotNull())
+    return F.when(F.size("cells") > 0, F.map_from_entries(entries))
+
+
 def cell(*names: str) -> Column:
     """The cell under the first header that the file has, from left to right for repeated names."""
     at = [F.nullif(F.array_position("header", F.lit(n)), F.lit(0).cast("long")) for n in names]
@@ -186,12 +206,13 @@ def cell(*names: str) -> Column:
 
 def scan_provider_snapshots(
     spark: SparkSession, folder: str, category: str, aliases: DataFrame | None = None,
-    provider: str | None = None, season: int | None = None, week: int | None = None,
+    provider: str | None = None, season: int | None = None, week: int | None = None, cells_as: str | None = None,
 ) -> DataFrame | None:
     """One row per (provider, season, week, team or line of the file) with the category's columns.
 
     Where a category-first and an older file both exist for a period, the category-first one is used
     and ``legacy`` is false.  Teams are normalised when aliases are given (unknown ones are dropped).
+    With ``cells_as`` a map of that name holds all cells of the row, also those that the layout does not name.
     ``None`` if there is no file.
     """
     files = resolve_files(spark, folder, category, provider, season, week)
@@ -206,6 +227,7 @@ def scan_provider_snapshots(
         first_listed(cell(*layout.key_headers)).alias("team"),
         *[F.trim(cell(*names)).alias(c) for c, names in (layout.texts or {}).items()],
         *[cell(*names).try_cast("double").alias(c) for c, names in layout.numbers.items()],
+        *([all_cells().alias(cells_as)] if cells_as else []),
     )
     if category == "epa_tiers":
         out = out.withColumn("epa_margin", F.col("epa_off") - F.col("epa_def"))

@@ -251,3 +251,42 @@ def test_outer_histogram_bins_are_open(spark):
     df = spark.createDataFrame([(150.0,), (-150.0,), (1.0,)], "edge double")
     rows = reports.edge_histogram(df, [float("-inf"), -10, 10, float("inf")], ["low", "mid", "high"]).collect()
     assert [r.n for r in rows] == [1, 1, 1]
+
+
+def test_games_are_folded_back_whole(spark):
+    """Repeated games, games of one key and games without one come back as often as they were there, with their own columns."""
+    import datetime as dt
+
+    from hashmark.operators.windows import rest_days
+
+    day = dt.date(2024, 9, 1)
+    rows = [(1, 2024, 1, day, "A", "B", "x"), (1, 2024, 1, day, "A", "B", "x"), (1, 2024, 1, day, "C", "D", "y"), (2, 2024, 2, day + dt.timedelta(7), "A", "C", None), (None, 2024, 3, None, "B", None, "z")]
+    games = spark.createDataFrame(rows, "game_id int, season int, week int, gameday date, home_team string, away_team string, note string").repartition(3)
+    got = rest_days(games)
+    assert got.columns == [*games.columns, "home_rest_days", "away_rest_days", "rest_advantage"]
+    assert sorted(map(str, got.select(games.columns).collect())) == sorted(map(str, games.collect()))
+    assert [(r.home_rest_days, r.away_rest_days, r.rest_advantage) for r in got.filter("game_id = 2").collect()] == [(7, 7, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_quality_suite_scans_each_frame_once(spark, sf_dir):
+    from hashmark.catalog.quality import dirty, rested
+    from hashmark.operators.quality import run_quality_suite
+
+    frame = dirty(spark, sf_dir)
+    plan = run_quality_suite(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    whole = run_quality_suite(frame, rested(spark, sf_dir).select("home_team", "away_team", "rest_advantage"))
+    assert {r["check"] for r in whole.collect()} >= {"duplicate_key", "duplicate_pair", "rest_anomaly", "null_feature"}
+    empty = run_quality_suite(frame.limit(0)).collect()
+    assert {r.n for r in empty} == {0}
+
+
+def test_family_report_counts_values(spark):
+    from hashmark.operators.families import family_report
+
+    df = spark.createDataFrame([(1, None, 2.0), (3, None, None)], "rest_a int, qb_b string, other double")
+    rows = {tuple(r) for r in family_report(df, {"rest": ["rest_"], "all": ["_"], "none": ["zzz"]}).collect()}
+    assert rows == {("rest", "rest_a", "int", 2), ("all", "rest_a", "int", 2), ("all", "qb_b", "string", 0)}
+    assert family_report(df, {"none": ["zzz"]}).collect() == []

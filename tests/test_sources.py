@@ -142,3 +142,31 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Cluster)
+
+
+def test_upsert_reads_and_replaces_touched_partitions_only(spark, tmp_path):
+    from hashmark.sources import sinks
+
+    path, schema = str(tmp_path / "t"), "season int, week int, team string, x int"
+    old = [(s, w, t, 10 * w) for s in (2020, 2021, None) for w in (1, 2) for t in ("a", "b")]
+    spark.createDataFrame(old, schema).write.partitionBy("season").parquet(path)
+
+    def files():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    new = [(2021, 2, "a", -1), (2021, 2, "a", -2), (2021, 3, "c", 5), (2022, 1, "a", 7)]
+    sinks.upsert_partitions(spark.createDataFrame(new, schema), path, ["season", "week", "team"], ["x"])
+    want = {r[:3]: r[3] for r in old} | {(2021, 2, "a"): -1, (2021, 3, "c"): 5, (2022, 1, "a"): 7}
+    got = spark.read.schema(schema).parquet(path).select("season", "week", "team", "x").collect()
+    assert {tuple(r)[:3]: r.x for r in got} == want and len(got) == len(want)
+    kept = {p: t for p, t in before.items() if "season=2020" in p or "HIVE_DEFAULT" in p}
+    assert kept and kept.items() <= files().items()
+    sinks.upsert_partitions(spark.createDataFrame([], schema), path, ["season", "week", "team"])
+    assert kept.items() <= files().items()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    touched = sinks.touched_partitions(spark.read.parquet(path), spark.createDataFrame(new, schema).select("season").distinct().collect(), ["season"])
+    assert "PartitionFilters: [season" in touched._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    with pytest.raises(ValueError, match="not part of the keys"):
+        sinks.upsert_partitions(spark.createDataFrame(new, schema), path, ["week", "team"])
