@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words.  Lines with equal sets are one class, which stands where it occurs first.  The words of a
-line are ordered by rarity (by how often words of the same hash slot occur in the corpus, then longer words first, then by
+line are ordered by rarity (by the number of digits of how often they occur in the corpus, then longer words first, then by
 hash), so that two lines with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
 room for the words they need in common (positional filter), and be of like size (length filter); a 64-bit parity sketch of
 the words bounds their difference as well.  What passes is verified on the full sets.
@@ -10,8 +10,9 @@ A class that matches an earlier class is removed, as are all later lines of a cl
 earliest class under each of its words first; only what that leaves is tried against all others, so a line with very many
 variants is not expanded into pairs.
 
-Blank lines stay; NULL texts are empty and stay empty; rows that share an id are one document; rows without an id pass
-unchanged; columns besides the id and the text are not read.
+Blank lines stay; NULL texts are empty and stay empty.  Rows that share an id but not the text are documents of their own, in
+the order of a hash of the text; repeated rows (equal id and text) are one document and stay alike.  Rows without an id pass
+unchanged.  Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,34 @@ from pyspark.sql import functions as F
 from hashmark.llm.tables import BLANKS, documents, word_array, written
 
 PERCENT = 80
-#: Hash slots whose occurrences order the words: what is collected has this size.
-SLOTS = 1 << 16
+#: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.
+SLOTS = 1 << 21
 #: 64-bit words of the sketch that candidates are held against before their sets are fetched; a power of two.
 WORDS_OF_SKETCH = 4
 
 
+#: What names a line: the id of its document, a hash of the text where several texts have that id (else 0), and its number.
+LINE = ("doc", "tag", "line")
+
+
+def _earlier(x: str, y: str) -> Column:
+    """Whether the line ``x`` stands before the line ``y``."""
+    after = F.lit(False)
+    for c in reversed(LINE):
+        after = (F.col(f"{x}.{c}") < F.col(f"{y}.{c}")) | ((F.col(f"{x}.{c}") == F.col(f"{y}.{c}")) & after)
+    return after
+
+
+def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows with ``doc`` and ``tag``.  Ids with several texts are written first, so few of them are joined by broadcast."""
+    several = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc"))
+    several = several.agg(F.min(F.xxhash64(text_col)).alias("lo"), F.max(F.xxhash64(text_col)).alias("hi")).filter("lo < hi").select("doc", F.lit(True).alias("several"))
+    several = written(several, "line-ids").withColumnRenamed("doc", "several_doc")
+    met = docs.join(several, F.col(id_col) == F.col("several_doc"), "left")
+    tag = F.when(F.col("several"), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    return met.withColumns({"doc": F.col(id_col), "tag": tag}).drop("several", "several_doc")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -37,22 +60,31 @@ def _has_words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant array: for each hash slot the binary logarithm of its occurrences, in units of twice the mean slot.
+    """A constant of one byte for each hash slot: how many binary digits the number of its words has, from ``0`` up.
 
-    Frequent words stand out of their slot; all others are level 0, where longer words count as rarer.
+    There are more slots than a corpus of this size has distinct words, so a slot tells how often one word occurs, within a
+    factor of two; where a corpus has more words than slots, rare words share slots and count as a little less rare.
     """
-    words = docs.select(F.explode(word_array(F.col(text_col))).alias("w"))
-    counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).alias("slot")).count().collect())
-    usual = 2 * sum(counts.values()) // SLOTS + 1
-    levels = ",".join(str((counts.get(s, 0) // usual).bit_length()) for s in range(SLOTS))
-    return F.split(F.lit(levels), ",").cast("array<int>")
+    spark = docs.sparkSession
+    words = docs.select(F.explode(word_array(F.col(text_col))).alias("w")).select(_slot(F.col("w")).alias("slot"))
+    level = F.length(F.bin(F.coalesce("count", F.lit(0)))).alias("level")
+    counted = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(words.groupBy("slot").count(), "slot", "left")
+    digits = counted.select("slot", F.char(level + 48).alias("digit")).groupBy(F.shiftright("slot", 12).alias("chunk")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "digit"))), lambda x: x["digit"]), "").alias("digits")
+    )
+    chunks = {r["chunk"]: r["digits"] for r in digits.collect()}
+    return F.lit("".join(chunks[k] for k in sorted(chunks)).encode())
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
 def codes(line: Column, levels: Column) -> Column:
     """The distinct words of a line as sorted numbers: six bits of frequency, six of shortness, then 51 of the hash."""
 
     def code(word: Column) -> Column:
-        level = levels[F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")]
+        level = F.ascii(F.substring(levels, _slot(word) + 1, F.lit(1)).cast("string")) - 48
         short = 63 - F.least(F.char_length(word), F.lit(63))
         return F.shiftleft((64 * level + short).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 13))
 
@@ -80,16 +112,16 @@ def line_classes(docs: DataFrame, levels: Column, percent: int, id_col: str, tex
     """A row for each distinct set: the ``doc`` and ``line`` of its first occurrence, ``n`` words, ``parity`` and ``prefix``."""
     lines = (
         docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(_lines(F.col(text_col))).alias("line", "words"))
+        .select("doc", "tag", F.posexplode(_lines(F.col(text_col))).alias("line", "words"))
         .filter(_has_words(F.col("words")))
-        .select("doc", "line", codes(F.col("words"), levels).alias("codes"))
+        .select(*LINE, codes(F.col("words"), levels).alias("codes"))
     )
     n = F.size("codes")
     parity = _parity("codes")
     prefix = F.slice("codes", 1, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
     rows = lines.select(
         F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"),
-        F.struct("doc", "line", n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("one"),
+        F.struct(*LINE, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("one"),
     )
     return rows.groupBy("h1", "h2").agg(F.min("one").alias("one")).select("one.*")
 
@@ -107,53 +139,50 @@ def _may_match(x: str, y: str, percent: int, positions: bool) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc`` and ``line`` of the later line of each pair (``doc``, ``line``, ``doc0``, ``line0``) that is similar indeed."""
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-    listed = wanted.distinct().groupBy("doc").agg(F.collect_list("line").alias("wanted")).hint("merge")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(listed, "doc")
-    split = texts.select("doc", "wanted", _lines(F.col("text")).alias("lines"))
-    picked = split.select("doc", F.explode(F.expr("transform(wanted, i -> struct(i AS line, lines[i] AS words))")).alias("p"))
-    sets = written(picked.select("doc", "p.line", codes(F.col("p.words"), levels).alias("codes")).withColumn("sketch", _wide_sketch("codes")), "line-sets")
-    marks = sets.select("doc", "line", F.size("codes").alias("n"), "sketch")
-    first = [F.col("doc").alias("doc0"), F.col("line").alias("line0")]
-    close = pairs.join(marks, ["doc", "line"]).join(marks.select(*first, F.col("n").alias("n0"), F.col("sketch").alias("sketch0")), ["doc0", "line0"])
+    """The later line of each pair (``doc``, ``tag``, ``line`` and the same with ``0``) that is similar indeed."""
+    wanted = pairs.select(*LINE).unionByName(pairs.select(*[F.col(f"{c}0").alias(c) for c in LINE]))
+    listed = wanted.distinct().groupBy("doc", "tag").agg(F.collect_list("line").alias("wanted")).hint("merge")
+    # repeated rows are one document
+    texts = docs.select("doc", "tag", F.col(text_col).alias("text")).join(listed, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+    split = texts.select("doc", "tag", "wanted", _lines(F.col("text")).alias("lines"))
+    picked = split.select("doc", "tag", F.explode(F.expr("transform(wanted, i -> struct(i AS line, lines[i] AS words))")).alias("p"))
+    sets = written(picked.select("doc", "tag", "p.line", codes(F.col("p.words"), levels).alias("codes")).withColumn("sketch", _wide_sketch("codes")), "line-sets")
+    marks = sets.select(*LINE, F.size("codes").alias("n"), "sketch")
+    first, line0 = [F.col(c).alias(f"{c}0") for c in LINE], [f"{c}0" for c in LINE]
+    close = pairs.join(marks, list(LINE)).join(marks.select(*first, F.col("n").alias("n0"), F.col("sketch").alias("sketch0")), line0)
     need = F.expr(f"({percent} * (n + n0) + {99 + percent}) div {100 + percent}")
     apart = sum(F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch0")[k])) for k in range(WORDS_OF_SKETCH))
     close = written(close.filter(apart <= F.col("n") + F.col("n0") - 2 * need).select(*pairs.columns), "line-close")
-    full = close.join(sets.select("doc", "line", "codes"), ["doc", "line"]).join(
-        sets.select(*first, F.col("codes").alias("codes0")), ["doc0", "line0"]
-    )
+    full = close.join(sets.select(*LINE, "codes"), list(LINE)).join(sets.select(*first, F.col("codes").alias("codes0")), line0)
     both = F.size(F.array_intersect("codes", "codes0"))
-    return full.filter(100 * both >= percent * (F.size("codes") + F.size("codes0") - both)).select("doc", "line").distinct()
+    return full.filter(100 * both >= percent * (F.size("codes") + F.size("codes0") - both)).select(*LINE).distinct()
 
 
 def _near_first(docs: DataFrame, classes: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Classes that are similar to the earliest class under one of their prefix words."""
-    entries = classes.select("doc", "line", "n", "parity", F.explode("prefix").alias("code"))
-    first = entries.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "parity")).alias("x"), F.count("*").alias("entries"))
+    entries = classes.select(*LINE, "n", "parity", F.explode("prefix").alias("code"))
+    first = entries.groupBy("code").agg(F.min(F.struct(*LINE, "n", "parity")).alias("x"), F.count("*").alias("entries"))
     first = written(first.filter("entries > 1").select("code", "x"), "line-words")
-    met = entries.select("code", F.struct("doc", "line", "n", "parity").alias("y")).join(first.hint("merge"), "code")
-    later = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
-    tried = met.filter(later & _may_match("x", "y", percent, False)).select(
-        "y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")
+    met = entries.select("code", F.struct(*LINE, "n", "parity").alias("y")).join(first.hint("merge"), "code")
+    tried = met.filter(_earlier("x", "y") & _may_match("x", "y", percent, False)).select(
+        *[f"y.{c}" for c in LINE], *[F.col(f"x.{c}").alias(f"{c}0") for c in LINE]
     )
     return _verified(docs, written(tried.distinct(), "line-tries"), levels, percent, id_col, text_col)
 
 
 def _others(classes: DataFrame, removed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (``doc``, ``line`` later than ``doc0``, ``line0``) whose later class is not removed yet.
+    """Candidate pairs (a line, and with ``0`` an earlier one) whose later class is not removed yet.
 
     Both sides of the join are one and the same exchange; the term that leaves removed classes out names both sides, as
     a filter on one would make a second exchange.
     """
     gone = removed.withColumn("gone", F.lit(1)).hint("merge")
-    marked = classes.join(gone, ["doc", "line"], "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    rows = marked.select("doc", "line", "n", "parity", "gone", F.posexplode("prefix").alias("at", "code"))
+    marked = classes.join(gone, list(LINE), "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    rows = marked.select(*LINE, "n", "parity", "gone", F.posexplode("prefix").alias("at", "code"))
     x, y = rows.alias("x"), rows.alias("y")
-    earlier = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
     open_y = F.col("x.gone") + 2 * F.col("y.gone") < 2
-    pairs = y.join(x.hint("merge"), (F.col("x.code") == F.col("y.code")) & open_y & earlier & _may_match("x", "y", percent, True))
-    return pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
+    pairs = y.join(x.hint("merge"), (F.col("x.code") == F.col("y.code")) & open_y & _earlier("x", "y") & _may_match("x", "y", percent, True))
+    return pairs.select(*[f"y.{c}" for c in LINE], *[F.col(f"x.{c}").alias(f"{c}0") for c in LINE]).distinct()
 
 
 def dedup_lines(
@@ -164,13 +193,14 @@ def dedup_lines(
     The columns ``others`` come along in one struct, ``others``.
     """
     levels = rarity(docs, text_col)
-    classes = written(line_classes(docs, levels, percent, id_col, text_col), "line-classes")
-    removed = written(_near_first(docs, classes, levels, percent, id_col, text_col), "line-removed")
-    rest = _others(classes, removed, percent)
-    rest = written(rest, "line-rest")
-    removed = removed.unionByName(_verified(docs, rest, levels, percent, id_col, text_col))
-    kept = classes.select("doc", "line").join(removed, ["doc", "line"], "left_anti").groupBy("doc").agg(F.collect_list("line").alias("kept"))
-    joined = docs.select(F.col(id_col), F.col(text_col).alias("text"), *([F.struct(*others).alias("others")] if others else [])).join(kept.withColumnRenamed("doc", id_col).hint("merge"), id_col, "left")
+    beside = [F.struct(*others).alias("others")] if others else []
+    docs = _tagged(docs.select(F.col(id_col), F.col(text_col).alias("text"), *beside), id_col, "text")
+    classes = written(line_classes(docs, levels, percent, id_col, "text"), "line-classes")
+    removed = written(_near_first(docs, classes, levels, percent, id_col, "text"), "line-removed")
+    rest = written(_others(classes, removed, percent), "line-rest")
+    removed = removed.unionByName(_verified(docs, rest, levels, percent, id_col, "text"))
+    kept = classes.select(*LINE).join(removed, list(LINE), "left_anti").groupBy("doc", "tag").agg(F.collect_list("line").alias("kept"))
+    joined = docs.join(kept.hint("merge"), ["doc", "tag"], "left")
     split = joined.select(id_col, "kept", "text", *(["others"] if others else []), _lines(F.col("text")).alias("lines"))
     marked = split.withColumn("blank", F.filter(F.transform("lines", lambda line, i: F.when(~_has_words(line), i)), lambda i: i.isNotNull()))
     stays = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), "blank"))

@@ -527,3 +527,19 @@ def test_held_out_rows_are_those_of_the_checksum(spark):
 
 def test_labels_are_read(spark, sf_dir):
     assert read_labels(spark, sf_dir).filter(F.col("toxic") == 1).count() > 0
+
+
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    """Lines never move from one row to another, whatever the ids are."""
+    rows = [(1, "x y z\nfoo bar"), (1, "foo bar\nqux"), (1, "foo bar\nqux"), (2, "qux\nown line"), (2, None), (2, ""), (None, "qux\nqux"), (3, "a b c d e\n\nx y z"), (3, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lines.dedup_lines(docs).collect()
+    assert len(got) == len(rows) and all(r.n_removed >= 0 for r in got)
+    left = sorted(((r.doc_id, r.text) for r in got), key=str)
+    for doc_id, text in left:
+        assert any(i == doc_id and (t is None and text is None or t is not None and text is not None and set(text.split("\n")) <= set(t.split("\n")) | {""}) for i, t in rows)
+    assert (2, "own line") in left and (None, "qux\nqux") in left and [r.text for r in got if r.doc_id == 2 and r.n_lines == 0] in ([None, ""], ["", None])
+    # each set of words that is like an earlier one is gone: one "foo bar" among the first three rows, which come in the order of a hash
+    first, second = (sorted((t for i, t in left if i == 1 and "x y z" in t), key=str), [t for i, t in left if i == 1 and "x y z" not in t])
+    assert len(first) == 1 and len(second) == 2 and second[0] == second[1]
+    assert ("foo bar" in first[0]) != ("foo bar" in second[0])
