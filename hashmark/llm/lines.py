@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from hashmark.llm.tables import BLANKS, documents, word_array, written
 
 PERCENT = 80
-#: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.
-SLOTS = 1 << 21
+#: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.  It is a
+#: constant of several plans, whose text the driver keeps.
+SLOTS = 1 << 18
 #: 64-bit words of the sketch that candidates are held against before their sets are fetched; a power of two.
 WORDS_OF_SKETCH = 4
 
@@ -62,8 +63,8 @@ def _has_words(line: Column) -> Column:
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     """A constant of one byte for each hash slot: how many binary digits the number of its words has, from ``0`` up.
 
-    There are more slots than a corpus of this size has distinct words, so a slot tells how often one word occurs, within a
-    factor of two; where a corpus has more words than slots, rare words share slots and count as a little less rare.
+    Where a corpus has fewer distinct words than slots, a slot tells how often one word occurs, within a factor of two; where it
+    has more, a word counts as often as all words of its slot, so rare words are told apart less well.  Any order is exact.
     """
     spark = docs.sparkSession
     words = docs.select(F.explode(word_array(F.col(text_col))).alias("w")).select(_slot(F.col("w")).alias("slot"))
