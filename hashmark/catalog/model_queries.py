@@ -133,14 +133,14 @@ def _(spark, sf_dir):
 @query(
     "holdout_evaluate",
     sql(
-        f"""SELECT CASE WHEN season < {CUTOFF} THEN 'train' ELSE 'test' END AS data_split, avg(abs_edge) AS mae, sqrt(avg(edge * edge)) AS rmse, count(*) AS n_games,
-        1 - sum(edge * edge) / (count(*) * var_pop({Y})) AS r2 FROM SC WHERE model = 'v1.2' GROUP BY 1""",
+        f"""SELECT model, CASE WHEN season < {CUTOFF} THEN 'train' ELSE 'test' END AS data_split, avg(abs_edge) AS mae, sqrt(avg(edge * edge)) AS rmse, count(*) AS n_games,
+        1 - sum(edge * edge) / (count(*) * var_pop({Y})) AS r2 FROM SC GROUP BY 1, 2""",
         "SC",
     ),
     "mae rmse r2",
 )
 def _(spark, sf_dir):
-    return models.holdout_evaluate(scored(spark, sf_dir).filter(F.col("model") == "v1.2"), Y, "pred", CUTOFF)
+    return models.holdout_evaluate(scored(spark, sf_dir), Y, "pred", CUTOFF, keys=["model"])
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hashmark.catalog.bindings import games, sql
+from hashmark.catalog.bindings import games, sql, table
 from hashmark.catalog.games import R_SQL, team_ratings
 from hashmark.catalog.registry import query
 from hashmark.functions import scoring
@@ -129,6 +129,31 @@ def _(spark, sf_dir):
     return evaluation.weekly_slate(games(spark, sf_dir), team_ratings(spark, sf_dir), adjustments(spark, sf_dir), model="v1.0", hfa=2.5037)
 
 
+_SIDE_RATINGS = f"""(SELECT r.team, rating, qb_adj, rest_days FROM {R_SQL} r LEFT JOIN (
+  SELECT 'T' || CAST(c_custkey % 32 AS VARCHAR) AS team, max(c_acctbal) / 7000 AS qb_adj, CAST(count(*) % 7 AS DOUBLE) AS rest_days FROM customer GROUP BY 1) c ON c.team = r.team)"""
+
+
+@query(
+    "weekly_slate_registry",
+    sql(
+        f"""SELECT game_key AS game_id, season, week, 'v1.1' AS model, round_even(raw, 1) + 0.0 AS model_line, home_line AS market_line, round_even(raw - home_line, 1) + 0.0 AS edge FROM (
+          SELECT game_key, season, week, home_line, -2.5037::double - coalesce((h.rating - a.rating) * 0.03::double, 0) - coalesce((h.rest_days - a.rest_days) * 0.3::double, 0)
+            - coalesce((h.qb_adj - a.qb_adj) * 0.1::double, 0) AS raw FROM K LEFT JOIN {_SIDE_RATINGS} h ON h.team = home_team LEFT JOIN {_SIDE_RATINGS} a ON a.team = away_team)""",
+        "K", "R",
+    ),
+    "model_line edge",
+)
+def _(spark, sf_dir):
+    """The second rating model: one weight comes from the registry table, the others fall back to the published ones."""
+    customers = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("T"), (F.col("c_custkey") % 32).cast("string")).alias("team"))
+    passers = customers.agg((F.max("c_acctbal") / 7000).alias("qb_adj"), (F.count("*") % 7).cast("double").alias("rest_days"))
+    registry = joins.registry_frame(spark, {"v1.1": {"rating": 0.03}, "v9": {"rating": 7.0}})
+    none = adjustments(spark, sf_dir).limit(0)
+    ratings = team_ratings(spark, sf_dir).join(passers, "team", "left")
+    slate = evaluation.weekly_slate(games(spark, sf_dir), ratings, none, model="v1.1", hfa=2.5037, registry=registry)
+    return slate.select("game_id", "season", "week", "model", "model_line", "market_line", "edge")
+
+
 @query("value_filter", sql("SELECT game_id, model, edge FROM SC WHERE abs_edge >= 2.0", "SC"), "edge")
 def _(spark, sf_dir):
     return scoring.value_filter(scored(spark, sf_dir), 2.0).select("game_id", "model", "edge")
@@ -216,15 +241,14 @@ _BIN = "CASE WHEN abs_edge >= 5 THEN 5.0 WHEN abs_edge >= 3 THEN 3.0 WHEN abs_ed
 @query(
     "roi_by_edge_bin",
     sql(
-        f"""SELECT CAST(b AS DOUBLE) AS edge_bin, CASE WHEN b IS NULL THEN 'all' ELSE 'bin' END AS level, count(*) AS n_bets, avg(w) AS win_rate, (avg(w) - (1 - avg(w)) * 1.1) / 1.1 AS roi
-        FROM (SELECT {_BIN} AS b, {_WON} AS w FROM SC WHERE model = 'v1.2' AND actual_margin IS NOT NULL AND abs_edge >= 0.5) GROUP BY GROUPING SETS ((b), ())""",
+        f"""SELECT model, CAST(b AS DOUBLE) AS edge_bin, CASE WHEN b IS NULL THEN 'all' ELSE 'bin' END AS level, count(*) AS n_bets, avg(w) AS win_rate, (avg(w) - (1 - avg(w)) * 1.1) / 1.1 AS roi
+        FROM (SELECT model, {_BIN} AS b, {_WON} AS w FROM SC WHERE actual_margin IS NOT NULL AND abs_edge >= 0.5) GROUP BY GROUPING SETS ((model, b), (model))""",
         "SC",
     ),
     "win_rate roi",
 )
 def _(spark, sf_dir):
-    one = scored(spark, sf_dir).filter(F.col("model") == "v1.2")
-    return reports.roi_by_edge_bin(one, line="closing_spread")
+    return reports.roi_by_edge_bin(scored(spark, sf_dir), line="closing_spread", keys=["model"])
 
 
 _THRESHOLDS = "(SELECT unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0])::double AS threshold)"
@@ -381,14 +405,14 @@ def _(spark, sf_dir):
 @query(
     "week_prediction_summary",
     sql(
-        """SELECT season, week, count(*) AS games, avg(abs_edge) AS mean_abs_edge, stddev_samp(edge) AS std_edge, max(abs_edge) AS max_abs_edge,
-        median(abs_edge) AS median_abs_edge FROM SC WHERE model = 'v1.2' GROUP BY season, week""",
+        """SELECT model, season, week, count(*) AS games, avg(abs_edge) AS mean_abs_edge, stddev_samp(edge) AS std_edge, max(abs_edge) AS max_abs_edge,
+        median(abs_edge) AS median_abs_edge FROM SC GROUP BY model, season, week""",
         "SC",
     ),
     "mean_abs_edge std_edge max_abs_edge median_abs_edge",
 )
 def _(spark, sf_dir):
-    return reports.week_prediction_summary(scored(spark, sf_dir).filter(F.col("model") == "v1.2"))
+    return reports.week_prediction_summary(scored(spark, sf_dir), keys=["model", "season", "week"])
 
 
 @query(

@@ -215,11 +215,11 @@ def best_alpha(cv: DataFrame) -> float:
 
 
 def holdout_evaluate(
-    df: DataFrame, target: str, pred: str, cutoff: int, season: str = "season"
+    df: DataFrame, target: str, pred: str, cutoff: int, season: str = "season", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """MAE, RMSE and R2 on either side of the cutoff season."""
+    """MAE, RMSE and R2 on either side of the cutoff season, for each of ``keys``."""
     split = df.withColumn("data_split", season_split(cutoff, season))
-    return evaluate(split, target, pred, keys=("data_split",), with_r2=True)
+    return evaluate(split, target, pred, keys=(*keys, "data_split"), with_r2=True)
 
 
 def residual_std(df: DataFrame, value: str = "edge", split: str = "data_split") -> DataFrame:

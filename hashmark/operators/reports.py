@@ -106,19 +106,19 @@ def _right_open(size: Column, lows: Sequence[float]) -> Column:
 
 
 def roi_by_edge_bin(
-    df: DataFrame, margin: str = "actual_margin", pred: str = "pred", line: str = "home_line", bins: Sequence[float] = ROI_BINS
+    df: DataFrame, margin: str = "actual_margin", pred: str = "pred", line: str = "home_line", bins: Sequence[float] = ROI_BINS, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Bets, win rate and return at -110 per edge bin ``[b, next b)``, plus an ``all`` row from the first bound up."""
+    """Bets, win rate and return at -110 per edge bin ``[b, next b)``, plus an ``all`` row from the first bound up, for each of ``keys``."""
     m, p, q = F.col(margin), F.col(pred), F.col(line)
     won = ((p < q) == (m + q > 0)).cast("int")
     binned = (
         df.filter(m.isNotNull() & p.isNotNull() & q.isNotNull())
-        .select(_right_open(F.abs(p - q), bins).alias("edge_bin"), won.alias("won"))
+        .select(*keys, _right_open(F.abs(p - q), bins).alias("edge_bin"), won.alias("won"))
         .filter(F.col("edge_bin").isNotNull())
     )
     rate = F.avg("won")
     return (
-        binned.groupingSets([["edge_bin"], []], "edge_bin")
+        binned.groupingSets([[*keys, "edge_bin"], [*keys]], *keys, "edge_bin")
         .agg(
             F.when(F.grouping("edge_bin") == 1, F.lit("all")).otherwise(F.lit("bin")).alias("level"),
             F.count("*").alias("n_bets"),
@@ -126,7 +126,7 @@ def roi_by_edge_bin(
             ((rate - (F.lit(1.0) - rate) * BET_RISK) / BET_RISK).alias("roi"),
         )
         .filter(F.col("n_bets") > 0)
-        .select("edge_bin", "level", "n_bets", "win_rate", "roi")
+        .select(*keys, "edge_bin", "level", "n_bets", "win_rate", "roi")
     )
 
 

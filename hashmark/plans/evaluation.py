@@ -61,6 +61,21 @@ def size_bets(scored: DataFrame, cutoff: int) -> DataFrame:
     return bet_sizing(split, "pred", sigma["residual_std"])
 
 
+def slate_weights(model: str, registry: DataFrame | None = None) -> dict[str, float]:
+    """A rating model's weights: from the registry, and from the published table for terms it lacks.
+
+    A model is known if either has it; a registry holds a row for each of a model's few terms.
+    """
+    published = {"v1.0": BASE_WEIGHTS, "v1.1": {**BASE_WEIGHTS, **STRUCTURAL_WEIGHTS}}
+    own = {}
+    if registry is not None:
+        rows = registry.filter((F.col("model") == model) & F.col("weight").isNotNull() & ~F.isnan(F.col("weight"))).select("term", "weight").collect()
+        own = {r["term"]: r["weight"] for r in rows}
+    if model not in published and not own:
+        raise KeyError(f"unknown model {model}")
+    return {**published.get(model, {}), **own}
+
+
 def weekly_slate(
     matchups: DataFrame,
     ratings: DataFrame,
@@ -69,15 +84,15 @@ def weekly_slate(
     hfa: float = HOME_FIELD_ADVANTAGE,
     line: str = "home_line",
     weights: Mapping[str, float] | None = None,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Ratings on both sides, the rating model's line, manual adjustments and the edge of each game.
 
-    The output has the same columns with and without adjustments; an unknown model is an error.
+    Weights are given, or those of the model in a ``registry`` table of (model, term, weight) with the published ones for
+    terms that it lacks.  The output has the same columns with and without adjustments; an unknown model is an error.
     """
-    known = {"v1.0": BASE_WEIGHTS, "v1.1": {**BASE_WEIGHTS, **STRUCTURAL_WEIGHTS}}
-    if model not in known:
-        raise KeyError(f"unknown model {model}")
-    weights = {n: w for n, w in (weights or known[model]).items() if n in ratings.columns}
+    weights = weights or slate_weights(model, registry)
+    weights = {n: w for n, w in weights.items() if n in ratings.columns}
     slate = matchups.select("season", "week", "away_team", "home_team", line)
     sides = join_both_sides(slate, ratings.select("team", *weights))
     scored = sides.withColumn("raw_line", weighted_rating_score(rating_terms(weights), hfa))

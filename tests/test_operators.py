@@ -290,3 +290,17 @@ def test_family_report_counts_values(spark):
     rows = {tuple(r) for r in family_report(df, {"rest": ["rest_"], "all": ["_"], "none": ["zzz"]}).collect()}
     assert rows == {("rest", "rest_a", "int", 2), ("all", "rest_a", "int", 2), ("all", "qb_b", "string", 0)}
     assert family_report(df, {"none": ["zzz"]}).collect() == []
+
+
+def test_slate_weights_fall_back_term_by_term(spark):
+    from hashmark.functions.scoring import BASE_WEIGHTS, STRUCTURAL_WEIGHTS
+    from hashmark.plans.evaluation import slate_weights
+
+    rows = [("v1.1", "rating", 0.5), ("v1.1", "overall", None), ("v1.1", "qb_adj", float("nan")), ("own", "rating", 1.0), ("v1.0", "extra", 2.0)]
+    registry = spark.createDataFrame(rows, "model string, term string, weight double")
+    assert slate_weights("v1.0") == BASE_WEIGHTS and slate_weights("v1.1") == {**BASE_WEIGHTS, **STRUCTURAL_WEIGHTS}
+    assert slate_weights("v1.1", registry) == {**BASE_WEIGHTS, **STRUCTURAL_WEIGHTS, "rating": 0.5}
+    assert slate_weights("v1.0", registry) == {**BASE_WEIGHTS, "extra": 2.0} and slate_weights("own", registry) == {"rating": 1.0}
+    for unknown in (None, registry):
+        with pytest.raises(KeyError, match="unknown model"):
+            slate_weights("v7", unknown)
