@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame; ``run`` writes it as Parquet in the shared folder and gives
 the next stage what it reads back, so a lost executor costs one stage at most.  All but the last stage return the columns
-of ``documents``.  Every row gets its own decision, also where ids are NULL or repeat.
+of ``documents`` and no others.  Every row gets its own decision, also where ids are NULL or repeat.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned rules and packing are not SQL; the tests check the stages against brute force.
+#: Learned rules and packing are not SQL; ``tests/llm`` compares the operators with plain versions and checks what the stages
+#: must keep true of each other's rows.
 ORACLE_SQL = None
 
 
