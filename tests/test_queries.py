@@ -6,6 +6,7 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as contract
+from hashmark.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,7 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert differences(spark, con, name, sf_dir) == []
 
