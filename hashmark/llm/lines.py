@@ -25,7 +25,7 @@ from hashmark.llm.tables import BLANKS, documents, word_array, written
 PERCENT = 80
 #: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.  It is a
 #: constant of several plans, whose text the driver keeps.
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 #: 64-bit words of the sketch that candidates are held against before their sets are fetched; a power of two.
 WORDS_OF_SKETCH = 4
 
