@@ -1,15 +1,19 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both models are bigram models over one vocabulary: the ``VOCABULARY - 2`` most frequent words of the whole corpus, one
-number for all other words and one for the edge of a text.  The background is all documents, the target those that the
-labels call good; counts cover every text of either.  A document's score is the mean over its words of target loss minus
-background loss, in nats: the lower, the closer to the target.
-
-Words are counted in the tasks and combined map-side by their hash.  What is collected is bounded by the vocabulary (its
-square for the bigrams); what is shuffled to get it grows with the corpus.
-
-NULL and blank texts have no words and NULL losses.  Labels that repeat count once, labels without a document are ignored.
-Without a target document the two models are equal up to smoothing.  Columns besides the named ones are not read.
+Both models are bigram models over one vocabulary: every word of the whole corpus and one sign for the edge of a text.  The
+background is all documents, the target those that the labels call good; counts cover every text of either.  A document's
+score is the mean over its words of target loss minus background loss, in nats: the lower, the closer to the target.
+
+Nothing about the corpus is cut off or collected whole: words, contexts and bigrams are tables that grow with it.  Tasks
+count the bigrams of a batch before they are shuffled; a bigram's two losses come from its own counts and those of its word
+and its context, joined so that no frequent word holds up a task.  A text is scored by the losses of its distinct bigrams.
+Those that make up at least one in ``HOT_SHARES`` of all (so never more than that many) are broadcast and looked up where
+the text is read; the others are joined, and none of them is frequent enough to be a hot key.
+
+Words and bigrams are known by 64-bit hashes.  Losses are whole numbers of ``UNIT`` nats, so that sums do not depend on the
+order of rows.  NULL and blank texts have no words and NULL losses.  Labels that repeat count once, labels without a document
+are ignored; rows that share an id are scored each on its own text.  Without a target document the target model knows the
+vocabulary only.  Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -18,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashmark.llm.tables import arrow_map, documents, labels
-from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, words
+from hashmark.llm.hot import join_groups
+from hashmark.llm.tables import arrow_map, documents, labels, written
+from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, mix, words
 
-VOCABULARY = 2048
-EDGE, OTHER = 0, 1
+#: The context of a text's first word.
+EDGE = 0
 #: Weight of the unigram model in a bigram context, in words.
 BACKOFF = 50.0
-COUNT_BYTES = 4 << 20
+UNIT = 1e-9
+HOT_SHARES = 1 << 20
+COUNT_BYTES = 8 << 20
 
 
 def _word_hashes(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -37,111 +44,125 @@ def _word_hashes(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.nd
     for row, part, bounds in chunks(data, offsets, limit):
         part = LOWER[part]
         starts, lengths, rows = words(part, bounds)
-        yield row, len(bounds) - 1, hashes(part, starts, lengths).view(np.int64), rows
+        yield row, len(bounds) - 1, hashes(part, starts, lengths), rows
+
+
+def _bigrams(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context of every word, and the hash of the two."""
+    before = np.full(len(found), EDGE, dtype=np.uint64)
+    inner = rows[1:] == rows[:-1]
+    before[1:][inner] = found[:-1][inner]
+    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + found)
 
 
-def frequent_words(docs: DataFrame, size: int = VOCABULARY, text_col: str = "text") -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts, ``size - 2`` at most."""
+def bigram_counts(marked: DataFrame, text_col: str = "text") -> DataFrame:
+    """``pair``, ``context``, ``word``, and how often it occurs in rows with ``target`` and in ``every`` row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, found, _ in _word_hashes(batch.column(0), COUNT_BYTES):
-                values, counts = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["word", "n"])
+            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
+                before, pairs = _bigrams(found, rows)
+                own, at, which, every = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+                target = np.bincount(which[marks[row + rows]], minlength=len(own))
+                columns = [x.view(np.int64) for x in (own, before[at], found[at])]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), pa.array(target.astype(np.int64)), pa.array(every.astype(np.int64))],
+                    names=["pair", "context", "word", "target", "every"],
+                )
 
-    counted = arrow_map(docs.select(text_col), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size - 2).collect()
-    return np.sort(np.array([r["word"] for r in top], dtype=np.int64))
+    rows = arrow_map(marked.select(text_col, "target"), run, "pair long, context long, word long, target long, every long")
+    sums = [F.sum(c).alias(c) for c in ("target", "every")]
+    return rows.groupBy("pair").agg(F.first("context").alias("context"), F.first("word").alias("word"), *sums)
 
 
-def numbers(found: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Word numbers from ``OTHER`` up."""
-    if not len(vocabulary):
-        return np.full(len(found), OTHER, dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == found, at + 2, OTHER)
+def losses(bigrams: DataFrame) -> DataFrame:
+    """``pair``, ``every``, ``target_loss`` and ``background_loss`` of each bigram of the written table ``bigrams``.
 
+    A loss is minus the log-probability: counts of the context, backed off to add-one unigrams.
+    """
 
-def _bigrams(found: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray, size: int) -> np.ndarray:
-    word = numbers(found, vocabulary)
-    before = np.full(len(word), EDGE, dtype=np.int64)
-    inner = rows[1:] == rows[:-1]
-    before[1:][inner] = word[:-1][inner]
-    return before * size + word
+    def marginal(by: str, prefix: str) -> DataFrame:
+        sums = [F.sum(c).alias(f"{prefix}_{c}") for c in ("target", "every")]
+        return written(bigrams.groupBy(by).agg(*sums, F.count("*").alias(f"{prefix}_rows")), f"{prefix}-counts")
 
+    unigrams, contexts = marginal("word", "word"), marginal("context", "context")
+    whole = unigrams.agg(F.count("*").alias("known"), *(F.sum(f"word_{c}").alias(c) for c in ("target", "every"))).first()
 
-def bigram_counts(marked: DataFrame, vocabulary: np.ndarray, size: int = VOCABULARY, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all bigrams in the rows with ``target`` and in all rows."""
-    shared = marked.sparkSession.sparkContext.broadcast(vocabulary)
+    def loss(counted: str) -> Column:
+        start = (F.col(f"word_{counted}") + 1) / F.lit(float((whole[counted] or 0) + whole["known"]))
+        chance = (F.col(counted) + BACKOFF * start) / (F.col(f"context_{counted}") + BACKOFF)
+        return F.round(F.log(chance) / F.lit(-UNIT)).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size * size), dtype=np.int64)
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
-                keys = _bigrams(found, rows, shared.value, size)
-                values, n = np.unique(keys, return_counts=True)
-                counts[1][values] += n
-                values, n = np.unique(keys[target[row + rows]], return_counts=True)
-                counts[0][values] += n
-        seen = np.flatnonzero(counts[1])
-        for lo in range(0, len(seen), 100_000):
-            own = seen[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0][own]), pa.array(counts[1][own])], names=["pair", "target", "every"])
-
-    rows = arrow_map(marked.select(text_col, "target"), run, "pair long, target long, every long")
-    summed = rows.groupBy(F.col("pair").cast("int").alias("pair")).agg(*(F.sum(c).cast("float").alias(c) for c in ("target", "every"))).toArrow()
-    out = np.zeros((2, size * size), dtype=np.float32)
-    for part in summed.to_batches():  # 12 bytes a bigram that occurs
-        pair = part.column(0).to_numpy()
-        out[0, pair], out[1, pair] = part.column(1).to_numpy(), part.column(2).to_numpy()
-    return out[0], out[1]
-
-
-def losses(counts: np.ndarray, size: int = VOCABULARY) -> np.ndarray:
-    """Minus log-probability of every bigram: counts of its context, backed off to add-one unigrams.  Takes the place of the counts."""
-    table = counts.reshape(size, size)
-    word = table.sum(axis=0, dtype=np.float64) + 1
-    word[EDGE] = 0
-    context = table.sum(axis=1, keepdims=True, dtype=np.float64)
-    table += (BACKOFF * word / word.sum()).astype(np.float32)
-    table /= (context + BACKOFF).astype(np.float32)
-    with np.errstate(divide="ignore"):
-        np.log(table, out=table)
-    return np.negative(table, out=table).reshape(-1)
-
-
-def score(docs: DataFrame, vocabulary: np.ndarray, target: np.ndarray, background: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_words``, ``target_loss``, ``background_loss`` and ``difference`` (means over words) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, target, background))
-    size = int(round(len(target) ** 0.5))
+    joined = join_groups(join_groups(bigrams, unigrams, ["word"], "word_rows"), contexts, ["context"], "context_rows")
+    return joined.select("pair", "every", loss("target").alias("target_loss"), loss("every").alias("background_loss"))
+
+
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[edges[1:]] - total[edges[:-1]]
+
+
+def _read(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``n_words``, sums of the losses in ``hot``, and the other distinct bigrams of each text: ``pairs``, ``times``."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own, every = shared.value
+        known, *tables = shared.value
         for batch in batches:
             for lo, n, found, rows in _word_hashes(batch.column(1), COUNT_BYTES):
-                keys = _bigrams(found, rows, known, size)
+                pairs = _bigrams(found, rows)[1].view(np.int64)
+                order = np.lexsort((pairs, rows))
+                pairs, rows = pairs[order], rows[order]
                 count = np.bincount(rows, minlength=n)
-                some = np.maximum(count, 1)
-                means = [np.bincount(rows, table[keys], minlength=n) / some for table in (own, every)]
-                empty = count == 0
+                edges = np.concatenate([[0], np.cumsum(count)])
+                at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+                met = known[at] == pairs if len(known) else np.zeros(len(pairs), dtype=bool)
+                sums = [_sums(np.where(met, table[at], 0) if len(known) else np.zeros(len(pairs), np.int64), edges) for table in tables]
+                pairs, rows = pairs[~met], rows[~met]
+                first = np.ones(len(pairs), dtype=bool)
+                first[1:] = (pairs[1:] != pairs[:-1]) | (rows[1:] != rows[:-1])
+                begins = np.flatnonzero(first)
+                times = np.diff(np.append(begins, len(pairs))).astype(np.int32)
+                offsets = pa.array(np.searchsorted(rows[begins], np.arange(n + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(count), *(pa.array(m, mask=empty) for m in (*means, means[0] - means[1]))],
-                    names=["id", "n_words", "target_loss", "background_loss", "difference"],
+                    [batch.column(0).slice(lo, n), pa.array(count.astype(np.int64)), *map(pa.array, sums),
+                     pa.ListArray.from_arrays(offsets, pa.array(pairs[begins])), pa.ListArray.from_arrays(offsets, pa.array(times))],
+                    names=["id", "n_words", "hot_target", "hot_background", "pairs", "times"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, target_loss double, background_loss double, difference double"
+    schema = f"id {kind}, n_words long, hot_target long, hot_background long, pairs array<long>, times array<int>"
     return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
+def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_words``, ``target_loss``, ``background_loss`` and ``difference`` (means over words) of every row.
+
+    ``model``: the written ``losses`` of a corpus that holds all bigrams of ``docs``.
+    """
+    total = model.agg(F.sum("every")).first()[0] or 0
+    most = model.filter(F.col("every") * F.lit(HOT_SHARES) >= F.lit(total)).select("pair", "target_loss", "background_loss").orderBy("pair").toArrow()
+    hot = tuple(most.column(k).to_numpy() for k in range(3))
+    read = written(_read(docs, hot, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts-read")
+    rest = read.select("row", F.inline(F.arrays_zip("pairs", "times")).alias("pair", "times")).join(model.drop("every").hint("merge"), "pair")
+    sums = rest.groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"rest_{c}") for c in ("target_loss", "background_loss")))
+    joined = read.drop("pairs", "times").join(sums, "row", "left")
+
+    def mean(of: str, hot_sum: str) -> Column:
+        whole = F.col(hot_sum) + F.coalesce(F.col(f"rest_{of}"), F.lit(0))
+        return F.when(F.col("n_words") > 0, whole * F.lit(UNIT) / F.col("n_words")).alias(of)
+
+    means = joined.select(F.col("id").alias(id_col), "n_words", mean("target_loss", "hot_target"), mean("background_loss", "hot_background"))
+    return means.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+
+
 def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score`` of ``docs`` against the target documents, whose ids ``good`` holds in ``id_col``."""
-    vocabulary = frequent_words(docs, text_col=text_col)
     marks = good.select(F.col(id_col)).distinct().withColumn("target", F.lit(True)).hint("merge")  # one plan at every size
     marked = docs.select(id_col, text_col).join(marks, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    target, every = bigram_counts(marked, vocabulary, text_col=text_col)
-    return score(docs, vocabulary, losses(target), losses(every), id_col, text_col)
+    bigrams = written(bigram_counts(marked, text_col), "bigrams")
+    return score(docs, written(losses(bigrams), "losses"), id_col, text_col)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,16 +408,20 @@ def test_toxicity_on_held_out_rows(spark):
 # language models
 
 
-def test_cross_entropy_difference(spark):
-    texts = [(1, "a b a b c"), (2, "x y x y"), (3, None), (4, " "), (5, "a b"), (None, "x")]
+@pytest.mark.parametrize("shares", [1, 12, 1 << 20])
+def test_cross_entropy_difference(spark, monkeypatch, shares):
+    monkeypatch.setattr(lmscore, "HOT_SHARES", shares)
+    rng = random.Random(8)
+    many = [" ".join(f"w{rng.randrange(rng.choice((5, 10**6)))}" for _ in range(2500)) for _ in range(4)]  # words beyond any small number
+    texts = [(1, "a b a b c"), (2, "x y x y"), (3, None), (4, " "), (5, "a b"), (None, "x")] + [(10 + k, t) for k, t in enumerate(many)]
     docs = spark.createDataFrame([(i, t, 3) for i, t in texts], "doc_id long, text string, target int")
-    good = spark.createDataFrame([(1,), (1,), (5,), (77,), (None,)], "doc_id long")
+    good = spark.createDataFrame([(1,), (1,), (5,), (77,), (None,), (11,)], "doc_id long")
     result = lmscore.cross_entropy_difference(docs, good).collect()
     got = {r["doc_id"]: r for r in result}
-    assert len(result) == 6 and got[3]["difference"] is None and got[4]["n_words"] == 0
+    assert len(result) == len(texts) and got[3]["difference"] is None and got[4]["n_words"] == 0
     every = [t.split() for _, t in texts if t and t.strip()]
     known = sorted({w for t in every for w in t})
-    size, number = lmscore.VOCABULARY, {w: k for k, w in enumerate(known)}
+    assert len(known) > 4000
 
     def model(corpus):
         pair, word = Counter(), Counter()
@@ -425,20 +429,28 @@ def test_cross_entropy_difference(spark):
             for before, w in zip([None, *t[:-1]], t, strict=True):
                 pair[before, w] += 1
                 word[w] += 1
-        total = sum(word.values()) + size - 1
+        total = sum(word.values()) + len(known)
         context = Counter()
         for (before, _), n in pair.items():
             context[before] += n
         return lambda before, w: -np.log((pair[before, w] + lmscore.BACKOFF * (word[w] + 1) / total) / (context[before] + lmscore.BACKOFF))
 
-    target, background = model([t.split() for i, t in texts if i in (1, 5)]), model(every)
+    target, background = model([t.split() for i, t in texts if i in (1, 5, 11)]), model(every)
     for i, t in texts:
         if t and t.strip():
             w = t.split()
             pairs = list(zip([None, *w[:-1]], w, strict=True))
             want = [np.mean([m(*p) for p in pairs]) for m in (target, background)]
             assert got[i]["target_loss"] == pytest.approx(want[0], rel=1e-4) and got[i]["difference"] == pytest.approx(want[0] - want[1], abs=1e-4)
-    assert number and lmscore.cross_entropy_difference(docs.limit(0), good).count() == 0
+    assert lmscore.cross_entropy_difference(docs.limit(0), good).count() == 0
+
+
+def test_texts_that_differ_in_rare_words_only_get_scores_of_their_own(spark):
+    common = " ".join(f"w{k % 50}" for k in range(200))
+    docs = spark.createDataFrame([(k, f"{common} r{k} s{k} " * 3) for k in range(20)] + [(20, f"{common} r0 s0 " * 3)], "doc_id long, text string")
+    got = by_id(lmscore.cross_entropy_difference(docs, docs.filter("doc_id = 3").select("doc_id")))
+    assert got[0]["background_loss"] == got[20]["background_loss"] < got[1]["background_loss"]
+    assert min(got, key=lambda k: got[k]["difference"]) == 3
 
 
 # fingerprints
