@@ -4,7 +4,8 @@ A walk reads the characters of a text: at each step it writes the character it s
 depends on the step and the character and is shared by all texts, stays or moves on.  Two walks that an edit has parted
 meet again after a few steps, so edit distance becomes Hamming distance.  Walks start anew at content-defined cuts (a
 character that is the least of its neighbourhood), so one edit disturbs one segment only and long texts take no longer
-walks than short ones.  Every segment's walk gives a bit string, of which a fixed sample of bits makes ``BANDS`` bands; for
+walks than short ones.  Every walk goes on to the end of its segment; where a run of stays would keep it from there, it is made
+to move.  It gives a bit string, of which a fixed sample of bits, spread over all steps, makes ``BANDS`` bands; for
 each of ``SLOTS`` slots the segment whose bands hash least is chosen and lends the slot 16 of its bits.  The share e
 of equal slots estimates how many of all segments two texts have in common, and 2 e / (1 + e), their likeness, how much of
 either text.  ``near_links`` finds texts with like fingerprints by bands of sampled bits and verifies each candidate on the
@@ -34,16 +35,19 @@ SLOTS = 64
 #: A cut falls on a character whose hash is least among the ``REACH`` before and after it; segments are cut at ``LONGEST`` too.
 REACH = 12
 LONGEST = 64
-#: Steps of the walk whose characters are sampled into the bands, and bands of a segment.
-SAMPLED = 20
+#: Steps that a walk may take (it moves at every other one), those whose characters are sampled, and bands of a segment.
+STEPS = 3 * LONGEST
+SAMPLED = STEPS * 5 // 16
 BANDS = 4
 CHUNK_CHARS = 1 << 19
 #: Slots of a banding key and number of keys, for candidate pairs.
 KEY_SLOTS = 4
 KEYS = 16
 
-_BITS = stream(21, LONGEST)
-_STEPS = np.sort(np.argsort(stream(22, LONGEST))[:SAMPLED])
+_BITS = stream(21, STEPS)
+#: One sampled step in each of ``SAMPLED`` equal stretches, dealt to the bands in turn.
+_PICKED = (np.arange(SAMPLED) * STEPS + (stream(22, SAMPLED) % np.uint64(STEPS)).astype(np.int64)) // SAMPLED
+_BAND_OF = dict(zip(_PICKED.tolist(), (np.arange(SAMPLED) % BANDS).tolist(), strict=True))
 _SLOT_FACTORS, _SLOT_SHIFTS = stream(23, SLOTS) | np.uint64(1), stream(24, SLOTS)
 
 
@@ -78,30 +82,25 @@ def _segments(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tupl
 
 
 def _embedded(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The characters that each segment's walk writes at the sampled steps; 0 after its end."""
-    at, out = begins.copy(), np.zeros((len(begins), SAMPLED), dtype=np.uint64)
-    padded = np.append(points, 0).astype(np.uint64)
-    column = 0
-    for step in range(int(_STEPS[-1]) + 1):
-        inside = at < ends
-        sign = np.where(inside, padded[np.minimum(at, len(points))], np.uint64(0))
-        if step == _STEPS[column]:
-            out[:, column] = sign
-            column += 1
-        moves = (sign * np.uint64(0x9E3779B97F4A7C15) + _BITS[step]) * np.uint64(0xD1B54A32D192ED03)
-        at += ((moves >> np.uint64(63)).astype(np.int64)) & inside
-    return out
+    """A hash of each band of each segment: its first character and those that the walk writes at the band's steps."""
+    at, live = begins, np.arange(len(begins))
+    bands = mix(points[begins].astype(np.uint64)[:, None] * np.uint64(31) + np.arange(1, BANDS + 1, dtype=np.uint64))
+    for step in range(STEPS):
+        sign = points[at].astype(np.uint64)
+        if step in _BAND_OF:
+            b = _BAND_OF[step]
+            bands[live, b] = mix(bands[live, b] * np.uint64(31) + sign + np.uint64(b + 1))
+        moves = (sign * np.uint64(0x9E3779B97F4A7C15) + _BITS[step]) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(63)
+        at = at + (moves.astype(bool) | (ends - at >= STEPS - step))
+        going = at < ends
+        live, at, ends = live[going], at[going], ends[going]
+    return bands
 
 
 def embed_segments(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes of every segment, one column for each band, and the segment's text."""
     begins, ends, rows = _segments(points, starts, stops)
-    written = _embedded(points, begins, ends)
-    bands = np.zeros((len(begins), BANDS), dtype=np.uint64)
-    for k in range(SAMPLED):
-        b = k % BANDS
-        bands[:, b] = mix(bands[:, b] * np.uint64(31) + written[:, k] + np.uint64(b + 1))
-    return bands, rows
+    return _embedded(points, begins, ends), rows
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -232,7 +231,9 @@ def _rest_links(members: DataFrame, slots: int) -> DataFrame:
         ids, marks = group["id"].to_numpy(), np.frombuffer(b"".join(group["mark"]), np.uint16).reshape(-1, SLOTS)
         found, label = [], np.arange(len(ids))
         for i in range(int(group["tries"].sum())):
-            for other in np.unique(label[(marks == marks[i]).sum(axis=1) >= slots]).tolist():
+            same = marks == marks[i]
+            close = (same.sum(axis=1) >= slots) & same.reshape(len(ids), KEYS, -1).all(axis=2).any(axis=1)
+            for other in np.unique(label[close]).tolist():
                 if other != label[i]:
                     found.append((ids[label[i]], ids[other]))
                     label[label == other] = label[i]
@@ -247,7 +248,8 @@ def near_links(marked: DataFrame, slots: int = 40) -> DataFrame:
 
     ``marked`` has ``id`` and ``fingerprint``.  Equal fingerprints are one class.  Classes that share a band of ``KEY_SLOTS``
     slots are candidates.  Each is tried against one centre of its band; what the centre does not confirm is then compared
-    with all that met that centre, in bounded tasks, so that no link between candidates is lost.  A component is named by
+    with all that met that centre, in bounded tasks, so that no link between candidates is lost and none depends on which class
+    is a centre.  A component is named by
     its smallest id: NULL if none of its rows has one.
     """
     mark = F.unhex("fingerprint")
