@@ -5,8 +5,9 @@ differ in at most ``2 * chunks - 1`` symbols agree, but for one symbol, in some
 entered once for every symbol that may be wrong, that symbol left out.  All pairs within that distance meet under a key.
 
 Links are confirmed on the full shingle sets.  Documents with equal sets are one class first.  Under a key every class is
-paired with the smallest one only; what its centre does not confirm is then compared, block by block, with everything that
-met the same centre, so that no link between classes is lost and no group is expanded into rows of pairs.
+paired with the smallest one only, its centre; what the centre does not confirm is then compared, block by block, with
+everything that met the same centre, so that no link within the distance is lost and no group is expanded into rows of pairs.
+A class whose signature is far from its centre's is compared so if another that met the centre is within the distance.
 
 NULL and blank texts have no shingles and no links; texts shorter than a shingle are one shingle; equal rows are copies of
 each other; an empty table gives an empty result.  Rows without an id take no part: they have no component and are
@@ -30,7 +31,7 @@ from hashmark.llm.textbytes import mix, shingle_sets, stream
 
 SYMBOLS = 32
 CHUNKS = (5, 5, 5, 5, 6, 6)
-#: The pigeonhole finds all pairs at up to this distance; pairs that meet beyond ``SCREEN`` are not confirmed.
+#: The pigeonhole finds all pairs at up to this distance; a centre confirms those up to ``SCREEN``.
 DISTANCE = 2 * len(CHUNKS) - 1
 SCREEN = 18
 #: A task that compares the rest of a group holds about so many unlinked members, and so many members and shingles of the group.
@@ -111,17 +112,41 @@ def keyed(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("id", "signature"), run, "key long, id long")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """The pairs whose signatures (``s1``, ``s2``) differ in at most ``SCREEN`` symbols."""
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """``centre``, ``id``, ``near`` (``s1`` and ``s2`` differ in at most ``SCREEN`` symbols) and the member's ``signature``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s1, s2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in (2, 3))
-                near = (s1 != s2).sum(axis=1) <= SCREEN
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["centre", "id"])
+                near = (_marks(batch.column(2)) != _marks(batch.column(3))).sum(axis=1) <= SCREEN
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near), batch.column(3)], names=["centre", "id", "near", "signature"])
+
+    return arrow_map(pairs.select("centre", "id", "s1", "s2"), run, "centre long, id long, near boolean, signature binary")
+
+
+def _far_with_company(met: DataFrame) -> DataFrame:
+    """``centre``, ``id`` of the members that are not ``near``, but within ``DISTANCE`` of another that met the centre.
+
+    A task gets a block of these and a slice of the group, as in ``_compare_rest``, and no texts.
+    """
+    sizes = met.groupBy("centre").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("rest")).filter("n > 1 AND rest > 0")
+    members = met.join(sizes, "centre").withColumnRenamed("near", "linked")
+    blocks, slices = (F.ceil(F.col(c) / F.lit(size)).cast("int") for c, size in (("rest", BLOCK_ROWS), ("n", SLICE_ROWS)))
+
+    def run(group: pa.Table) -> pa.Table:
+        marks, ids, tries = _marks(group.column("signature")), group.column("id").to_numpy(), group.column("tries").to_numpy(zero_copy_only=False)
+        rest, all_rows = np.flatnonzero(tries), np.flatnonzero(~tries)
+        meets = [i for i in rest.tolist() if (((marks[all_rows] != marks[i]).sum(axis=1) <= DISTANCE) & (ids[all_rows] != ids[i])).any()]
+        found = ids[np.array(meets, dtype=np.int64)]
+        return pa.table({"centre": np.full(len(found), group.column("centre")[0].as_py(), dtype=np.int64), "id": found})
 
-    return arrow_map(pairs.select("centre", "id", "s1", "s2"), run, "centre long, id long")
+    ship(met.sparkSession)
+    dealt = dealt_copies(members, blocks, slices)
+    return dealt.groupBy("centre", "block", "slice").applyInArrow(run, "centre long, id long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -232,13 +257,14 @@ def near_duplicates(
     )
     keys = keyed(classes)
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    met = keys.join(centres.select("key", "centre"), "key").filter("id != centre").select("centre", "id").distinct()
+    first = keys.join(centres.select("key", "centre"), "key").filter("id != centre").select("centre", "id").distinct()
     marks = classes.select("id", "signature")
     signed = (
-        met.join(marks.withColumnRenamed("signature", "s2"), "id")
+        first.join(marks.withColumnRenamed("signature", "s2"), "id")
         .join(marks.select(F.col("id").alias("centre"), F.col("signature").alias("s1")), "centre")
     )
-    pairs = written(_near(signed), "near")
+    met = written(_met(signed), "met")
+    pairs = written(met.filter("near").select("centre", "id").unionByName(_far_with_company(met)), "pairs")
     wanted = pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct()
     wanted = wanted.join(classes.select("id", "top.doc_id", "top.tag"), "id")
     sets = written(_sets(docs, wanted, size, id_col, text_col), "sets")
