@@ -11,10 +11,14 @@ the model has one fixed-size column a language.  Host and suffix counts are join
 A page without text has no text evidence, one without a declaration none of that, one without a usable address only the
 prior of all pages; with no evidence at all languages are as likely as documents have them.  Without documents the language
 is NULL.  Repeated rows get equal results.  Columns besides the named ones are not read.
+
+Comments, scripts, styles, navigation and heads are cut out where they end; openings that never end are tags like others.
+A page is read in time that grows with its length only, whatever it opens and leaves open.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,17 +77,43 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return langs, np.hstack([model, prior]).astype(np.float32)
 
 
+_OPENING = re.compile(r"<!--|<(script|style|nav|head)\b", re.I | re.A)
+_ENDS = {kind: re.compile(rf"</{kind}\s*>", re.I | re.A) for kind in ("script", "style", "nav", "head")} | {"": re.compile("-->")}
+_TAG_OR_SIGN, _SIGN = re.compile(r"<[^>]*>|&[#\w]+;", re.A), re.compile(r"&[#\w]+;", re.A)
+
+
+def visible(html: str) -> str:
+    """What a page shows, without tags and character references."""
+    kept, at, done, endless = [], 0, 0, set()
+    while opening := _OPENING.search(html, at):
+        kind, at = (opening[1] or "").lower(), opening.end()
+        end = None if kind in endless else _ENDS[kind].search(html, at)
+        if end is None:
+            endless.add(kind)  # nor will any later one of its kind end
+        else:
+            kept.append(html[done : opening.start()])
+            at = done = end.end()
+    bare = " ".join([*kept, html[done:]])
+    last = bare.rfind(">") + 1  # behind it no tag ends
+    return (_TAG_OR_SIGN.sub(" ", bare[:last]) + _SIGN.sub(" ", bare[last:])).strip(BLANKS)
+
+
 def evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``host``, ``suffix``, ``declared`` and ``text`` (visible text) of each page; what is missing is NULL."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     suffix = F.regexp_extract("host", r"\.([a-z]+)$", 1)
-    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
-    return pages.select(
-        "page_id", F.nullif(host, F.lit("")).alias("host"), F.nullif(declared, F.lit("")).alias("declared"),
-        F.btrim(F.regexp_replace(bare, r"<[^>]*>|&[#\w]+;", " "), F.lit(BLANKS)).alias("text"),
-    ).withColumn("suffix", F.nullif(suffix, F.lit("")))
+    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", 1))
+    rows = pages.select("page_id", F.nullif(host, F.lit("")).alias("host"), F.nullif(declared, F.lit("")).alias("declared"), html.alias("html"))
+    rows = rows.withColumn("suffix", F.nullif(suffix, F.lit(""))).select("page_id", "host", "declared", "suffix", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([visible(h) for h in batch.column(4).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], text], names=["page_id", "host", "declared", "suffix", "text"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return arrow_map(rows, run, f"page_id {kind}, host string, declared string, suffix string, text string")
 
 
 def with_likelihoods(found: DataFrame, model: np.ndarray) -> DataFrame:
