@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -140,6 +141,21 @@ def test_a_task_holds_a_slice_of_a_group(spark, monkeypatch):
     assert met.select("x.id", "y.id").distinct().count() == met.count() == 4 * 3000
 
 
+@pytest.mark.parametrize("size", [1, 512])
+def test_members_far_from_their_centre_keep_their_links(spark, monkeypatch, size):
+    """Two signatures within the distance that meet under a centre which is like neither."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", size)
+    monkeypatch.setattr(minhash, "SLICE_ROWS", size)
+    rng = np.random.default_rng(4)
+    centre, x, z = (rng.integers(0, 1 << 16, minhash.SYMBOLS, dtype=np.uint16) for _ in range(3))
+    y = x.copy()
+    y[rng.choice(minhash.SYMBOLS, minhash.DISTANCE, replace=False)] ^= 1
+    rows = [(0, k, bytearray(centre.tobytes()), bytearray(m.tobytes())) for k, m in ((1, x), (2, y), (3, z))]
+    met = minhash._met(spark.createDataFrame(rows, "centre long, id long, s1 binary, s2 binary"))
+    assert not any(r["near"] for r in met.collect())
+    assert {tuple(r) for r in minhash._far_with_company(met).collect()} == {(0, 1), (0, 2)}
+
+
 @pytest.mark.parametrize("slice_rows,block_rows", [(2048, 512), (3, 2)])
 def test_a_group_in_slices_keeps_all_links(spark, monkeypatch, slice_rows, block_rows):
     monkeypatch.setattr(minhash, "SLICE_ROWS", slice_rows)
@@ -160,7 +176,7 @@ def test_a_group_in_slices_keeps_all_links(spark, monkeypatch, slice_rows, block
     got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
     want = linked_groups({i: shingles(t, 3) for i, t in rows}, 85)
     assert {i: r["component_id"] for i, r in got.items()} == want and len(set(want.values())) == 6
-    tasks = [r["count"] for r in held[0].groupBy("centre", "block", "slice").count().collect()]
+    tasks = [r["count"] for r in held[-1].groupBy("centre", "block", "slice").count().collect()]
     assert len(tasks) > 1 if slice_rows == 3 else tasks
 
 
@@ -243,6 +259,23 @@ def test_language_evidence(spark):
     assert {r["lang"] for r in langid.languages(frame, docs.limit(0)).collect()} == {None}
 
 
+def test_pages_of_openings_that_never_end():
+    for unit in ("<!--", "<script", "<script>", "<", "<html ", "&a", "</head", "<nav><head>"):
+        page = unit * (1_000_000 // len(unit))
+        begin = time.monotonic()
+        langid.visible(page)
+        assert time.monotonic() - begin < 5, unit
+    pages = ["a<!-- x -->b<script>no</SCRIPT >c", "a<head>no</nav></head><nav>z", "<!-- never <script>no</script> b < c", "", "x&amp;y > z"]
+    assert [langid.visible(p).split() for p in pages] == [["a", "b", "c"], ["a", "z"], ["<!--", "never", "b", "<", "c"], [], ["x", "y", ">", "z"]]
+
+
+def test_long_hostile_pages_in_a_table(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die", "de")], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(k, "http://a.example.de", u * (1_000_000 // len(u))) for k, u in enumerate(["<!--", "<html ", "<script>"])] * 2, "page_id long, url string, html string")
+    begin = time.monotonic()
+    assert langid.languages(pages, docs).count() == 6 and time.monotonic() - begin < 60
+
+
 # tokens
 
 
@@ -484,6 +517,24 @@ def test_small_edits_stay_near_and_others_do_not():
     assert fingerprint.likeness(a, b).mean() > 0.8 and fingerprint.likeness(a, np.roll(b, 1, axis=0)).max() < 0.3
 
 
+def test_every_segment_is_read_to_its_end():
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(4000))
+    points = np.frombuffer((text + "\0" * 16).encode("utf-32-le"), np.uint32)
+    begins, ends, _ = fingerprint._segments(points, np.array([0]), np.array([len(text)]))
+    # from the middle of each segment on, other characters: every segment shows it in some band, and most in all
+    other = points.copy()
+    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        other[b + (e - b) // 2 : e] += 1000
+    parted = fingerprint._embedded(points, begins, ends) != fingerprint._embedded(other, begins, ends)
+    assert parted[ends - begins >= 16].any(axis=1).all() and parted.mean() > 0.7
+    last = points.copy()  # the last quarter only
+    for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
+        last[e - (e - b) // 4 : e] += 1000
+    long = ends - begins >= 40
+    assert long.any() and (fingerprint._embedded(points, begins, ends) != fingerprint._embedded(last, begins, ends))[long].any(axis=1).all()
+
+
 def test_near_links(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)) for _ in range(6)]
