@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from hashmark.llm.hot import join_groups
 from hashmark.llm.tables import arrow_map, documents, labels, written
-from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, mix, words
+from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, words
 
 #: The context of a text's first word.
 EDGE = 0
 #: Weight of the unigram model in a bigram context, in words.
 BACKOFF = 50.0
-UNIT = 1e-9
+UNIT = 1e-6
 HOT_SHARES = 1 << 20
 COUNT_BYTES = 8 << 20
 
@@ -47,33 +47,54 @@ def _word_hashes(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.nd
         yield row, len(bounds) - 1, hashes(part, starts, lengths), rows
 
 
+#: The public constants of xxHash64.
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` makes of two longs."""
+    one, two, three, four, five = _PRIMES
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    h = np.full(len(first), 42, dtype=np.uint64)
+    for value in (first, second):
+        h = (h + five + np.uint64(8)) ^ (turned(value * two, 31) * one)
+        h = turned(h, 27) * one + four
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        h = h ^ h >> np.uint64(32)
+    return h
+
+
 def _bigrams(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The context of every word, and the hash of the two."""
     before = np.full(len(found), EDGE, dtype=np.uint64)
     inner = rows[1:] == rows[:-1]
     before[1:][inner] = found[:-1][inner]
-    return before, mix(before * np.uint64(0x9E3779B97F4A7C15) + found)
+    return before, pair_hashes(before, found)
 
 
 def bigram_counts(marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """``pair``, ``context``, ``word``, and how often it occurs in rows with ``target`` and in ``every`` row."""
+    """``context``, ``word``, and how often the bigram occurs in rows with ``target`` and in ``every`` row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
                 before, pairs = _bigrams(found, rows)
-                own, at, which, every = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-                target = np.bincount(which[marks[row + rows]], minlength=len(own))
-                columns = [x.view(np.int64) for x in (own, before[at], found[at])]
+                _, at, which, every = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+                target = np.bincount(which[marks[row + rows]], minlength=len(at))
+                columns = [x[at].view(np.int64) for x in (before, found)]
                 yield pa.RecordBatch.from_arrays(
                     [*map(pa.array, columns), pa.array(target.astype(np.int64)), pa.array(every.astype(np.int64))],
-                    names=["pair", "context", "word", "target", "every"],
+                    names=["context", "word", "target", "every"],
                 )
 
-    rows = arrow_map(marked.select(text_col, "target"), run, "pair long, context long, word long, target long, every long")
+    rows = arrow_map(marked.select(text_col, "target"), run, "context long, word long, target long, every long")
     sums = [F.sum(c).alias(c) for c in ("target", "every")]
-    return rows.groupBy("pair").agg(F.first("context").alias("context"), F.first("word").alias("word"), *sums)
+    return rows.groupBy("context", "word").agg(*sums)
 
 
 def losses(bigrams: DataFrame) -> DataFrame:
@@ -92,10 +113,11 @@ def losses(bigrams: DataFrame) -> DataFrame:
     def loss(counted: str) -> Column:
         start = (F.col(f"word_{counted}") + 1) / F.lit(float((whole[counted] or 0) + whole["known"]))
         chance = (F.col(counted) + BACKOFF * start) / (F.col(f"context_{counted}") + BACKOFF)
-        return F.round(F.log(chance) / F.lit(-UNIT)).cast("long")
+        return F.round(F.log(chance) / F.lit(-UNIT)).cast("int")
 
-    joined = join_groups(join_groups(bigrams, unigrams, ["word"], "word_rows"), contexts, ["context"], "context_rows")
-    return joined.select("pair", "every", loss("target").alias("target_loss"), loss("every").alias("background_loss"))
+    half = written(join_groups(bigrams, unigrams, ["word"], "word_rows").drop("word_rows"), "with-words")
+    joined = join_groups(half, contexts, ["context"], "context_rows")
+    return joined.select(F.xxhash64("context", "word").alias("pair"), "every", loss("target").alias("target_loss"), loss("every").alias("background_loss"))
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -143,10 +165,10 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
     """
     total = model.agg(F.sum("every")).first()[0] or 0
     most = model.filter(F.col("every") * F.lit(HOT_SHARES) >= F.lit(total)).select("pair", "target_loss", "background_loss").orderBy("pair").toArrow()
-    hot = tuple(most.column(k).to_numpy() for k in range(3))
+    hot = tuple(most.column(k).to_numpy().astype(np.int64) for k in range(3))
     read = written(_read(docs, hot, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts-read")
     rest = read.select("row", F.inline(F.arrays_zip("pairs", "times")).alias("pair", "times")).join(model.drop("every").hint("merge"), "pair")
-    sums = rest.groupBy("row").agg(*(F.sum(F.col("times") * F.col(c)).alias(f"rest_{c}") for c in ("target_loss", "background_loss")))
+    sums = rest.groupBy("row").agg(*(F.sum(F.col("times") * F.col(c).cast("long")).alias(f"rest_{c}") for c in ("target_loss", "background_loss")))
     joined = read.drop("pairs", "times").join(sums, "row", "left")
 
     def mean(of: str, hot_sum: str) -> Column:
@@ -161,7 +183,7 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
     """``score`` of ``docs`` against the target documents, whose ids ``good`` holds in ``id_col``."""
     marks = good.select(F.col(id_col)).distinct().withColumn("target", F.lit(True)).hint("merge")  # one plan at every size
     marked = docs.select(id_col, text_col).join(marks, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    bigrams = written(bigram_counts(marked, text_col), "bigrams")
+    bigrams = written(bigram_counts(written(marked.select(text_col, "target"), "marked"), text_col), "bigrams")
     return score(docs, written(losses(bigrams), "losses"), id_col, text_col)
 
 

@@ -478,6 +478,13 @@ def test_cross_entropy_difference(spark, monkeypatch, shares):
     assert lmscore.cross_entropy_difference(docs.limit(0), good).count() == 0
 
 
+def test_pair_hashes_are_those_of_spark(spark):
+    rng = np.random.default_rng(2)
+    some = rng.integers(0, 1 << 64, (2, 50), dtype=np.uint64)
+    rows = spark.createDataFrame([tuple(map(int, r)) for r in some.view(np.int64).T], "a long, b long").select(F.xxhash64("a", "b").alias("h"))
+    assert [r["h"] for r in rows.collect()] == lmscore.pair_hashes(*some).view(np.int64).tolist()
+
+
 def test_texts_that_differ_in_rare_words_only_get_scores_of_their_own(spark):
     common = " ".join(f"w{k % 50}" for k in range(200))
     docs = spark.createDataFrame([(k, f"{common} r{k} s{k} " * 3) for k in range(20)] + [(20, f"{common} r0 s0 " * 3)], "doc_id long, text string")
