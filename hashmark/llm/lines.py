@@ -3,8 +3,9 @@
 A line is the set of its words.  Lines with equal sets are one class, which stands where it occurs first.  The words of a
 line are ordered by rarity (by the number of digits of how often they occur in the corpus, then longer words first, then by
 hash), so that two lines with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
-room for the words they need in common (positional filter), and be of like size (length filter); a 64-bit parity sketch of
-the words bounds their difference as well.  What passes is verified on the full sets.
+room for the words they need in common (positional filter), and be of like size (length filter); a parity sketch of the
+words, of 64 bits and of 256 for lines of ``LONG`` words and more, bounds their difference as well.  What passes is verified
+on the full sets.
 
 A class that matches an earlier class is removed, as are all later lines of a class.  Every class is tried against the
 earliest class under each of its words first; only what that leaves is tried against all others, so a line with very many
@@ -17,6 +18,8 @@ unchanged.  Columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,12 @@ PERCENT = 80
 #: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.  It is a
 #: constant of several plans, whose text the driver keeps.
 SLOTS = 1 << 16
-#: 64-bit words of the sketch that candidates are held against before their sets are fetched; a power of two.
-WORDS_OF_SKETCH = 4
+#: From so many words on 64 bits tell two lines apart no longer: they may differ in 18 words, unlike sets differ in 32 bits or so.
+LONG = 80
+#: 64-bit parts of a long line's sketch besides the first, which is the sum of all; one less than a power of two.
+PARTS = ("part1", "part2", "part3")
+#: What a line is held against before its set is fetched.
+FILTERS = ("n", "parity", *PARTS)
 
 
 #: What names a line: the id of its document, a hash of the text where several texts have that id (else 0), and its number.
@@ -101,16 +108,16 @@ def _parity(found: Column | str) -> Column:
     return F.aggregate(found, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c)))
 
 
-def _wide_sketch(found: str) -> Column:
-    """``WORDS_OF_SKETCH`` parities, each of its share of the words; it tells longer lines apart."""
-    def part(k: int) -> Column:
-        return F.filter(found, lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(WORDS_OF_SKETCH - 1)) == k)
+def _part(found: str, k: int) -> Column:
+    """The parity of the ``k``-th share of the words; NULL for shorter lines.  All shares together make ``_parity``."""
+    def mine(c: Column) -> Column:
+        return F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(len(PARTS))) == k
 
-    return F.array(*(_parity(part(k)) for k in range(WORDS_OF_SKETCH)))
+    return F.when(F.size(found) >= LONG, F.aggregate(found, F.lit(0).cast("long"), lambda a, c: F.when(mine(c), a.bitwiseXOR(_bit(c))).otherwise(a)))
 
 
 def line_classes(docs: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each distinct set: the ``doc`` and ``line`` of its first occurrence, ``n`` words, ``parity`` and ``prefix``."""
+    """A row for each distinct set: the ``doc`` and ``line`` of its first occurrence, ``FILTERS`` and ``prefix``."""
     lines = (
         docs.filter(F.col(id_col).isNotNull())
         .select("doc", "tag", F.posexplode(_lines(F.col(text_col))).alias("line", "words"))
@@ -118,22 +125,25 @@ def line_classes(docs: DataFrame, levels: Column, percent: int, id_col: str, tex
         .select(*LINE, codes(F.col("words"), levels).alias("codes"))
     )
     n = F.size("codes")
-    parity = _parity("codes")
+    filters = [n.alias("n"), _parity("codes").alias("parity"), *(_part("codes", k).alias(p) for k, p in enumerate(PARTS, 1))]
     prefix = F.slice("codes", 1, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1)
     rows = lines.select(
         F.xxhash64("codes").alias("h1"), F.hash("codes").alias("h2"),
-        F.struct(*LINE, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")).alias("one"),
+        F.struct(*LINE, *filters, prefix.alias("prefix")).alias("one"),
     )
     return rows.groupBy("h1", "h2").agg(F.min("one").alias("one")).select("one.*")
 
 
 def _may_match(x: str, y: str, percent: int, positions: bool) -> Column:
-    """The length, parity and positional filters for two rows with ``n``, ``parity`` and the place ``at`` of a common word."""
+    """The length, parity and positional filters for two rows with ``FILTERS`` and the place ``at`` of a common word."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     # ceil(percent * (n + m) / (100 + percent)) words in common are needed
     need = F.expr(f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
     found = (100 * n >= percent * m) & (100 * m >= percent * n)
-    found &= F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= n + m - 2 * need
+    apart = [F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")) for p in ("parity", *PARTS)]
+    parts = [reduce(Column.bitwiseXOR, apart), *apart[1:]]
+    found &= F.bit_count(apart[0]) <= n + m - 2 * need
+    found &= F.coalesce(reduce(Column.__add__, map(F.bit_count, parts)) <= n + m - 2 * need, F.lit(True))
     if positions:
         found &= F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at")) >= need
     return found
@@ -147,24 +157,19 @@ def _verified(docs: DataFrame, pairs: DataFrame, levels: Column, percent: int, i
     texts = docs.select("doc", "tag", F.col(text_col).alias("text")).join(listed, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     split = texts.select("doc", "tag", "wanted", _lines(F.col("text")).alias("lines"))
     picked = split.select("doc", "tag", F.explode(F.expr("transform(wanted, i -> struct(i AS line, lines[i] AS words))")).alias("p"))
-    sets = written(picked.select("doc", "tag", "p.line", codes(F.col("p.words"), levels).alias("codes")).withColumn("sketch", _wide_sketch("codes")), "line-sets")
-    marks = sets.select(*LINE, F.size("codes").alias("n"), "sketch")
+    sets = written(picked.select("doc", "tag", "p.line", codes(F.col("p.words"), levels).alias("codes")), "line-sets")
     first, line0 = [F.col(c).alias(f"{c}0") for c in LINE], [f"{c}0" for c in LINE]
-    close = pairs.join(marks, list(LINE)).join(marks.select(*first, F.col("n").alias("n0"), F.col("sketch").alias("sketch0")), line0)
-    need = F.expr(f"({percent} * (n + n0) + {99 + percent}) div {100 + percent}")
-    apart = sum(F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch0")[k])) for k in range(WORDS_OF_SKETCH))
-    close = written(close.filter(apart <= F.col("n") + F.col("n0") - 2 * need).select(*pairs.columns), "line-close")
-    full = close.join(sets.select(*LINE, "codes"), list(LINE)).join(sets.select(*first, F.col("codes").alias("codes0")), line0)
+    full = pairs.join(sets, list(LINE)).join(sets.select(*first, F.col("codes").alias("codes0")), line0)
     both = F.size(F.array_intersect("codes", "codes0"))
     return full.filter(100 * both >= percent * (F.size("codes") + F.size("codes0") - both)).select(*LINE).distinct()
 
 
 def _near_first(docs: DataFrame, classes: DataFrame, levels: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Classes that are similar to the earliest class under one of their prefix words."""
-    entries = classes.select(*LINE, "n", "parity", F.explode("prefix").alias("code"))
-    first = entries.groupBy("code").agg(F.min(F.struct(*LINE, "n", "parity")).alias("x"), F.count("*").alias("entries"))
+    entries = classes.select(*LINE, *FILTERS, F.explode("prefix").alias("code"))
+    first = entries.groupBy("code").agg(F.min(F.struct(*LINE, *FILTERS)).alias("x"), F.count("*").alias("entries"))
     first = written(first.filter("entries > 1").select("code", "x"), "line-words")
-    met = entries.select("code", F.struct(*LINE, "n", "parity").alias("y")).join(first.hint("merge"), "code")
+    met = entries.select("code", F.struct(*LINE, *FILTERS).alias("y")).join(first.hint("merge"), "code")
     tried = met.filter(_earlier("x", "y") & _may_match("x", "y", percent, False)).select(
         *[f"y.{c}" for c in LINE], *[F.col(f"x.{c}").alias(f"{c}0") for c in LINE]
     )
@@ -179,7 +184,7 @@ def _others(classes: DataFrame, removed: DataFrame, percent: int) -> DataFrame:
     """
     gone = removed.withColumn("gone", F.lit(1)).hint("merge")
     marked = classes.join(gone, list(LINE), "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
-    rows = marked.select(*LINE, "n", "parity", "gone", F.posexplode("prefix").alias("at", "code"))
+    rows = marked.select(*LINE, *FILTERS, "gone", F.posexplode("prefix").alias("at", "code"))
     x, y = rows.alias("x"), rows.alias("y")
     open_y = F.col("x.gone") + 2 * F.col("y.gone") < 2
     pairs = y.join(x.hint("merge"), (F.col("x.code") == F.col("y.code")) & open_y & _earlier("x", "y") & _may_match("x", "y", percent, True))

@@ -378,6 +378,24 @@ def test_line_dedup(docs, rows, empty):
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
 
 
+def test_long_lines_are_told_apart_before_their_sets_are_read(spark):
+    """Lines of up to 300 words that share rare words, and near copies of them around the length from which sketches are wide."""
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (150, 200, 300) for _ in range(25)]
+    texts += [[f"v{k}" for k in range(n)] for n in (78, 79, 80, 84, 97, 98, 122)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    like, seen, removed = 0, [], {}
+    for k, t in rows:
+        found = [100 * len(set(t.split()) & x) >= 80 * len(set(t.split()) | x) for x in seen]
+        like, removed[k] = like + sum(found), any(found)
+        seen.append(set(t.split()))
+    classes = lines.line_classes(lines._tagged(docs, "doc_id", "text"), lines.rarity(docs), 80, "doc_id", "text")
+    tried = lines._others(classes, classes.select(*lines.LINE).limit(0), 80).count()
+    assert 0 < like <= tried <= like + 3  # far fewer than all pairs, of which the short sketch alone leaves most
+    assert {r["doc_id"]: r["n_removed"] == 1 for r in lines.dedup_lines(docs).collect()} == removed
+
+
 # repeats
 
 
