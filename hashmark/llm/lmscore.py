@@ -4,11 +4,15 @@ Both models are bigram models over one vocabulary: every word of the whole corpu
 background is all documents, the target those that the labels call good; counts cover every text of either.  A document's
 score is the mean over its words of target loss minus background loss, in nats: the lower, the closer to the target.
 
-Nothing about the corpus is cut off or collected whole: words, contexts and bigrams are tables that grow with it.  Tasks
-count the bigrams of a batch before they are shuffled; a bigram's two losses come from its own counts and those of its word
-and its context, joined so that no frequent word holds up a task.  A text is scored by the losses of its distinct bigrams.
-Those that make up at least one in ``HOT_SHARES`` of all (so never more than that many) are broadcast and looked up where
-the text is read; the others are joined, and none of them is frequent enough to be a hot key.
+Nothing about the corpus is cut off or collected whole.  The loss of a bigram is what its context costs, ``log(count of the
+context + BACKOFF)``, less what the bigram is worth, ``log(its count + BACKOFF * chance of its word)``.  A word costs as a
+context of what follows just where it occurs and is not the last of its text.  So every figure that a row of a text and a
+bigram needs belongs to the bigram or to its word: rows are dealt by word, each once, and counts are sums over runs of the sorted rows.  No table of
+bigrams and no join of rows is made.
+
+Words that make up at least one in ``HOT_SHARES`` of all (so never more than that many) are counted first and broadcast; their
+rows are dealt by bigram.  Bigrams as frequent as that are broadcast too, and added up where the text is read: those among the
+``HOT_SHARES`` that batches report most.  Whether a bigram is among them decides where it is counted, never what it counts.
 
 Words and bigrams are known by 64-bit hashes.  Losses are whole numbers of ``UNIT`` nats, so that sums do not depend on the
 order of rows.  NULL and blank texts have no words and NULL losses.  Labels that repeat count once, labels without a document
@@ -19,23 +23,29 @@ vocabulary only.  Columns besides the named ones are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashmark.llm.hot import join_groups
 from hashmark.llm.tables import arrow_map, documents, labels, written
-from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, words
+from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, mix, words
 
 #: The context of a text's first word.
 EDGE = 0
 #: Weight of the unigram model in a bigram context, in words.
 BACKOFF = 50.0
 UNIT = 1e-6
-HOT_SHARES = 1 << 20
+HOT_SHARES = 1 << 18
+#: What a batch reports as frequent occurs in it so many times at least.
+REPORTED = 8
 COUNT_BYTES = 8 << 20
+#: Keys are dealt in so many parts, one after the other, as their rows take more room than the texts.
+PASSES = 2
+#: Rows that a task passes on at once.
+ROWS = 1 << 17
 
 
 def _word_hashes(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,48 +86,68 @@ def _bigrams(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before, pair_hashes(before, found)
 
 
-def bigram_counts(marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """``context``, ``word``, and how often the bigram occurs in rows with ``target`` and in ``every`` row."""
+def _last(rows: np.ndarray) -> np.ndarray:
+    """Which words are the last of their text."""
+    last = np.ones(len(rows), dtype=bool)
+    last[:-1] = rows[1:] != rows[:-1]
+    return last
+
+
+#: For target and background: how often a word occurs, and how often with a word after it.
+COUNTS = ("target", "every", "target_before", "every_before")
+
+
+def word_counts(marked: DataFrame, shares: int) -> DataFrame:
+    """``COUNTS`` of each ``word``, and, with ``context``, how often batches report a bigram as ``every``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
+                mark, inner = marks[row + rows], ~_last(rows)
+                known, which = np.unique(found, return_inverse=True)
+                sums = [np.bincount(which[m], minlength=len(known)) for m in (mark, slice(None), mark & inner, inner)]
+                words_of = [pa.nulls(len(known), pa.int64()), pa.array(known.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)]
                 before, pairs = _bigrams(found, rows)
-                _, at, which, every = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-                target = np.bincount(which[marks[row + rows]], minlength=len(at))
-                columns = [x[at].view(np.int64) for x in (before, found)]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), pa.array(target.astype(np.int64)), pa.array(every.astype(np.int64))],
-                    names=["context", "word", "target", "every"],
-                )
+                _, at, times = np.unique(pairs, return_index=True, return_counts=True)
+                frequent = (times * shares >= len(found)) & (times >= REPORTED)
+                at, times = at[frequent], times[frequent]
+                none = pa.array(np.zeros(len(at), np.int64))
+                for columns in (words_of, [pa.array(before[at].view(np.int64)), pa.array(found[at].view(np.int64)), none, pa.array(times.astype(np.int64)), none, none]):
+                    yield pa.RecordBatch.from_arrays(columns, names=["context", "word", *COUNTS])
 
-    rows = arrow_map(marked.select(text_col, "target"), run, "context long, word long, target long, every long")
-    sums = [F.sum(c).alias(c) for c in ("target", "every")]
-    return rows.groupBy("context", "word").agg(*sums)
+    schema = "context long, word long, " + ", ".join(f"{c} long" for c in COUNTS)
+    return arrow_map(marked.select("text", "target"), run, schema).groupBy("context", "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def losses(bigrams: DataFrame) -> DataFrame:
-    """``pair``, ``every``, ``target_loss`` and ``background_loss`` of each bigram of the written table ``bigrams``.
+def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number stands in the sorted ``known``, and whether it does."""
+    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    return at, known[at] == asked if len(known) else np.zeros(len(asked), dtype=bool)
 
-    A loss is minus the log-probability: counts of the context, backed off to add-one unigrams.
-    """
 
-    def marginal(by: str, prefix: str) -> DataFrame:
-        sums = [F.sum(c).alias(f"{prefix}_{c}") for c in ("target", "every")]
-        return written(bigrams.groupBy(by).agg(*sums, F.count("*").alias(f"{prefix}_rows")), f"{prefix}-counts")
+def pair_counts(marked: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``target`` and ``every`` count of the bigrams whose hashes the sorted ``wanted`` holds, by their place ``at``."""
+    shared = marked.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        sums = np.zeros((2, len(known)), np.int64)
+        for batch in batches:
+            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
+                at, met = _found(known, _bigrams(found, rows)[1].view(np.int64))
+                for k, chosen in enumerate((met & marks[row + rows], met)):
+                    sums[k] += np.bincount(at[chosen], minlength=len(known))[: len(known)]
+        seen = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x[seen]) for x in sums)], names=["at", "target", "every"])
 
-    unigrams, contexts = marginal("word", "word"), marginal("context", "context")
-    whole = unigrams.agg(F.count("*").alias("known"), *(F.sum(f"word_{c}").alias(c) for c in ("target", "every"))).first()
+    rows = arrow_map(marked.select("text", "target"), run, "at long, target long, every long")
+    return rows.groupBy("at").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
 
-    def loss(counted: str) -> Column:
-        start = (F.col(f"word_{counted}") + 1) / F.lit(float((whole[counted] or 0) + whole["known"]))
-        chance = (F.col(counted) + BACKOFF * start) / (F.col(f"context_{counted}") + BACKOFF)
-        return F.round(F.log(chance) / F.lit(-UNIT)).cast("int")
 
-    half = written(join_groups(bigrams, unigrams, ["word"], "word_rows").drop("word_rows"), "with-words")
-    joined = join_groups(half, contexts, ["context"], "context_rows")
-    return joined.select(F.xxhash64("context", "word").alias("pair"), "every", loss("target").alias("target_loss"), loss("every").alias("background_loss"))
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.log(x) / UNIT).astype(np.int64)
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -125,66 +155,152 @@ def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total[edges[1:]] - total[edges[:-1]]
 
 
-def _read(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_words``, sums of the losses in ``hot``, and the other distinct bigrams of each text: ``pairs``, ``times``."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple[np.ndarray, ...], edge: list[int], turn: int) -> DataFrame:
+    """A row for each text and distinct bigram, which ``key`` deals: the word's hash, the bigram's for words in ``words_hot``.
+
+    ``hot`` is the word's place there, else -1, with the ``context``; ``mark`` is the text's row, whether the bigram ends it and
+    whether it is a target.  Bigrams in ``pairs_hot`` have no rows.  Each text has one more row, of which ``hot`` is -2: the losses
+    that are known already, and how many of its words had no rows.  Keys come in ``PASSES`` turns, texts with the first.
+    """
+    passes = PASSES
+    shared = marked.sparkSession.sparkContext.broadcast((words_hot, pairs_hot))
+    # what differs from row to row stands together, so that little of the rest is left when rows are compressed
+    schema = "times int, hot int, ready_target long, ready_every long, context long, key long, mark long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, *tables = shared.value
+        (known, *costs), (known_pairs, *worth) = shared.value
         for batch in batches:
-            for lo, n, found, rows in _word_hashes(batch.column(1), COUNT_BYTES):
-                pairs = _bigrams(found, rows)[1].view(np.int64)
-                order = np.lexsort((pairs, rows))
-                pairs, rows = pairs[order], rows[order]
-                count = np.bincount(rows, minlength=n)
-                edges = np.concatenate([[0], np.cumsum(count)])
-                at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
-                met = known[at] == pairs if len(known) else np.zeros(len(pairs), dtype=bool)
-                sums = [_sums(np.where(met, table[at], 0) if len(known) else np.zeros(len(pairs), np.int64), edges) for table in tables]
-                pairs, rows = pairs[~met], rows[~met]
-                first = np.ones(len(pairs), dtype=bool)
-                first[1:] = (pairs[1:] != pairs[:-1]) | (rows[1:] != rows[:-1])
+            marks = batch.column(2).to_numpy(zero_copy_only=False) * 4 + batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, n, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
+                before, pairs = (x.view(np.int64) for x in _bigrams(found, rows))
+                found, last = found.view(np.int64), _last(rows)
+                at, frequent = _found(known, found)
+                place, done = _found(known_pairs, pairs)
+                if turn == 0:
+                    edges = np.searchsorted(rows, np.arange(n + 1))
+                    ready = []
+                    for k in range(2):
+                        own = np.where(frequent & ~last, costs[k][at], 0) if len(known) else np.zeros(len(found), np.int64)
+                        own = own - np.where(done, worth[k][place], 0) if len(known_pairs) else own
+                        ready.append(_sums(own, edges) + edge[k] * (edges[1:] > edges[:-1]))
+                    passed, own = _sums(done.astype(np.int64), edges).astype(np.int32), marks[lo : lo + n]
+                    whole = [passed, np.full(n, -2, np.int32), *ready, np.zeros(n, np.int64), mix(own.astype(np.uint64)).view(np.int64), own]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, whole)], names=names)
+                keys = np.where(frequent, pairs, found)
+                left = np.flatnonzero(~done & (keys.view(np.uint64) % np.uint64(passes) == turn))
+                # the sort is stable: of equal bigrams texts stay in order
+                left = left[np.lexsort((pairs[left], found[left]))]
+                first = np.ones(len(left), dtype=bool)
+                first[1:] = np.logical_or.reduce([x[left[1:]] != x[left[:-1]] for x in (pairs, rows)])
                 begins = np.flatnonzero(first)
-                times = np.diff(np.append(begins, len(pairs))).astype(np.int32)
-                offsets = pa.array(np.searchsorted(rows[begins], np.arange(n + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(count.astype(np.int64)), *map(pa.array, sums),
-                     pa.ListArray.from_arrays(offsets, pa.array(pairs[begins])), pa.ListArray.from_arrays(offsets, pa.array(times))],
-                    names=["id", "n_words", "hot_target", "hot_background", "pairs", "times"],
-                )
+                if not len(begins):
+                    continue
+                times = np.diff(np.append(begins, len(left))).astype(np.int32)
+                ends, left = np.logical_or.reduceat(last[left], begins), left[begins]
+                hot = frequent[left]
+                columns = [
+                    pa.array(times), pa.array(np.where(hot, at[left], -1).astype(np.int32)), *[pa.array(np.zeros(len(left), np.int64))] * 2,
+                    pa.array(np.where(hot, 0, before[left])), pa.array(keys[left]), pa.array(marks[lo + rows[left]] + 2 * ends),
+                ]
+                whole = pa.RecordBatch.from_arrays(columns, names=names)
+                for k in range(0, len(left), ROWS):
+                    yield whole.slice(k, ROWS)
+
+    return arrow_map(marked.select("text", "target", "row"), run, schema)
+
+
+def _added(rows: DataFrame, hot_counts: list[np.ndarray], scale: list[float]) -> DataFrame:
+    """``row``, ``n_words`` and the losses so far, as ``target`` and ``every``, of rows of ``_read`` that are dealt by ``key`` and sorted.
+
+    A task sums what it has in hand; a key that may go on is kept for the next batch.  Keys have a share of ``HOT_SHARES`` at most.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(hot_counts)
+
+    def sums(part: list[np.ndarray]) -> pa.RecordBatch:
+        times, hot, *ready, context, key, mark = part
+        counts = shared.value
+        word = np.ones(len(key), dtype=bool)
+        # the hashes of a word and of a bigram might be equal
+        word[1:] = (key[1:] != key[:-1]) | (hot[1:] != hot[:-1])
+        pair = word.copy()
+        pair[1:] |= context[1:] != context[:-1]
+        at_word, at_pair = np.flatnonzero(word), np.flatnonzero(pair)
+        of_word, of_pair = np.cumsum(word) - 1, np.cumsum(pair) - 1
+        counted = np.where(hot == -2, 0, times)
+        before, place = counted - (mark >> 1 & 1), hot[at_word]
+        texts, which = np.unique(mark >> 2, return_inverse=True)
+        out = [np.bincount(which, times, len(texts))]
+        for k, own in enumerate((mark & 1, np.ones_like(mark))):
+            n_pair, n_word, n_before = (np.add.reduceat(x * own, at) for x, at in ((counted, at_pair), (counted, at_word), (before, at_word)))
+            if len(counts[k]):
+                n_word = np.where(place >= 0, counts[k][place], n_word)
+            worth = _units(n_pair + BACKOFF * (n_word[of_word[at_pair]] + 1) / scale[k])
+            cost = np.where(place >= 0, 0, _units(n_before + BACKOFF))
+            out.append(np.bincount(which, ready[k] + before * cost[of_word] - counted * worth[of_pair], len(texts)))
+        return pa.RecordBatch.from_arrays([pa.array(texts), *(pa.array(x.astype(np.int64)) for x in out)], names=["row", "n_words", "target", "every"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, hot_target long, hot_background long, pairs array<long>, times array<int>"
-    return arrow_map(docs.select(id_col, text_col), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy().astype(np.int64) for k in range(batch.num_columns)])
+            size += batch.num_rows
+            key = held[-1][5]
+            if size < 4 * ROWS or not len(key) or key[-1] == held[0][5][0]:
+                continue
+            part = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(part[5], key[-1]))
+            yield sums([x[:cut] for x in part])
+            held, size = [[x[cut:] for x in part]], len(part[5]) - cut
+        if size:
+            yield sums([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return arrow_map(rows, run, "row long, n_words long, target long, every long")
+
+
+def score(marked: DataFrame) -> DataFrame:
+    """``row``, ``n_words``, ``target_loss`` and ``background_loss`` of the written table ``marked``: ``row``, ``text``, ``target``."""
+    shares = HOT_SHARES
+    counted = written(word_counts(marked, shares), "word-counts", "zstd")
+    single = counted.filter(F.col("context").isNull())
+    whole = single.agg(F.count("*").alias("known"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
+    scale = [float(max(1, whole[c] + whole["known"])) for c in COUNTS[:2]]
+    most = single.filter(F.col("every") * F.lit(shares) >= F.lit(whole["every"])).drop("context")
+    common = most.orderBy("word").toArrow()
+    hot, *hot_counts = (common.column(c).to_numpy().astype(np.int64) for c in ("word", *COUNTS))
+    # as many texts have a first word as words have none after them
+    edge = [int(_units(np.array([whole[c] - whole[f"{c}_before"] + BACKOFF]))[0]) for c in COUNTS[:2]]
+
+    tried = counted.filter(F.col("context").isNotNull()).join(F.broadcast(most.select("word")), "word", "left_semi")
+    tried = tried.orderBy(F.desc("every"), "word", "context").limit(shares).select(F.xxhash64("context", "word").alias("pair"), "word").orderBy("pair").toArrow()
+    pair, word = (tried.column(c).to_numpy().astype(np.int64) for c in ("pair", "word"))
+    exact = pair_counts(marked, pair).filter(F.col("every") * F.lit(shares) >= F.lit(whole["every"])).orderBy("at").toArrow()
+    at, *times = (exact.column(c).to_numpy().astype(np.int64) for c in ("at", "target", "every"))
+    of = np.searchsorted(hot, word[at])
+    worth = [_units(n + BACKOFF * (hot_counts[k][of] + 1) / scale[k]) for k, n in enumerate(times)] if len(at) else [at, at]
+
+    costs = [_units(n + BACKOFF) for n in hot_counts[2:]]
+    totals, parts = [F.sum(c).alias(c) for c in ("n_words", "target", "every")], []
+    for turn in range(PASSES):
+        rows = _read(marked, (hot, *costs), (pair[at], *worth), edge, turn)
+        added = _added(rows.repartition("key").sortWithinPartitions("key", "hot", "context"), hot_counts[:2], scale)
+        parts.append(written(added.groupBy("row").agg(*totals), "text-sums"))
+    done = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*totals).withColumnsRenamed({"target": "target_loss", "every": "background_loss"})
+    means = [F.when(F.col("n_words") > 0, F.col(c) * F.lit(UNIT) / F.col("n_words")).alias(c) for c in ("target_loss", "background_loss")]
+    return done.select("row", "n_words", *means)
 
 
-def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_words``, ``target_loss``, ``background_loss`` and ``difference`` (means over words) of every row.
 
-    ``model``: the written ``losses`` of a corpus that holds all bigrams of ``docs``.
+    The target documents are those whose ids ``good`` holds in ``id_col``.
     """
-    total = model.agg(F.sum("every")).first()[0] or 0
-    most = model.filter(F.col("every") * F.lit(HOT_SHARES) >= F.lit(total)).select("pair", "target_loss", "background_loss").orderBy("pair").toArrow()
-    hot = tuple(most.column(k).to_numpy().astype(np.int64) for k in range(3))
-    read = written(_read(docs, hot, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts-read")
-    rest = read.select("row", F.inline(F.arrays_zip("pairs", "times")).alias("pair", "times")).join(model.drop("every").hint("merge"), "pair")
-    sums = rest.groupBy("row").agg(*(F.sum(F.col("times") * F.col(c).cast("long")).alias(f"rest_{c}") for c in ("target_loss", "background_loss")))
-    joined = read.drop("pairs", "times").join(sums, "row", "left")
-
-    def mean(of: str, hot_sum: str) -> Column:
-        whole = F.col(hot_sum) + F.coalesce(F.col(f"rest_{of}"), F.lit(0))
-        return F.when(F.col("n_words") > 0, whole * F.lit(UNIT) / F.col("n_words")).alias(of)
-
-    means = joined.select(F.col("id").alias(id_col), "n_words", mean("target_loss", "hot_target"), mean("background_loss", "hot_background"))
-    return means.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
-
-
-def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``score`` of ``docs`` against the target documents, whose ids ``good`` holds in ``id_col``."""
     marks = good.select(F.col(id_col)).distinct().withColumn("target", F.lit(True)).hint("merge")  # one plan at every size
     marked = docs.select(id_col, text_col).join(marks, id_col, "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    bigrams = written(bigram_counts(written(marked.select(text_col, "target"), "marked"), text_col), "bigrams")
-    return score(docs, written(losses(bigrams), "losses"), id_col, text_col)
+    marked = marked.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), "target")
+    marked = written(marked, "marked", "zstd")
+    means = score(marked).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    return marked.select("row", F.col("id").alias(id_col)).join(means.hint("merge"), "row").drop("row")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder: computed once, there after an executor is lost.
 
     The shuffle files of the job are of no further use and go when it ends, so that a chain of such steps needs the disk of
@@ -40,7 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

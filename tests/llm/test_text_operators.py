@@ -496,6 +496,17 @@ def test_cross_entropy_difference(spark, monkeypatch, shares):
     assert lmscore.cross_entropy_difference(docs.limit(0), good).count() == 0
 
 
+def test_no_table_of_bigrams_is_written(spark, monkeypatch):
+    """Nearly every bigram of a corpus occurs once: tables of them are larger than the texts."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(300)}" for _ in range(400))) for k in range(40)], "doc_id long, text string")
+    sizes, write = [], lmscore.written
+    monkeypatch.setattr(lmscore, "written", lambda df, label, *how: (out := write(df, label, *how), sizes.append(out.count()))[0])
+    got = lmscore.cross_entropy_difference(docs, docs.filter("doc_id < 5").select("doc_id")).collect()
+    assert len(got) == 40 and {r["n_words"] for r in got} == {400} and max(sizes) < 6000  # about 14,600 distinct bigrams, 300 words
+    assert max(r["difference"] for r in got if r["doc_id"] < 5) < min(r["difference"] for r in got if r["doc_id"] >= 5)
+
+
 def test_pair_hashes_are_those_of_spark(spark):
     rng = np.random.default_rng(2)
     some = rng.integers(0, 1 << 64, (2, 50), dtype=np.uint64)
