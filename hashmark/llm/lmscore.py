@@ -7,8 +7,8 @@ score is the mean over its words of target loss minus background loss, in nats:
 Nothing about the corpus is cut off or collected whole.  The loss of a bigram is what its context costs, ``log(count of the
 context + BACKOFF)``, less what the bigram is worth, ``log(its count + BACKOFF * chance of its word)``.  A word costs as a
 context of what follows just where it occurs and is not the last of its text.  So every figure that a row of a text and a
-bigram needs belongs to the bigram or to its word: rows are dealt by word, each once, and counts are sums over runs of the sorted rows.  No table of
-bigrams and no join of rows is made.
+bigram needs belongs to the bigram or to its word: rows are dealt by word, each once, and counts are sums over runs of the sorted rows.
+Each row then costs its text a loss, and Spark adds these up.  No table of bigrams and no join of rows is made.
 
 Words that make up at least one in ``HOT_SHARES`` of all (so never more than that many) are counted first and broadcast; their
 rows are dealt by bigram.  Bigrams as frequent as that are broadcast too, and added up where the text is read: those among the
@@ -44,6 +44,8 @@ REPORTED = 8
 COUNT_BYTES = 8 << 20
 #: Keys are dealt in so many parts, one after the other, as their rows take more room than the texts.
 PASSES = 2
+#: How much of a context's hash stands beside the rank of its word in a sort, at most.
+CONTEXT_BITS = 48
 #: Rows that a task passes on at once.
 ROWS = 1 << 17
 
@@ -159,13 +161,14 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
     """A row for each text and distinct bigram, which ``key`` deals: the word's hash, the bigram's for words in ``words_hot``.
 
     ``hot`` is the word's place there, else -1, with the ``context``; ``mark`` is the text's row, whether the bigram ends it and
-    whether it is a target.  Bigrams in ``pairs_hot`` have no rows.  Each text has one more row, of which ``hot`` is -2: the losses
-    that are known already, and how many of its words had no rows.  Keys come in ``PASSES`` turns, texts with the first.
+    whether it is a target.  Bigrams in ``pairs_hot`` have no rows.  Each text has two more rows, whose ``context`` is the loss that
+    is known already: the target's, of which ``hot`` is -2 and ``times`` how many of its words had no rows, and the background's,
+    -3.  Keys come in ``PASSES`` turns, texts with the first.
     """
     passes = PASSES
     shared = marked.sparkSession.sparkContext.broadcast((words_hot, pairs_hot))
     # what differs from row to row stands together, so that little of the rest is left when rows are compressed
-    schema = "times int, hot int, ready_target long, ready_every long, context long, key long, mark long"
+    schema = "times int, hot int, context long, key long, mark long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,12 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
                 before, pairs = (x.view(np.int64) for x in _bigrams(found, rows))
                 found, last = found.view(np.int64), _last(rows)
                 at, frequent = _found(known, found)
-                place, done = _found(known_pairs, pairs)
+                keys = np.where(frequent, pairs, found)
+                mine = keys.view(np.uint64) % np.uint64(passes) == turn
+                # a frequent bigram is one of a frequent word
+                asked = np.flatnonzero(frequent & (mine | (turn == 0)))
+                place, done = np.zeros(len(found), np.int64), np.zeros(len(found), dtype=bool)
+                place[asked], done[asked] = _found(known_pairs, pairs[asked])
                 if turn == 0:
                     edges = np.searchsorted(rows, np.arange(n + 1))
                     ready = []
@@ -185,12 +193,12 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
                         own = own - np.where(done, worth[k][place], 0) if len(known_pairs) else own
                         ready.append(_sums(own, edges) + edge[k] * (edges[1:] > edges[:-1]))
                     passed, own = _sums(done.astype(np.int64), edges).astype(np.int32), marks[lo : lo + n]
-                    whole = [passed, np.full(n, -2, np.int32), *ready, np.zeros(n, np.int64), mix(own.astype(np.uint64)).view(np.int64), own]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, whole)], names=names)
-                keys = np.where(frequent, pairs, found)
-                left = np.flatnonzero(~done & (keys.view(np.uint64) % np.uint64(passes) == turn))
+                    for k in range(2):
+                        whole = [passed * (1 - k), np.full(n, -2 - k, np.int32), ready[k], mix((own + 2 * k).astype(np.uint64)).view(np.int64), own]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, whole)], names=names)
+                left = np.flatnonzero(~done & mine)
                 # the sort is stable: of equal bigrams texts stay in order
-                left = left[np.lexsort((pairs[left], found[left]))]
+                left = left[np.argsort(pairs[left], kind="stable")]
                 first = np.ones(len(left), dtype=bool)
                 first[1:] = np.logical_or.reduce([x[left[1:]] != x[left[:-1]] for x in (pairs, rows)])
                 begins = np.flatnonzero(first)
@@ -200,7 +208,7 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
                 ends, left = np.logical_or.reduceat(last[left], begins), left[begins]
                 hot = frequent[left]
                 columns = [
-                    pa.array(times), pa.array(np.where(hot, at[left], -1).astype(np.int32)), *[pa.array(np.zeros(len(left), np.int64))] * 2,
+                    pa.array(times), pa.array(np.where(hot, at[left], -1).astype(np.int32)),
                     pa.array(np.where(hot, 0, before[left])), pa.array(keys[left]), pa.array(marks[lo + rows[left]] + 2 * ends),
                 ]
                 whole = pa.RecordBatch.from_arrays(columns, names=names)
@@ -210,15 +218,36 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
     return arrow_map(marked.select("text", "target", "row"), run, schema)
 
 
+def _sorted(key: np.ndarray, hot: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """An order by the sorted ``key``, in which rows with equal ``hot`` and ``context`` stand together; other keys' rows may not be mixed.
+
+    One number holds the key's rank and some bits of the context's hash.  Where these bits or the keys of words and bigrams
+    clash, all columns are sorted.
+    """
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    rank = np.cumsum(new).astype(np.uint64)
+    bits = min(CONTEXT_BITS, 64 - len(key).bit_length())
+    both = rank << np.uint64(bits) | mix(context.view(np.uint64)) >> np.uint64(64 - bits)
+    order = np.argsort(both)
+    both, in_order = both[order], context[order]
+    clash = (both[1:] == both[:-1]) & (in_order[1:] != in_order[:-1])
+    if clash.any() or (~new[1:] & (hot[1:] != hot[:-1])).any():
+        return np.lexsort((context, hot, key))
+    return order
+
+
 def _added(rows: DataFrame, hot_counts: list[np.ndarray], scale: list[float]) -> DataFrame:
-    """``row``, ``n_words`` and the losses so far, as ``target`` and ``every``, of rows of ``_read`` that are dealt by ``key`` and sorted.
+    """``row``, ``n_words`` and the losses as ``target`` and ``every`` of each row of ``_read``; these are dealt and sorted by ``key``.
 
-    A task sums what it has in hand; a key that may go on is kept for the next batch.  Keys have a share of ``HOT_SHARES`` at most.
+    There is one row for each that comes in; Spark sums them by text, before its exchange where a task holds several of a text.
+    A key that may go on is kept for the next batch.  Keys have a share of ``HOT_SHARES`` at most.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot_counts)
 
-    def sums(part: list[np.ndarray]) -> pa.RecordBatch:
-        times, hot, *ready, context, key, mark = part
+    def losses(part: list[np.ndarray]) -> pa.RecordBatch:
+        order = _sorted(part[3], part[1], part[2])
+        times, hot, context, key, mark = (x[order] for x in part)
         counts = shared.value
         word = np.ones(len(key), dtype=bool)
         # the hashes of a word and of a bigram might be equal
@@ -227,33 +256,38 @@ def _added(rows: DataFrame, hot_counts: list[np.ndarray], scale: list[float]) ->
         pair[1:] |= context[1:] != context[:-1]
         at_word, at_pair = np.flatnonzero(word), np.flatnonzero(pair)
         of_word, of_pair = np.cumsum(word) - 1, np.cumsum(pair) - 1
-        counted = np.where(hot == -2, 0, times)
+        counted = np.where(hot < -1, 0, times)
         before, place = counted - (mark >> 1 & 1), hot[at_word]
-        texts, which = np.unique(mark >> 2, return_inverse=True)
-        out = [np.bincount(which, times, len(texts))]
+        spot = np.maximum(place, 0)
+        out = [mark >> 2, times]
         for k, own in enumerate((mark & 1, np.ones_like(mark))):
             n_pair, n_word, n_before = (np.add.reduceat(x * own, at) for x, at in ((counted, at_pair), (counted, at_word), (before, at_word)))
             if len(counts[k]):
-                n_word = np.where(place >= 0, counts[k][place], n_word)
+                n_word = np.where(place >= 0, counts[k][spot], n_word)
             worth = _units(n_pair + BACKOFF * (n_word[of_word[at_pair]] + 1) / scale[k])
             cost = np.where(place >= 0, 0, _units(n_before + BACKOFF))
-            out.append(np.bincount(which, ready[k] + before * cost[of_word] - counted * worth[of_pair], len(texts)))
-        return pa.RecordBatch.from_arrays([pa.array(texts), *(pa.array(x.astype(np.int64)) for x in out)], names=["row", "n_words", "target", "every"])
+            out.append(np.where(hot == -2 - k, context, before * cost[of_word] - counted * worth[of_pair]))
+        return pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["row", "n_words", "target", "every"])
+
+    def in_slices(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        whole = losses(part)
+        for k in range(0, whole.num_rows, ROWS):
+            yield whole.slice(k, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append([batch.column(k).to_numpy().astype(np.int64) for k in range(batch.num_columns)])
             size += batch.num_rows
-            key = held[-1][5]
-            if size < 4 * ROWS or not len(key) or key[-1] == held[0][5][0]:
+            key = held[-1][3]
+            if size < 4 * ROWS or not len(key) or key[-1] == held[0][3][0]:
                 continue
             part = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(part[5], key[-1]))
-            yield sums([x[:cut] for x in part])
-            held, size = [[x[cut:] for x in part]], len(part[5]) - cut
+            cut = int(np.searchsorted(part[3], key[-1]))
+            yield from in_slices([x[:cut] for x in part])
+            held, size = [[x[cut:] for x in part]], len(part[3]) - cut
         if size:
-            yield sums([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from in_slices([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return arrow_map(rows, run, "row long, n_words long, target long, every long")
 
@@ -283,7 +317,7 @@ def score(marked: DataFrame) -> DataFrame:
     totals, parts = [F.sum(c).alias(c) for c in ("n_words", "target", "every")], []
     for turn in range(PASSES):
         rows = _read(marked, (hot, *costs), (pair[at], *worth), edge, turn)
-        added = _added(rows.repartition("key").sortWithinPartitions("key", "hot", "context"), hot_counts[:2], scale)
+        added = _added(rows.repartition("key").sortWithinPartitions("key"), hot_counts[:2], scale)
         parts.append(written(added.groupBy("row").agg(*totals), "text-sums"))
     done = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*totals).withColumnsRenamed({"target": "target_loss", "every": "background_loss"})
     means = [F.when(F.col("n_words") > 0, F.col(c) * F.lit(UNIT) / F.col("n_words")).alias(c) for c in ("target_loss", "background_loss")]

@@ -507,6 +507,39 @@ def test_no_table_of_bigrams_is_written(spark, monkeypatch):
     assert max(r["difference"] for r in got if r["doc_id"] < 5) < min(r["difference"] for r in got if r["doc_id"] >= 5)
 
 
+def test_losses_are_one_row_for_each_row_dealt(spark, monkeypatch):
+    """What a task has in hand holds each of few texts many times, of many texts hardly one twice: sums of it would grow faster than the input."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(300)}" for _ in range(100))) for k in range(60)], "doc_id long, text string")
+    made, added = [], lmscore._added
+
+    def counted(rows, *how):
+        out = added(rows, *how)
+        made.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(lmscore, "_added", counted)
+    for n in (12, 60):
+        lmscore.cross_entropy_difference(docs.filter(F.col("doc_id") < n), docs.filter("doc_id < 5").select("doc_id"))
+    assert all(came == went for came, went in made)
+    small, large = (sum(went for _, went in x) for x in (made[: len(made) // 2], made[len(made) // 2 :]))
+    assert small > 600 and 4 < large / small < 6
+
+
+@pytest.mark.parametrize("bits", [1, 48])
+def test_bigrams_of_a_word_stand_together(monkeypatch, bits):
+    monkeypatch.setattr(lmscore, "CONTEXT_BITS", bits)
+    rng = np.random.default_rng(5)
+    for clash in (0, 1):  # the hashes of a word and of a bigram may be equal
+        key = np.sort(rng.integers(-9, 9, 400))
+        context, hot = rng.integers(-5, 5, 400), np.where(key % 2 == 0, -1, rng.integers(3, 4 + clash, 400))
+        order = lmscore._sorted(key, hot, context)
+        whole = list(zip(key[order].tolist(), hot[order].tolist(), context[order].tolist(), strict=True))
+        assert sorted(order.tolist()) == list(range(400)) and key[order].tolist() == key.tolist()
+        for width in (2, 3):
+            assert sum(a[:width] != b[:width] for a, b in zip(whole, whole[1:])) + 1 == len({r[:width] for r in whole})
+
+
 def test_pair_hashes_are_those_of_spark(spark):
     rng = np.random.default_rng(2)
     some = rng.integers(0, 1 << 64, (2, 50), dtype=np.uint64)
