@@ -7,14 +7,12 @@ earlier batches said about it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hashmark.operators.market import latest_quotes
 from hashmark.operators.periods import PARTS, merge_parts, period_parts, stats_from_parts
@@ -129,39 +127,21 @@ def stream_closing_quote(
 ) -> DataFrame:
     """The closing quote of every game, once, when event time passes its kickoff (append mode); then its state is gone.
 
-    State is the newest quote at or before kickoff of games that have not begun: one row a game, however many quotes a trigger
-    brings.  A quote after kickoff is ignored, one that is later than ``delay`` behind the newest is dropped by the watermark.
+    A quote opens a session of its game that lasts until kickoff, so all quotes of a game are one session, however many a
+    trigger brings, and state is the newest quote of games that have not begun: one row a game.  A quote after kickoff is
+    ignored, one of a game that has closed is dropped by the watermark, ``delay`` behind the newest quote.  Where the kickoff
+    is moved before it has passed, the game closes at the last one named.
     """
-    fields = [quotes.schema[c] for c in (game, *columns)]
-    ranks = [f"__r{i}" for i in range(len(tie_break))]
     # quotes after a kickoff advance event time too, so the filter has to stay above the watermark: it names its column
     timed = quotes.withColumn("__event", F.col(ts).cast("timestamp")).withWatermark("__event", delay)
-    early = timed.filter(F.col(game).isNotNull() & (F.col("__event") <= F.col(kickoff).cast("timestamp")))
-    narrow = early.select(
-        game, *columns, F.unix_micros("__event").alias("__ts"), *[F.col(c).alias(r) for c, r in zip(tie_break, ranks)],
-        F.unix_millis(F.col(kickoff).cast("timestamp")).alias("__close"), "__event",
-    )
-    state = T.StructType([narrow.schema[c] for c in ("__ts", *ranks, *columns, "__close")])
-    out = T.StructType([fields[0], T.StructField("__ts", T.LongType()), *fields[1:]])
-    n_rank = 1 + len(ranks)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            best = tuple(held.get)
-            held.remove()
-            yield pd.DataFrame([[*key, best[0], *best[n_rank:-1]]], columns=out.names)
-            return
-        best = tuple(held.get) if held.exists else None
-        for frame in frames:
-            for row in frame[state.names].itertuples(index=False, name=None):
-                if best is None or row[:n_rank] > best[:n_rank]:
-                    best = row
-        held.update(best)
-        # a game whose kickoff has already passed closes with the next trigger
-        held.setTimeoutTimestamp(max(best[-1], held.getCurrentWatermarkMs() + 1))
-
-    closed = narrow.groupBy(game).applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-    return closed.select(game, F.timestamp_micros("__ts").alias(ts), *columns)
+    begins = F.col(kickoff).cast("timestamp")
+    early = timed.filter(F.col(game).isNotNull() & (F.col("__event") <= begins))
+    # a session ends before its end: a quote at kickoff belongs to it
+    left = (F.unix_micros(begins) - F.unix_micros("__event") + 1).cast("decimal(20, 0)") / F.lit(1000000).cast("decimal(7, 0)")
+    until_kickoff = F.session_window("__event", F.make_interval(secs=left.cast("decimal(18, 6)")))
+    newest = F.max_by(F.struct(F.unix_micros("__event").alias("__ts"), *columns), F.struct("__event", *tie_break))
+    closed = early.groupBy(game, until_kickoff).agg(newest.alias("__newest"))
+    return closed.select(game, F.timestamp_micros("__newest.__ts").alias(ts), *[F.col(f"__newest.{c}").alias(c) for c in columns])
 
 
 def start_upsert_table(

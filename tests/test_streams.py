@@ -130,3 +130,30 @@ def test_change_tables_are_folded(spark, tmp_path):
     assert len([p for p in target.iterdir() if p.name.startswith(("batch=", "fold="))]) <= 8
     with pytest.raises(FileNotFoundError):
         incremental.read_changes(spark, str(tmp_path / "nothing"))
+
+
+def test_closing_quotes_of_moved_games_and_missing_tie_breaks(spark, tmp_path):
+    """Games close at the last kickoff named, late quotes of open games count, and no game costs a call of Python."""
+    def at(hours):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+
+    schema = "game_id int, ts timestamp, event_id int, line double, kickoff timestamp"
+    source = str(tmp_path / "in")
+    files = [
+        # game 1 is put off from hour 4 to hour 9, game 2 begins at hour 5, game 3 closes with a quote at its kickoff
+        [(1, at(1), 1, 1.0, at(4)), (2, at(1), None, 2.0, at(5)), (2, at(1), 7, 2.5, at(5)), (3, at(1), 2, 3.0, at(2)), (3, at(2), None, 3.5, at(2))],
+        [(1, at(3), 3, 1.5, at(9)), (2, at(3), 3, None, at(5)), (0, at(4.5), 1, 0.0, at(1))],
+        # hours behind the newest quote, but before its kickoff; game 3 has closed
+        [(1, at(3.5), 3, 1.8, at(9)), (3, at(1.5), 9, 9.9, at(2))],
+        [(1, at(9.5), 4, 9.9, at(9)), (0, at(10), 1, 0.0, at(1))],
+    ]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{source}/f{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    closing = incremental.stream_closing_quote(stream, "kickoff", tie_break=["event_id"], delay="10 minutes")
+    assert "Python" not in closing._jdf.queryExecution().analyzed().toString() and "Pandas" not in closing._jdf.queryExecution().analyzed().toString()
+    query = closing.writeStream.outputMode("append").format("memory").queryName("moved").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.table("moved").collect())
+    assert got == [(1, at(3.5), 1.8), (2, at(3), None), (3, at(2), 3.5)]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
