@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words.  Lines with equal sets are one class, which stands where it occurs first.  The words of a
-line are ordered by rarity (by the number of digits of how often they occur in the corpus, then longer words first, then by
-hash), so that two lines with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
+line are ordered by rarity (by the number of digits of how often they occur in the corpus, then longer words first, by bytes,
+then by hash), so that two lines with a Jaccard similarity of ``PERCENT`` % must share one of the first words of either (prefix filter), at places that leave
 room for the words they need in common (positional filter), and be of like size (length filter); a parity sketch of the
 words, of 64 bits and of 256 for lines of ``LONG`` words and more, bounds their difference as well.  What passes is verified
 on the full sets.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hashmark.llm.tables import BLANKS, documents, word_array, written
 
 PERCENT = 80
-#: Hash slots whose occurrences order the words: what is collected has this size in bytes, at any size of the corpus.  It is a
+#: Hash slots whose occurrences order the words: what is collected has two or three bytes for each, at any size of the corpus.  It is a
 #: constant of several plans, whose text the driver keeps.
 SLOTS = 1 << 16
 #: From so many words on 64 bits tell two lines apart no longer: they may differ in 18 words, unlike sets differ in 32 bits or so.
@@ -67,36 +67,43 @@ def _has_words(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS)) != ""
 
 
+def _words(line: Column) -> Column:
+    """The words of a line; lines without other blanks are cut at spaces, which takes no regular expression."""
+    odd = reduce(Column.__or__, [line.contains(c) for c in BLANKS if c != " "])
+    return F.when(odd, word_array(line)).otherwise(F.array_remove(F.split(line, " "), ""))
+
+
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """A constant of one byte for each hash slot: how many binary digits the number of its words has, from ``0`` up.
+    """A constant array, a number for each hash slot: how many binary digits the number of its words has.
 
     Where a corpus has fewer distinct words than slots, a slot tells how often one word occurs, within a factor of two; where it
     has more, a word counts as often as all words of its slot, so rare words are told apart less well.  Any order is exact.
     """
     spark = docs.sparkSession
-    words = docs.select(F.explode(word_array(F.col(text_col))).alias("w")).select(_slot(F.col("w")).alias("slot"))
+    words = docs.select(F.explode(_lines(F.col(text_col))).alias("words")).select(F.explode(_words(F.col("words"))).alias("w"))
+    words = words.select(_slot(F.xxhash64("w")).alias("slot"))
     level = F.length(F.bin(F.coalesce("count", F.lit(0)))).alias("level")
     counted = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(words.groupBy("slot").count(), "slot", "left")
-    digits = counted.select("slot", F.char(level + 48).alias("digit")).groupBy(F.shiftright("slot", 12).alias("chunk")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "digit"))), lambda x: x["digit"]), "").alias("digits")
+    digits = counted.select("slot", level.cast("string").alias("digit")).groupBy(F.shiftright("slot", 12).alias("chunk")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "digit"))), lambda x: x["digit"]), ",").alias("digits")
     )
     chunks = {r["chunk"]: r["digits"] for r in digits.collect()}
-    return F.lit("".join(chunks[k] for k in sorted(chunks)).encode())
+    return F.split(F.lit(",".join(chunks[k] for k in sorted(chunks))), ",").cast("array<tinyint>")
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def codes(line: Column, levels: Column) -> Column:
     """The distinct words of a line as sorted numbers: six bits of frequency, six of shortness, then 51 of the hash."""
 
     def code(word: Column) -> Column:
-        level = F.ascii(F.substring(levels, _slot(word) + 1, F.lit(1)).cast("string")) - 48
-        short = 63 - F.least(F.char_length(word), F.lit(63))
-        return F.shiftleft((64 * level + short).cast("long"), 51).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 13))
+        hashed = F.xxhash64(word)
+        order = 64 * F.get(levels, _slot(hashed)).cast("int") + 63 - F.least(F.octet_length(word), F.lit(63))
+        return F.shiftleft(order.cast("long"), 51).bitwiseOR(F.shiftrightunsigned(hashed, 13))
 
-    return F.sort_array(F.transform(F.array_distinct(word_array(line)), code))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
 
 
 def _bit(code: Column) -> Column:

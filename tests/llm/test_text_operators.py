@@ -396,6 +396,16 @@ def test_long_lines_are_told_apart_before_their_sets_are_read(spark):
     assert {r["doc_id"]: r["n_removed"] == 1 for r in lines.dedup_lines(docs).collect()} == removed
 
 
+
+def test_words_of_a_line_are_cut_without_regular_expressions(spark):
+    texts = ["", " ", "a", " a  b ", "a\tb", "\ta \x0b", "a\x0cb c\r", "a\u00a0b c\u2003d", "\x1c a", "a b a", "a\r\tb  "]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    got = df.select("k", lines._words(F.col("text")).alias("w"), lines.codes(F.col("text"), lines.rarity(df)).alias("codes")).collect()
+    assert {r["k"]: r["w"] for r in got} == {k: split(t) for k, t in rows}
+    assert all(len(r["codes"]) == len(set(r["w"])) and r["codes"] == sorted(r["codes"]) for r in got)
+
+
 # repeats
 
 
