@@ -130,7 +130,8 @@ def stream_closing_quote(
     A quote opens a session of its game that lasts until kickoff, so all quotes of a game are one session, however many a
     trigger brings, and state is the newest quote of games that have not begun: one row a game.  A quote after kickoff is
     ignored, one of a game that has closed is dropped by the watermark, ``delay`` behind the newest quote.  Where the kickoff
-    is moved before it has passed, the game closes at the last one named.
+    is moved before it has passed, the game closes at the latest one named; one that is named after a kickoff has passed opens
+    the game anew.
     """
     # quotes after a kickoff advance event time too, so the filter has to stay above the watermark: it names its column
     timed = quotes.withColumn("__event", F.col(ts).cast("timestamp")).withWatermark("__event", delay)
