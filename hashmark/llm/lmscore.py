@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashmark.llm.tables import arrow_map, documents, labels, written
-from hashmark.llm.textbytes import LOWER, chunks, flat, hashes, mix, words
+from hashmark.llm.textbytes import chunks, flat, hashes, lowered, mix, words
 
 #: The context of a text's first word.
 EDGE = 0
@@ -48,13 +48,15 @@ PASSES = 2
 CONTEXT_BITS = 48
 #: Rows that a task passes on at once.
 ROWS = 1 << 17
+#: Pairs are hashed in blocks that stay in a core's cache.
+BLOCK = 1 << 14
 
 
 def _word_hashes(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, number of rows, word hashes and their rows, for consecutive rows of a string column."""
     data, offsets = flat(column)
     for row, part, bounds in chunks(data, offsets, limit):
-        part = LOWER[part]
+        part = lowered(part)
         starts, lengths, rows = words(part, bounds)
         yield row, len(bounds) - 1, hashes(part, starts, lengths), rows
 
@@ -70,14 +72,27 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     def turned(x: np.ndarray, by: int) -> np.ndarray:
         return x << np.uint64(by) | x >> np.uint64(64 - by)
 
-    h = np.full(len(first), 42, dtype=np.uint64)
-    for value in (first, second):
-        h = (h + five + np.uint64(8)) ^ (turned(value * two, 31) * one)
-        h = turned(h, 27) * one + four
-        h = (h ^ h >> np.uint64(33)) * two
-        h = (h ^ h >> np.uint64(29)) * three
-        h = h ^ h >> np.uint64(32)
-    return h
+    out = np.full(len(first), 42, dtype=np.uint64)
+    for k in range(0, len(out), BLOCK):
+        h = out[k : k + BLOCK]
+        for value in (first, second):
+            h = (h + five + np.uint64(8)) ^ (turned(value[k : k + BLOCK] * two, 31) * one)
+            h = turned(h, 27) * one + four
+            h = (h ^ h >> np.uint64(33)) * two
+            h = (h ^ h >> np.uint64(29)) * three
+            h = h ^ h >> np.uint64(32)
+        out[k : k + BLOCK] = h
+    return out
+
+
+def _in_runs(values: np.ndarray) -> np.ndarray:
+    """An order by hashes in which equal ones stand together, as they come; numbers are sorted, not places.
+
+    A number is a hash whose last bits give way to its place.  Where hashes agree in all other bits, which is rare, their runs
+    may be torn: what is made of the runs has to be sums.
+    """
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    return (np.sort(values.view(np.uint64) & ~low | np.arange(len(values), dtype=np.uint64)) & low).view(np.int64)
 
 
 def _bigrams(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +110,21 @@ def _last(rows: np.ndarray) -> np.ndarray:
     return last
 
 
+def _often(pairs: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a bigram stands first that is as frequent as is reported, and how often it occurs."""
+    in_order = np.sort(pairs)
+    begins = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+    times = np.diff(np.append(begins, len(pairs)))
+    frequent = (times * shares >= len(pairs)) & (times >= REPORTED)
+    often, times = in_order[begins[frequent]], times[frequent]
+    seen = _held(often, pairs)
+    at, met = _found(often, pairs[seen])
+    first = np.zeros(len(often), np.int64)
+    # of equal places the last one written stays
+    first[at[met][::-1]] = seen[met][::-1]
+    return first, times
+
+
 #: For target and background: how often a word occurs, and how often with a word after it.
 COUNTS = ("target", "every", "target_before", "every_before")
 
@@ -107,13 +137,16 @@ def word_counts(marked: DataFrame, shares: int) -> DataFrame:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
                 mark, inner = marks[row + rows], ~_last(rows)
-                known, which = np.unique(found, return_inverse=True)
-                sums = [np.bincount(which[m], minlength=len(known)) for m in (mark, slice(None), mark & inner, inner)]
-                words_of = [pa.nulls(len(known), pa.int64()), pa.array(known.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)]
+                if not len(found):
+                    continue
+                order = _in_runs(found)
+                in_order, mark, inner = found[order], mark[order], inner[order]
+                begins = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+                known, every = in_order[begins], np.diff(np.append(begins, len(found)))
+                sums = (np.add.reduceat(mark, begins, dtype=np.int64), every, *(np.add.reduceat(m, begins, dtype=np.int64) for m in (mark & inner, inner)))
+                words_of = [pa.nulls(len(known), pa.int64()), pa.array(known.view(np.int64)), *(pa.array(x) for x in sums)]
                 before, pairs = _bigrams(found, rows)
-                _, at, times = np.unique(pairs, return_index=True, return_counts=True)
-                frequent = (times * shares >= len(found)) & (times >= REPORTED)
-                at, times = at[frequent], times[frequent]
+                at, times = _often(pairs, shares)
                 none = pa.array(np.zeros(len(at), np.int64))
                 for columns in (words_of, [pa.array(before[at].view(np.int64)), pa.array(found[at].view(np.int64)), none, pa.array(times.astype(np.int64)), none, none]):
                     yield pa.RecordBatch.from_arrays(columns, names=["context", "word", *COUNTS])
@@ -128,6 +161,14 @@ def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, known[at] == asked if len(known) else np.zeros(len(asked), dtype=bool)
 
 
+def _held(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places in ``asked`` of all hashes that ``known`` holds, and of some others: those alike in their first bits."""
+    bits = min(20, len(known).bit_length() + 4)
+    marked = np.zeros(1 << bits, dtype=bool)
+    marked[known.view(np.uint64) >> np.uint64(64 - bits)] = True
+    return np.flatnonzero(marked[asked.view(np.uint64) >> np.uint64(64 - bits)])
+
+
 def pair_counts(marked: DataFrame, wanted: np.ndarray) -> DataFrame:
     """``target`` and ``every`` count of the bigrams whose hashes the sorted ``wanted`` holds, by their place ``at``."""
     shared = marked.sparkSession.sparkContext.broadcast(wanted)
@@ -138,8 +179,10 @@ def pair_counts(marked: DataFrame, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, _, found, rows in _word_hashes(batch.column(0), COUNT_BYTES):
-                at, met = _found(known, _bigrams(found, rows)[1].view(np.int64))
-                for k, chosen in enumerate((met & marks[row + rows], met)):
+                pairs = _bigrams(found, rows)[1].view(np.int64)
+                seen = _held(known, pairs)
+                at, met = _found(known, pairs[seen])
+                for k, chosen in enumerate((met & marks[row + rows[seen]], met)):
                     sums[k] += np.bincount(at[chosen], minlength=len(known))[: len(known)]
         seen = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x[seen]) for x in sums)], names=["at", "target", "every"])
@@ -163,12 +206,12 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
     ``hot`` is the word's place there, else -1, with the ``context``; ``mark`` is the text's row, whether the bigram ends it and
     whether it is a target.  Bigrams in ``pairs_hot`` have no rows.  Each text has two more rows, whose ``context`` is the loss that
     is known already: the target's, of which ``hot`` is -2 and ``times`` how many of its words had no rows, and the background's,
-    -3.  Keys come in ``PASSES`` turns, texts with the first.
+    -3.  ``hot`` and ``times`` share the number ``count``.  Keys come in ``PASSES`` turns, texts with the first.
     """
     passes = PASSES
     shared = marked.sparkSession.sparkContext.broadcast((words_hot, pairs_hot))
     # what differs from row to row stands together, so that little of the rest is left when rows are compressed
-    schema = "times int, hot int, context long, key long, mark long"
+    schema = "count long, context long, key long, mark long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,24 +235,23 @@ def _read(marked: DataFrame, words_hot: tuple[np.ndarray, ...], pairs_hot: tuple
                         own = np.where(frequent & ~last, costs[k][at], 0) if len(known) else np.zeros(len(found), np.int64)
                         own = own - np.where(done, worth[k][place], 0) if len(known_pairs) else own
                         ready.append(_sums(own, edges) + edge[k] * (edges[1:] > edges[:-1]))
-                    passed, own = _sums(done.astype(np.int64), edges).astype(np.int32), marks[lo : lo + n]
+                    passed, own = _sums(done.astype(np.int64), edges), marks[lo : lo + n]
                     for k in range(2):
-                        whole = [passed * (1 - k), np.full(n, -2 - k, np.int32), ready[k], mix((own + 2 * k).astype(np.uint64)).view(np.int64), own]
+                        whole = [passed * (1 - k) | (-2 - k) << 32, ready[k], mix((own + 2 * k).astype(np.uint64)).view(np.int64), own]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, whole)], names=names)
                 left = np.flatnonzero(~done & mine)
-                # the sort is stable: of equal bigrams texts stay in order
-                left = left[np.argsort(pairs[left], kind="stable")]
+                # of equal bigrams texts stay in order
+                left = left[_in_runs(pairs[left])]
                 first = np.ones(len(left), dtype=bool)
                 first[1:] = np.logical_or.reduce([x[left[1:]] != x[left[:-1]] for x in (pairs, rows)])
                 begins = np.flatnonzero(first)
                 if not len(begins):
                     continue
-                times = np.diff(np.append(begins, len(left))).astype(np.int32)
+                times = np.diff(np.append(begins, len(left)))
                 ends, left = np.logical_or.reduceat(last[left], begins), left[begins]
                 hot = frequent[left]
                 columns = [
-                    pa.array(times), pa.array(np.where(hot, at[left], -1).astype(np.int32)),
-                    pa.array(np.where(hot, 0, before[left])), pa.array(keys[left]), pa.array(marks[lo + rows[left]] + 2 * ends),
+                    pa.array(times | np.where(hot, at[left], -1) << 32), pa.array(np.where(hot, 0, before[left])), pa.array(keys[left]), pa.array(marks[lo + rows[left]] + 2 * ends),
                 ]
                 whole = pa.RecordBatch.from_arrays(columns, names=names)
                 for k in range(0, len(left), ROWS):
@@ -277,7 +319,8 @@ def _added(rows: DataFrame, hot_counts: list[np.ndarray], scale: list[float]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append([batch.column(k).to_numpy().astype(np.int64) for k in range(batch.num_columns)])
+            count, *others = (batch.column(k).to_numpy() for k in range(batch.num_columns))
+            held.append([count & 0xFFFFFFFF, count >> 32, *others])
             size += batch.num_rows
             key = held[-1][3]
             if size < 4 * ROWS or not len(key) or key[-1] == held[0][3][0]:

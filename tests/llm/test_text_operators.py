@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -557,6 +558,28 @@ def test_pair_hashes_are_those_of_spark(spark):
     assert [r["h"] for r in rows.collect()] == lmscore.pair_hashes(*some).view(np.int64).tolist()
 
 
+def test_words_are_hashed_and_put_in_runs_with_little_room():
+    """Numbers for each byte of a chunk, and sorts of places instead of numbers, were a third of what LM scoring took in Python."""
+    rng = np.random.default_rng(6)
+    data = rng.choice(np.frombuffer(b"abcdefXYZ \n", dtype=np.uint8), 1 << 20)
+    data[5000:100_000] = 97  # a word longer than a piece
+    starts, lengths, _ = words(data, np.array([0, len(data)]))
+    hashes(data, starts, lengths)
+    tracemalloc.start()
+    found = hashes(data, starts, lengths)
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(data)
+    tracemalloc.stop()
+    spelt = [data[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
+    assert len(set(spelt)) == len(set(found.tolist())) == len(set(zip(spelt, found.tolist(), strict=True)))
+    order = lmscore._in_runs(found)
+    assert sorted(order.tolist()) == list(range(len(found)))
+    in_order = found[order]
+    assert 1 + (in_order[1:] != in_order[:-1]).sum() == len(set(spelt)) and all(order[1:][in_order[1:] == in_order[:-1]] > order[:-1][in_order[1:] == in_order[:-1]])
+    at, times = lmscore._often(found, 1 << 18)
+    want = {w: n for w, n in Counter(spelt).items() if n >= lmscore.REPORTED}
+    assert {spelt[k]: n for k, n in zip(at, times, strict=True)} == want and all(spelt.index(spelt[k]) == k for k in at)
+
+
 def test_texts_that_differ_in_rare_words_only_get_scores_of_their_own(spark):
     common = " ".join(f"w{k % 50}" for k in range(200))
     docs = spark.createDataFrame([(k, f"{common} r{k} s{k} " * 3) for k in range(20)] + [(20, f"{common} r0 s0 " * 3)], "doc_id long, text string")
